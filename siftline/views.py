@@ -133,12 +133,12 @@ def feedback(spark, folder) -> DataFrame:
     return feedback_from(table(spark, folder, "events"))
 
 
-def code_files(spark, folder) -> DataFrame:
+def code_files_from(part: DataFrame) -> DataFrame:
     k = F.col("p_partkey")
     slot = k % len(CODE_TEMPLATES)
     prefix = F.when(k % 11 == 0, "tests/test_f").otherwise("app/f")
     body = _pick(slot, [body.replace("~", "\n") for _, _, body in CODE_TEMPLATES])
-    return table(spark, folder, "part").select(
+    return part.select(
         k.alias("file_id"),
         _pick(slot, [lang for lang, _, _ in CODE_TEMPLATES]).alias("language"),
         F.concat(prefix, k.cast("string"), _pick(slot, [ext for _, ext, _ in CODE_TEMPLATES])).alias("file_path"),
@@ -146,6 +146,10 @@ def code_files(spark, folder) -> DataFrame:
     )
 
 
+def code_files(spark, folder) -> DataFrame:
+    return code_files_from(table(spark, folder, "part"))
+
+
 def code_updates_from(conversations: DataFrame) -> DataFrame:
     c, t = F.col("conv_id"), F.col("turn")
     sends = F.when(t % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
