@@ -26,3 +26,12 @@ def literal_rows(spark: SparkSession, names: list, rows: list) -> DataFrame:
     """A DataFrame made of literals only; the row count is fixed by the program text."""
     structs = [F.struct(*[_literal(v).alias(n) for n, v in zip(names, row)]) for row in rows]
     return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    An expression named by a Python variable is copied wherever it is used, also into
+    lambdas that run per element; a lambda variable is evaluated once.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -10,8 +10,13 @@ BLANK = r"[\s\x0b\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\
 WORD = r"[\p{L}\p{N}_]"
 
 
+BLANK_CHARACTERS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(column) -> Column:
-    return F.regexp_replace(column, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(column, F.lit(BLANK_CHARACTERS))
 
 
 def is_blank(column) -> Column:

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.lookup import let
 from ..functions.scoring import clamp
 from ..session import cut_lineage
 from . import graph as G
@@ -22,9 +23,13 @@ def fingerprints(segments: DataFrame, *keep: str) -> DataFrame:
 
     ``segments`` has (id, content, embedding); everything is computed inside its row.
     """
+    def shape(nodes):
+        steps = F.greatest(F.size(nodes) - 1, F.lit(0))
+        return F.struct(F.size(nodes).alias("n"), (steps + F.size(G._definition_pairs(nodes))).alias("e"))
+
     graphs = G.file_graphs(segments, "id", "content", "embedding", *keep)
-    steps = F.greatest(F.size("nodes") - 1, F.lit(0))
-    shaped = graphs.withColumn("_edges", steps + F.size(G._definition_pairs())).withColumn("_n", F.size("nodes"))
+    shaped = graphs.select("id", "content", "embedding", *keep, let(F.col("nodes"), shape).alias("_g")).withColumns(
+        {"_n": F.col("_g.n"), "_edges": F.col("_g.e")})
     stats = S.segment_statistics(F.col("content"))
     numbers = [
         F.col("_n"), F.col("_edges"), F.col("_n") / F.greatest(T.line_count(F.col("content")), F.lit(1)),

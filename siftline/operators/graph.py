@@ -1,8 +1,8 @@
 """Code as a graph: lines are nodes, relations between lines are typed edges.
 
 All nodes of a file are built as one array inside the file's row, in linear time and
-without a shuffle.  Only the typed edges, whose number can exceed the text, are made by
-equi-joins on what they share (a function, a variable, a call), so they spread over tasks.
+without a shuffle.  Only the typed edges, whose number can exceed the text, are made by an
+equi-join on what lines share (a function, a variable, a call), so they spread over tasks.
 """
 from collections import deque
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
 from ..functions import text as T
+from ..functions.lookup import let
 from .segments import function_blocks
 
 
@@ -63,20 +64,21 @@ def _with_function(nodes: Column) -> Column:
         return F.transform(part, lambda n: F.struct(
             n["id"].alias("id"), n["line"].alias("line"), n["text"].alias("text"), n["type"].alias("type"), name.alias("function")))
 
-    at = F.transform(F.filter(nodes, names), lambda n: n["id"])
-    before = labelled(F.slice(nodes, 1, F.coalesce(F.get(at, 0), F.size(nodes))), F.lit(None).cast("string"))
-    parts = F.transform(at, lambda start, k: labelled(
-        F.slice(nodes, start + 1, F.coalesce(F.get(at, k + 1), F.size(nodes)) - start),
-        function_name(F.get(nodes, start)["text"]),
-    ))
-    return F.concat(before, F.flatten(parts))
+    def cut(at):
+        before = labelled(F.slice(nodes, 1, F.coalesce(F.get(at, 0), F.size(nodes))), F.lit(None).cast("string"))
+        parts = F.transform(at, lambda start, k: let(
+            function_name(F.get(nodes, start)["text"]),
+            lambda name: labelled(F.slice(nodes, start + 1, F.coalesce(F.get(at, k + 1), F.size(nodes)) - start), name)))
+        return F.concat(before, F.flatten(parts))
+
+    return let(F.transform(F.filter(nodes, names), lambda n: n["id"]), cut)
 
 
 def file_graphs(files: DataFrame, *keep: str) -> DataFrame:
     """One row per file with its ``nodes`` array (id, line, text, type, function)."""
     keep = keep or ("file_id",)
     typed = files.select(*keep, _node_array(F.col("content")).alias("_typed"))
-    return typed.select(*keep, _with_function(F.col("_typed")).alias("nodes"))
+    return typed.select(*keep, let(F.col("_typed"), _with_function).alias("nodes"))
 
 
 def graph_nodes(files: DataFrame) -> DataFrame:
@@ -92,22 +94,26 @@ def _neighbours(nodes: Column, n: Column) -> Column:
 
 def nearby_nodes(files: DataFrame) -> DataFrame:
     """(file, node, other, other_type) for nodes within two lines of each other."""
-    pairs = F.flatten(F.transform("nodes", lambda n: F.transform(
-        _neighbours(F.col("nodes"), n), lambda o: F.struct(n["id"].alias("id"), o["id"].alias("other_id"), o["type"].alias("other_type")))))
-    return file_graphs(files).select("file_id", F.inline(pairs))
+    def pairs(nodes):
+        return F.flatten(F.transform(nodes, lambda n: F.transform(
+            _neighbours(nodes, n), lambda o: F.struct(n["id"].alias("id"), o["id"].alias("other_id"), o["type"].alias("other_type")))))
+
+    return file_graphs(files).select("file_id", F.inline(let(F.col("nodes"), pairs)))
 
 
 def node_context(files: DataFrame) -> DataFrame:
-    def flags(n):
+    def flags(nodes, n):
         lower = F.lower(n["text"])
         return F.struct(
             n["id"].alias("id"), n["function"].alias("function"),
             T.contains_any(lower, fixed.NODE_MEMORY_WORDS).alias("has_memory_ops"),
             T.contains_any(lower, fixed.NODE_INPUT_WORDS).alias("has_user_input"),
             T.contains_any(lower, fixed.NODE_OUTPUT_WORDS).alias("has_output"),
-            F.array_join(F.transform(_neighbours(F.col("nodes"), n), lambda o: o["type"]), ",").alias("nearby_types"),
+            F.array_join(F.transform(_neighbours(nodes, n), lambda o: o["type"]), ",").alias("nearby_types"),
         )
-    return file_graphs(files).select("file_id", F.inline(F.transform("nodes", flags)))
+
+    described = let(F.col("nodes"), lambda nodes: F.transform(nodes, lambda n: flags(nodes, n)))
+    return file_graphs(files).select("file_id", F.inline(described))
 
 
 def node_features(text: Column, kind: Column) -> Column:
@@ -158,70 +164,66 @@ _ASSIGNED = f"({T.WORD}+){T.BLANK}*="
 _CALLED = f"({T.WORD}+){T.BLANK}*\\("
 
 
-def _linked_nodes(files: DataFrame) -> DataFrame:
-    """Nodes with what they assign and call, and which of the file's names they use."""
-    graphs = file_graphs(files)
+def _ends(nodes: Column, variables: Column, calls: Column) -> Column:
+    """Per node the (kind, key) pairs it offers as the source and as the target of an edge."""
+    def end(kind, key):
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
 
-    def names(pattern):
-        return F.array_distinct(F.flatten(F.transform("nodes", lambda n: F.regexp_extract_all(n["text"], F.lit(pattern), 1))))
+    def many(kind, keys):
+        return F.transform(keys, lambda key: end(kind, key))
 
-    named = graphs.withColumns({"variables": names(_ASSIGNED), "calls": names(_CALLED)})
+    def one(test, kind, key):
+        return F.array_compact(F.array(F.when(test, end(kind, key))))
 
-    def used(n):
-        text = n["text"]
-        return F.struct(
-            n["id"].alias("id"), n["line"].alias("line"), text.alias("text"), n["function"].alias("function"),
-            F.array_distinct(F.regexp_extract_all(text, F.lit(_ASSIGNED), 1)).alias("assigns"),
-            F.array_distinct(F.regexp_extract_all(text, F.lit(_CALLED), 1)).alias("defines"),
-            F.filter("variables", lambda v: F.contains(text, v) & ~F.contains(text, F.concat(v, F.lit("=")))).alias("reads"),
-            F.filter("calls", lambda c: F.contains(text, F.concat(c, F.lit("(")))).alias("reuses"),
-        )
+    def of(n):
+        text, lower = n["text"], F.lower(n["text"])
+        inside = one(n["function"] != "", "ast_child", n["function"])
+
+        def paired(position):
+            return F.array_compact(F.array(*[
+                F.when(F.contains(lower, F.lit(pair[position])), end("vulnerability", F.lit(str(i))))
+                for i, pair in enumerate(fixed.VULNERABLE_PAIRS)]))
+
+        sources = F.concat(
+            F.array(end("control_flow", (n["line"] - 1).cast("string")), end("control_flow", (n["line"] + 1).cast("string"))),
+            inside,
+            many("data_flow", F.array_distinct(F.regexp_extract_all(text, F.lit(_ASSIGNED), 1))),
+            many("call_flow", F.array_distinct(F.regexp_extract_all(text, F.lit(_CALLED), 1))),
+            one(T.contains_any(text, fixed.ALLOC_WORDS), "memory_flow", F.lit("")),
+            paired(0))
+        targets = F.concat(
+            F.array(end("control_flow", n["line"].cast("string"))),
+            inside,
+            many("data_flow", F.filter(variables, lambda v: F.contains(text, v) & ~F.contains(text, F.concat(v, F.lit("="))))),
+            many("call_flow", F.filter(calls, lambda c: F.contains(text, F.concat(c, F.lit("("))))),
+            one(T.contains_any(text, fixed.FREE_WORDS), "memory_flow", F.lit("")),
+            paired(1))
+        return F.struct(n["id"].alias("id"), sources.alias("sources"), targets.alias("targets"))
+
+    return F.transform(nodes, of)
+
+
+def _edge_ends(files: DataFrame) -> DataFrame:
+    def names(nodes, pattern):
+        return F.array_distinct(F.flatten(F.transform(nodes, lambda n: F.regexp_extract_all(n["text"], F.lit(pattern), 1))))
 
-    return named.select("file_id", F.inline(F.transform("nodes", used)))
+    ends = let(F.col("nodes"), lambda nodes: let(names(nodes, _ASSIGNED), lambda variables: let(
+        names(nodes, _CALLED), lambda calls: _ends(nodes, variables, calls))))
+    return file_graphs(files).select("file_id", F.inline(ends))
 
 
 def graph_edges(files: DataFrame) -> DataFrame:
     """(file, src, dst, eight 0/1 slots) for every ordered pair with some relation.
 
-    Each relation is an equi-join on the name both lines share, so its size is that of its
-    edges; nothing compares all lines with all lines.
+    A relation is an equality on a key both lines offer: a line number, a function, a name, a
+    word pair.  One equi-join serves all relations, so its size is that of the edges; nothing
+    compares all lines with all lines.
     """
-    nodes = _linked_nodes(files)
-
-    def pairs(kind, left, right, keys, src="id", dst="id"):
-        a = left.withColumnRenamed(src, "src").select(*keys, "src")
-        b = right.withColumnRenamed(dst, "dst").select(*keys, "dst")
-        return a.join(b, keys).filter("src <> dst").select("file_id", "src", "dst", F.lit(kind).alias("kind"))
-
-    def exploded(column):
-        return nodes.select("file_id", F.explode(column).alias("name"), "id")
-
-    # the next node is the only one that can be on the next line
-    steps = nodes.select("file_id", "line", "id")
-    next_line = pairs("control_flow", steps, steps.withColumn("line", F.col("line") - 1), ["file_id", "line"])
-    flow = next_line.unionByName(next_line.select("file_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "kind"))
-
-    inside = nodes.filter("function IS NOT NULL AND function <> ''").select("file_id", "function", "id")
-    lower = F.lower("text")
-    edges = [
-        flow,
-        pairs("ast_child", inside, inside, ["file_id", "function"]),
-        pairs("data_flow", exploded("assigns"), exploded("reads"), ["file_id", "name"]),
-        pairs("call_flow", exploded("defines"), exploded("reuses"), ["file_id", "name"]),
-        pairs("memory_flow", nodes.filter(T.contains_any(F.col("text"), fixed.ALLOC_WORDS)),
-              nodes.filter(T.contains_any(F.col("text"), fixed.FREE_WORDS)), ["file_id"]),
-    ]
-
-    def marked(position):
-        marks = F.array_compact(F.array(*[
-            F.when(F.contains(lower, F.lit(pair[position])), F.lit(i)) for i, pair in enumerate(fixed.VULNERABLE_PAIRS)]))
-        return nodes.select("file_id", F.explode(marks).alias("pair"), "id")
-
-    edges.append(pairs("vulnerability", marked(0), marked(1), ["file_id", "pair"]))
-    together = edges[0]
-    for more in edges[1:]:
-        together = together.unionByName(more)
-    return together.groupBy("file_id", "src", "dst").agg(
+    ends = _edge_ends(files)
+    source = ends.select("file_id", F.col("id").alias("src"), F.inline("sources"))
+    target = ends.select("file_id", F.col("id").alias("dst"), F.inline("targets"))
+    pairs = source.join(target, ["file_id", "kind", "key"]).filter("src <> dst")
+    return pairs.groupBy("file_id", "src", "dst").agg(
         *[F.max((F.col("kind") == slot).cast("int")).alias(slot) for slot in fixed.EDGE_SLOTS])
 
 
@@ -241,32 +243,40 @@ def graph_stats(files: DataFrame) -> DataFrame:
 
 def follows_edges(files: DataFrame) -> DataFrame:
     """Each node to the node on the next occupied line."""
-    steps = F.transform(
-        F.slice("nodes", 1, F.greatest(F.size("nodes") - 1, F.lit(0))),
-        lambda n: F.struct(n["id"].alias("src"), (n["id"] + 1).alias("dst")))
-    return file_graphs(files).select("file_id", F.inline(steps))
+    return file_graphs(files).select("file_id", F.inline(let(F.col("nodes"), _steps)))
 
 
-def _definition_pairs() -> Column:
+def _definition_pairs(nodes: Column) -> Column:
     """(definition, use) of calls and returns: the latest earlier assignment of each name used."""
-    assigned = F.transform(
-        F.filter("nodes", lambda n: n["type"] == "assignment"),
-        lambda n: F.struct(n["id"].alias("id"), T.strip(F.substring_index(n["text"], "=", 1)).alias("name")))
-    assigned = F.filter(assigned, lambda d: d["name"] != "")
-    uses = F.filter("nodes", lambda n: n["type"].isin("function_call", "return"))
-
-    def of_use(u):
-        known = F.filter(assigned, lambda d: (d["id"] < u["id"]) & F.contains(u["text"], d["name"]))
+    assigned = F.filter(F.transform(
+        F.filter(nodes, lambda n: n["type"] == "assignment"),
+        lambda n: F.struct(n["id"].alias("id"), T.strip(F.substring_index(n["text"], "=", 1)).alias("name"))),
+        lambda d: d["name"] != "")
+    uses = F.filter(nodes, lambda n: n["type"].isin("function_call", "return"))
+
+    def latest(known, u):
         names = F.array_distinct(F.transform(known, lambda d: d["name"]))
         return F.transform(names, lambda name: F.struct(
             F.array_max(F.transform(F.filter(known, lambda d: d["name"] == name), lambda d: d["id"])).alias("src"),
             u["id"].alias("dst")))
 
-    return F.array_distinct(F.flatten(F.transform(uses, of_use)))
+    def of_uses(definitions):
+        return F.flatten(F.transform(uses, lambda u: let(
+            F.filter(definitions, lambda d: (d["id"] < u["id"]) & F.contains(u["text"], d["name"])),
+            lambda known: latest(known, u))))
+
+    return F.array_distinct(let(assigned, of_uses))
+
+
+def _steps(nodes: Column) -> Column:
+    """(node, next node) for all but the last node."""
+    return F.transform(
+        F.slice(nodes, 1, F.greatest(F.size(nodes) - 1, F.lit(0))),
+        lambda n: F.struct(n["id"].alias("src"), (n["id"] + 1).alias("dst")))
 
 
 def definition_edges(files: DataFrame) -> DataFrame:
-    return file_graphs(files).select("file_id", F.inline(_definition_pairs()))
+    return file_graphs(files).select("file_id", F.inline(let(F.col("nodes"), _definition_pairs)))
 
 
 def node_type_counts(files: DataFrame) -> DataFrame:
@@ -275,14 +285,11 @@ def node_type_counts(files: DataFrame) -> DataFrame:
 
 def central_lines(files: DataFrame, top: int = 5, over: float = 0.1) -> DataFrame:
     """The most central lines of each file's step-and-definition graph."""
-    steps = F.transform(
-        F.slice("nodes", 1, F.greatest(F.size("nodes") - 1, F.lit(0))),
-        lambda n: F.struct(n["id"].alias("src"), (n["id"] + 1).alias("dst")))
-    links = file_graphs(files).select(
-        "file_id", F.transform("nodes", lambda n: n["line"]).alias("lines"),
-        F.array_union(steps, _definition_pairs()).alias("links"))
-    flat = links.select("file_id", "lines", F.transform("links", lambda l: l["src"]).alias("src"),
-                        F.transform("links", lambda l: l["dst"]).alias("dst"))
+    flat = file_graphs(files).select("file_id", let(F.col("nodes"), lambda nodes: let(
+        F.array_union(_steps(nodes), _definition_pairs(nodes)),
+        lambda links: F.struct(
+            F.transform(nodes, lambda n: n["line"]).alias("lines"), F.transform(links, lambda l: l["src"]).alias("src"),
+            F.transform(links, lambda l: l["dst"]).alias("dst")))).alias("g")).select("file_id", "g.*")
 
     @F.pandas_udf("array<struct<line:int,centrality:double>>")
     def central(lines: pd.Series, src: pd.Series, dst: pd.Series) -> pd.Series:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
 from ..functions import text as T
+from ..functions.lookup import let
 
 
 def _starts(lines: Column) -> Column:
@@ -32,9 +33,8 @@ def _pieces(lines: Column, starts: Column) -> Column:
 
 
 def _prepared(files: DataFrame) -> DataFrame:
-    cut = files.withColumn("_lines", T.split_lines("content"))
-    cut = cut.withColumn("_starts", _starts(F.col("_lines")))
-    return cut.withColumn("_pieces", _pieces(F.col("_lines"), F.col("_starts")))
+    pieces = let(T.split_lines("content"), lambda lines: let(_starts(lines), lambda starts: _pieces(lines, starts)))
+    return files.withColumn("_pieces", pieces)
 
 
 def function_blocks(files: DataFrame, *keep: str) -> DataFrame:
@@ -48,14 +48,13 @@ def function_blocks(files: DataFrame, *keep: str) -> DataFrame:
     def close(piece):
         ends = F.transform(piece["body"], lambda line, j: F.when((j >= 3) & T.is_blank(line), j + 1))
         size = F.coalesce(F.array_min(F.array_compact(ends)), F.size(piece["body"]))
-        return F.struct(
-            piece["start_line"].alias("start_line"),
-            size.alias("line_count"),
-            F.array_join(F.slice(piece["body"], 1, size), "\n").alias("code"),
-        )
-
-    whole = F.array(F.struct(F.lit(1).alias("start_line"), F.size("_lines").alias("line_count"), F.col("content").alias("code")))
-    blocks = F.when(F.size("_starts") > 0, F.transform("_pieces", close)).otherwise(whole)
+        return let(size, lambda n: F.struct(
+            piece["start_line"].alias("start_line"), n.alias("line_count"),
+            F.array_join(F.slice(piece["body"], 1, n), "\n").alias("code")))
+
+    whole = F.array(F.struct(
+        F.lit(1).alias("start_line"), T.line_count("content").alias("line_count"), F.col("content").alias("code")))
+    blocks = F.when(F.size("_pieces") > 0, F.transform("_pieces", close)).otherwise(whole)
     return _prepared(files).select(*keep, F.inline(blocks))
 
 

@@ -158,7 +158,7 @@ def parse_llm_json(spark, folder):
     k = F.col("doc_id") % 4
     answer = F.when(k == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 1, body).when(
         k == 2, F.concat(F.lit("Here it is: "), body, F.lit(" as asked."))).otherwise("no answer { broken")
-    parsed = V.table(spark, folder, "documents").select("doc_id", E.parse_answer(answer).alias("p"))
+    parsed = V.documents(spark, folder).select("doc_id", E.parse_answer(answer).alias("p"))
     e = F.coalesce("p", E.fallback(F.lit("SQL Injection"), F.lit("high")))
     return parsed.select("doc_id", e["detailed_explanation"].alias("detailed_explanation"), e["fix_recommendation"].alias("fix_recommendation"),
                          F.col("p").isNotNull().alias("parsed"))

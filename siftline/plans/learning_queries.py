@@ -165,12 +165,12 @@ fac AS (SELECT sf.*, base, n_ai, strong, greatest(0, least(1, 1.0::DOUBLE
 
 
 @query("confidence_score", f"""
-WITH {SCORED_CTE} SELECT id, round(base, 6) AS base, round(context, 6) AS context, round(historical, 6) AS historical, round(complexity_factor, 6) AS complexity_factor,
-  round(validation, 6) AS validation, round(greatest(0, least(1, base * 0.4 + context * 0.2 + historical * 0.15 + complexity_factor * 0.1 + validation * 0.15)), 6) AS overall FROM fac""")
+WITH {SCORED_CTE} SELECT id, round(base, 9) AS base, round(context, 9) AS context, round(historical, 9) AS historical, round(complexity_factor, 9) AS complexity_factor,
+  round(validation, 9) AS validation, round(greatest(0, least(1, base * 0.4 + context * 0.2 + historical * 0.15 + complexity_factor * 0.1 + validation * 0.15)), 9) AS overall FROM fac""")
 def confidence_score(spark, folder):
     f = with_factors(spark, folder).withColumn("overall", _overall())
     shown = ["base", "context", "historical", "complexity_factor", "validation", "overall"]
-    return f.select("id", *[F.round(c, 6).alias(c) for c in shown])
+    return f.select("id", *[F.round(c, 9).alias(c) for c in shown])
 
 
 @query("context_score", f"WITH {SCORED_CTE} SELECT id, round(context, 4) AS context FROM fac")

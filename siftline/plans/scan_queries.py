@@ -205,7 +205,7 @@ WITH texts AS (SELECT 'file' AS kind, file_id AS id, lower(content) AS t FROM v_
 SELECT kind, id, {CONTENT_PICK} AS language FROM best""")
 def detect_lang_content(spark, folder):
     code = V.code_files(spark, folder).select(F.lit("file").alias("kind"), F.col("file_id").alias("id"), F.col("content").alias("text"))
-    docs = V.table(spark, folder, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    docs = V.documents(spark, folder).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
     return code.unionByName(docs).select("kind", "id", L.from_content(F.col("text")).alias("language"))
 
 
@@ -218,7 +218,7 @@ WHERE coalesce(ext.language, {CONTENT_PICK}) IS NOT NULL""")
 def supported_files(spark, folder):
     """The head of 1000 characters is the detection rule itself; the text stays whole."""
     ending = F.when(F.length("source") % 2 == 0, ".txt").otherwise(".CC")
-    files = V.table(spark, folder, "documents").select(
+    files = V.documents(spark, folder).select(
         "doc_id", F.concat(F.lit("in/"), F.col("doc_id").cast("string"), ending).alias("file_path"), F.col("text").alias("content"))
     return files_source.with_language(files).select("doc_id", "file_path", "language")
 
@@ -282,7 +282,7 @@ SELECT concat('COMPLEX-', fn, '-', start_line) AS finding_id, concat('High compl
   start_line AS line_start, start_line + line_count - 1 AS line_end,
   CASE WHEN length(code) > 200 THEN concat(left(code, 200), '...') ELSE code END AS code_snippet FROM c WHERE complexity > 10""")
 def complex_blocks(spark, folder):
-    docs = V.table(spark, folder, "documents").select(
+    docs = V.documents(spark, folder).select(
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("file_path"), F.col("text").alias("content"))
     return S.complexity_findings(docs).select(
         "finding_id", "name", "description", "file_path", "line_start", "line_end", "code_snippet")
@@ -291,7 +291,7 @@ def complex_blocks(spark, folder):
 @query("keyword_complexity", f"""
 SELECT doc_id, cast(1 + {' + '.join(sql_count('text', w) for w in fixed.COMPLEXITY_WORDS)} AS int) AS complexity FROM documents""")
 def keyword_complexity(spark, folder):
-    return V.table(spark, folder, "documents").select("doc_id", S.keyword_complexity(F.col("text")).alias("complexity"))
+    return V.documents(spark, folder).select("doc_id", S.keyword_complexity(F.col("text")).alias("complexity"))
 
 
 LABELLED_SQL = f"({sql_any('line', fixed.LABELLED_LINE_LITERALS)} OR regexp_matches(line, {sql_text(fixed.LABELLED_LINE_REGEX)}))"
@@ -342,7 +342,7 @@ SQL_LINE_COUNT = "(length(text) - length(replace(text, chr(10), '')) + 1)"
 
 def texts(spark, folder):
     code = V.code_files(spark, folder).select(F.lit("file").alias("kind"), F.col("file_id").alias("id"), F.col("content").alias("text"))
-    docs = V.table(spark, folder, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    docs = V.documents(spark, folder).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
     return code.unionByName(docs)
 
 

@@ -120,7 +120,7 @@ fv AS (SELECT id, text, list_concat(list_slice(e, 1, 100), [n_nodes::DOUBLE, n_e
 
 
 def document_fingerprints(spark, folder):
-    docs = V.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    docs = V.documents(spark, folder).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     vecs = V.table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return An.fingerprints(docs.join(vecs, "id"))
 
@@ -182,7 +182,7 @@ WITH k AS (SELECT d.doc_id, md5(concat(lang, ':', text)) AS code_key, l.doc_id I
 SELECT code_key, count(*) AS waiting FROM k WHERE code_key NOT IN (SELECT code_key FROM k WHERE cached) GROUP BY 1""")
 def embed_misses(spark, folder):
     """Texts without a cached embedding, each once, with how many rows wait for it."""
-    docs = V.table(spark, folder, "documents").select("doc_id", T.code_key(F.col("lang"), F.col("text")).alias("code_key"))
+    docs = V.documents(spark, folder).select("doc_id", T.code_key(F.col("lang"), F.col("text")).alias("code_key"))
     cache = docs.join(V.table(spark, folder, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
     waiting = docs.groupBy("code_key").agg(F.count("*").alias("waiting"))
     return Sim.cache_misses(waiting, cache)

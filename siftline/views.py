@@ -6,6 +6,8 @@ stated) and a DuckDB text used by the checks.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import spread
+
 # the clock of every look-back: the day after the last event, and the end of the scan history
 AS_OF_TEXT = "2024-01-31 00:00:00"
 AS_OF_SCANS_TEXT = "2001-08-01 00:00:00"
@@ -147,7 +149,11 @@ def code_files_from(part: DataFrame) -> DataFrame:
 
 
 def code_files(spark, folder) -> DataFrame:
-    return code_files_from(table(spark, folder, "part"))
+    return code_files_from(spread(table(spark, folder, "part").select("p_partkey", "p_size")))
+
+
+def documents(spark, folder) -> DataFrame:
+    return spread(table(spark, folder, "documents"))
 
 
 def code_updates_from(conversations: DataFrame) -> DataFrame:
