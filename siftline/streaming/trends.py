@@ -7,13 +7,26 @@ from ..operators.learning import confidence_adjustments  # noqa: F401  (the tabl
 from .live import LATENESS
 
 
+EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
+def _instant(column: str):
+    """A naive UTC time as an instant, whatever the session's time zone."""
+    return F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, {EPOCH}, {column}))")
+
+
 def _windowed(findings: DataFrame, *window: str) -> DataFrame:
-    timed = findings.withWatermark("detected_at", LATENESS) if findings.isStreaming else findings
+    """Counts per window; a stream needs instants for its watermark, a table keeps naive times."""
+    start = F.col("w.start")
+    timed = findings
+    if findings.isStreaming:
+        timed = findings.withColumn("detected_at", _instant("detected_at")).withWatermark("detected_at", LATENESS)
+        start = F.expr(f"timestampadd(MICROSECOND, unix_micros(w.start), {EPOCH})")
     return timed.groupBy(F.window("detected_at", *window).alias("w")).agg(
         F.count("*").alias("total"),
         *[F.count_if(F.col("severity") == s).alias(s) for s in fixed.SEVERITY_ORDER[:4]],
         F.avg("confidence_score").alias("average_confidence"),
-    ).select(F.col("w.start").alias("window_start"), "total", *fixed.SEVERITY_ORDER[:4], "average_confidence")
+    ).select(start.alias("window_start"), "total", *fixed.SEVERITY_ORDER[:4], "average_confidence")
 
 
 def sliding_stats(findings: DataFrame, length: str = "24 hours", every: str = "6 hours") -> DataFrame:
