@@ -66,12 +66,10 @@ def recent_stats(scans, findings, projects, rules, as_of: Column, as_of_scans: C
     of_findings = findings.filter(F.col("detected_at") >= as_of - day).agg(F.count("*").alias("vulnerabilities_found"))
     of_projects = projects.filter("active").agg(F.count("*").alias("active_projects"))
     of_rules = rules.agg(F.count("*").alias("patterns_in_database"))
-    # four one-row results side by side
-    one_row = of_scans.crossJoin(of_findings).crossJoin(of_projects).crossJoin(of_rules)
-    return one_row.select(
-        "scans_performed", "vulnerabilities_found", "lines_analyzed",
+    return of_scans.select(
+        "scans_performed", of_findings.scalar().alias("vulnerabilities_found"), "lines_analyzed",
         F.coalesce(F.try_divide(F.col("lines_analyzed"), F.col("seconds")), F.lit(0.0)).alias("avg_scan_speed"),
-        "active_projects", "patterns_in_database",
+        of_projects.scalar().alias("active_projects"), of_rules.scalar().alias("patterns_in_database"),
     )
 
 

@@ -71,7 +71,7 @@ def similar_known(queries: DataFrame, known: DataFrame, eps: float = 0.3, most:
     touched = near.select("query_id", "cluster", F.when(F.col("cluster") < 0, F.col("ref_id")).alias("single")).distinct()
     counted = touched.join(sizes, "cluster", "left").groupBy(F.col("query_id").alias("id")).agg(
         F.sum(F.coalesce("members", F.lit(1))).alias("members"))
-    total = queries.select("id").join(counted, "id", "left").crossJoin(F.broadcast(lone))  # lone is one row
+    total = queries.select("id").join(counted, "id", "left").select("*", lone.scalar().alias("lone"))
     return total.select("id", F.least(F.coalesce("members", "lone"), F.lit(most)).alias("similar_count"))
 
 

@@ -39,7 +39,7 @@ def balanced_split(samples: DataFrame, seq: str = "file_id", train_share: float
     sizes = samples.groupBy("label").agg(F.count("*").alias("n"))
     # two rows, one per class
     kept = sizes.agg(F.when(F.count("*") == 2, F.min("n")).otherwise(0).alias("kept"))
-    numbered = ordered.row_numbers(samples, ["label"], seq).crossJoin(F.broadcast(kept))
+    numbered = ordered.row_numbers(samples, ["label"], seq).select("*", kept.scalar().alias("kept"))
     chosen = numbered.filter(F.col("row_no") <= F.col("kept"))
     part = F.when(F.col("row_no") <= F.floor(F.col("kept") * train_share), "train").otherwise("test")
     return chosen.withColumn("split", part).drop("row_no", "kept")

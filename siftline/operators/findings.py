@@ -42,7 +42,7 @@ def enrich(findings: DataFrame, rules: DataFrame) -> DataFrame:
         (F.col("rule_ord") + 1).alias("pattern_id"),
         "name", "description", "cwe_id", F.col("fix").alias("fix_suggestion"),
     )
-    return findings.join(F.broadcast(info), "pattern_id", "left")
+    return findings.join(info, "pattern_id", "left")
 
 
 def apply_status_updates(findings: DataFrame, updates: DataFrame, as_of: Column) -> DataFrame:
@@ -73,7 +73,7 @@ def apply_feedback(feedback: DataFrame, findings: DataFrame, rules: DataFrame) -
     """One outcome row per feedback; feedback on unknown findings fails."""
     info = rules.select((F.col("rule_ord") + 1).alias("pattern_id"), F.col("name"))
     known = findings.select("detection_id", "pattern_id", F.lit(True).alias("known"))
-    joined = feedback.join(known, "detection_id", "left").join(F.broadcast(info), "pattern_id", "left")
+    joined = feedback.join(known, "detection_id", "left").join(info, "pattern_id", "left")
     return joined.select(
         "seq", "detection_id",
         F.coalesce("known", F.lit(False)).alias("success"),

@@ -43,8 +43,7 @@ def learning_report(feedback: DataFrame, leaders: DataFrame) -> DataFrame:
     early = feedback.orderBy("seq").limit(10).agg(hits.alias("early"))
     recent = feedback.orderBy(F.col("seq").desc()).limit(10).agg(hits.alias("recent"))
     learned = leaders.agg(F.count("*").alias("patterns_learned"))
-    # four one-row results side by side
-    row = totals.crossJoin(early).crossJoin(recent).crossJoin(learned)
+    row = totals.select("*", early.scalar().alias("early"), recent.scalar().alias("recent"), learned.scalar().alias("patterns_learned"))
     gain = F.when(F.col("total_feedback") >= 20, F.col("recent") - F.col("early")).otherwise(0.0)
     return row.select(
         "total_feedback", "true_positives", (F.col("total_feedback") - F.col("true_positives")).alias("false_positives"),
@@ -78,12 +77,10 @@ def running_accuracy(feedback: DataFrame) -> DataFrame:
 def ml_performance(scans: DataFrame, findings: DataFrame, feedback: DataFrame) -> DataFrame:
     """One row per type with adjustment: derived accuracy beside the overall totals."""
     adjusted = confidence_adjustments(feedback)
-    totals = (
-        scans.agg(F.count("*").alias("total_scans"))
-        .crossJoin(findings.agg(F.count("*").alias("total_detections")))
-        .crossJoin(feedback.agg(F.count("*").alias("total_feedback"), F.count_if("was_correct").alias("true_positives")))
-    )
-    row = adjusted.crossJoin(F.broadcast(totals))
+    totals = feedback.agg(F.struct(F.count("*").alias("all"), F.count_if("was_correct").alias("right")).alias("t"))
+    row = adjusted.select(
+        "*", scans.agg(F.count("*")).scalar().alias("total_scans"), findings.agg(F.count("*")).scalar().alias("total_detections"),
+        totals.scalar().alias("t")).select("*", F.col("t.all").alias("total_feedback"), F.col("t.right").alias("true_positives"))
     return row.select(
         "vulnerability_type", F.least(F.col("adjustment") * 0.7, F.lit(0.95)).alias("type_accuracy"),
         "total_scans", "total_detections", "true_positives",
@@ -171,11 +168,11 @@ def adjust_confidence(findings: DataFrame, feedback: DataFrame, learned: DataFra
     per_snippet = boost.join(penalty, ["vulnerability_type", "code_snippet"], "full")
     factors = confidence_adjustments(feedback).select("vulnerability_type", "adjustment")
     weak = method_accuracy(feedback).filter(F.col("accuracy") < 0.7).agg(F.collect_set("detection_method").alias("weak"))
-    overall = weak.crossJoin(feedback.agg(time_decay(F.max("feedback_ts"), as_of).alias("decay")))
+    decay = feedback.agg(time_decay(F.max("feedback_ts"), as_of).alias("decay"))
     joined = (
-        findings.join(F.broadcast(factors), "vulnerability_type", "left")  # one row per type
+        findings.join(factors, "vulnerability_type", "left")
         .join(per_snippet, ["vulnerability_type", "code_snippet"], "left")
-        .crossJoin(F.broadcast(overall))  # one row
+        .select("*", weak.scalar().alias("weak"), decay.scalar().alias("decay"))
     )
     raw = F.col("confidence") * F.coalesce("adjustment", F.lit(1.0))
     raw = raw + F.coalesce("boost", F.lit(0.0)) + F.coalesce("penalty", F.lit(0.0))

@@ -8,7 +8,7 @@ carried across blocks.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 16
+BLOCK = 1 << 20
 
 
 def _blocked(df: DataFrame, seq: str, block: int) -> DataFrame:

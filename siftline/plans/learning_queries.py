@@ -125,7 +125,7 @@ def scored_findings(spark, folder):
 
 def with_factors(spark, folder):
     history = Learn.type_accuracy(V.feedback(spark, folder)).select("vulnerability_type", "accuracy")
-    f = scored_findings(spark, folder).join(F.broadcast(history), "vulnerability_type", "left")  # one row per type
+    f = scored_findings(spark, folder).join(history, "vulnerability_type", "left")
     return f.withColumns({
         "base": Sc.base_confidence(F.col("methods")),
         "context": Sc.context_score(F.col("file_path"), F.col("in_comment"), F.col("has_user_input"), F.col("has_validation"), F.col("code_snippet")),

@@ -408,7 +408,7 @@ SELECT count(*) FILTER (p > 0.85) AS reported, count(*) AS scored FROM s""")
 def score_findings_untrained(spark, folder):
     scored = scored_files(spark, folder).withColumn("suspicious_ratio", F.col("graph_density"))
     reported = M.graph_findings(scored, trained=False).agg(F.count("*").alias("reported"))
-    return reported.crossJoin(scored.agg(F.count("*").alias("scored")))
+    return reported.select("reported", scored.agg(F.count("*")).scalar().alias("scored"))
 
 
 @query("explanations", """

@@ -128,5 +128,5 @@ def stream_feedback(spark, folder):
     Tr.feedback_stream(V.feedback_from(R.table_stream(spark, folder, "events")), path, state).awaitTermination()
     versions = spark.read.parquet(path)
     # the versions are whole results; the last one holds, and its number comes from the folder names
-    latest = versions.agg(F.max("version").alias("version"))
-    return versions.join(F.broadcast(latest), "version").select("vulnerability_type", F.round("adjustment", 4).alias("adjustment"), "total")
+    latest = versions.filter(F.col("version") == versions.agg(F.max("version")).scalar())
+    return latest.select("vulnerability_type", F.round("adjustment", 4).alias("adjustment"), "total")

@@ -182,6 +182,7 @@ def pattern_vectors(spark, folder) -> DataFrame:
         F.slice("k_embedding", F.lit(1), keep),
         F.slice("embedding", keep + 1, (v % 40).cast("int")),
     )
+    # the known side is 150 rows by its filter on a unique id
     return e.join(F.broadcast(k), v % 150 == F.col("k_id")).select(
         F.concat(F.lit("P-"), v.cast("string")).alias("pattern_id"),
         F.col("label").alias("type_id"),
