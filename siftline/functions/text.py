@@ -3,6 +3,9 @@
 Spark's ``trim`` only strips blanks and its ``\\w`` is ASCII, so the character classes
 are spelled out here once.
 """
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,17 +36,11 @@ def line_count(column) -> Column:
 
 def contains_any(column: Column, words) -> Column:
     """True when any of the words is a substring."""
-    test = F.lit(False)
-    for word in words:
-        test = test | F.contains(column, F.lit(word))
-    return test
+    return reduce(or_, [column.contains(word) for word in words])
 
 
 def starts_with_any(column: Column, words) -> Column:
-    test = F.lit(False)
-    for word in words:
-        test = test | F.startswith(column, F.lit(word))
-    return test
+    return reduce(or_, [column.startswith(word) for word in words])
 
 
 def count_of(column, word: str) -> Column:

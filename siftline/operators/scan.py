@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fixed
 from ..functions import text as T
 from ..functions.lookup import literal_lookup
-from ..sources.rules import REGEX_FLAGS, normalise_regex, rule_table
+from ..sources.rules import REGEX_FLAGS, normalise_regex, required_text, rule_table
 
 ANALYZER_ORDER = {"pattern": 0, "keyword": 1, "complexity": 2, "model": 3}
 
@@ -54,24 +54,32 @@ def match_confidence(line: Column, severity: Column) -> Column:
     return F.least(score, F.lit(1.0))
 
 
-def _regex_hits(line: Column, language: Column, rules: list) -> Column:
-    """Array of the (rule, regex position) pairs whose regex is found in the line.
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    All regexes are literals, compiled once per task; only those of the line's own
-    language are evaluated.
+
+def regex_hits_sql(line: str, language: str, rules: list) -> str:
+    """SQL for the array of (rule, regex position) pairs whose regex is found in the line.
+
+    All regexes are literals, compiled once per task; only those of the line's own language
+    are evaluated, and only where the literal text they need is present.  The text is one
+    expression so that building the plan stays cheap with many rules.
     """
-    hits = None
+    branches = []
     for lang in dict.fromkeys(l for _, l, _ in rules):
-        tests = [
-            F.when(
-                line.rlike(REGEX_FLAGS + normalise_regex(regex)),
-                F.struct(F.lit(rule_id).alias("rule_id"), F.lit(i).alias("regex_ord")),
-            )
-            for i, (rule_id, l, regex) in enumerate(rules) if l == lang
-        ]
-        found = F.array_compact(F.array(*tests))
-        hits = F.when(language == lang, found) if hits is None else hits.when(language == lang, found)
-    return hits
+        tests = []
+        for i, (rule_id, l, regex) in enumerate(rules):
+            if l == lang:
+                regex = normalise_regex(regex)
+                needed = required_text(regex)
+                gate = f"contains(low, {_sql_text(needed)}) AND " if needed else ""
+                tests.append(
+                    f"CASE WHEN {gate}{line} RLIKE {_sql_text(REGEX_FLAGS + regex)} "
+                    f"THEN named_struct('rule_id', {_sql_text(rule_id)}, 'regex_ord', {i}) END")
+        branches.append(f"WHEN {language} = {_sql_text(lang)} THEN array_compact(array({', '.join(tests)}))")
+    # caseless matching counts long s and dotless i as s and i
+    low = f"translate(lower({line}), '\u017f\u0131', 'si')"
+    return f"transform(array({low}), low -> CASE {' '.join(branches)} END)[0]"
 
 
 def fix_text(fix: Column, alternatives: Column, language: Column) -> Column:
@@ -89,7 +97,7 @@ def rule_hits(files: DataFrame, regexes: list | None = None) -> DataFrame:
     spark = files.sparkSession
     lines = code_lines(files)
     hits = lines.withColumn(
-        "hit", F.explode(_regex_hits(F.col("line"), F.col("language"), regexes or fixed.RULE_REGEXES))
+        "hit", F.explode(F.expr(regex_hits_sql("line", "language", regexes or fixed.RULE_REGEXES)))
     ).select("*", "hit.rule_id", "hit.regex_ord").drop("hit")
     rules = rule_table(spark)
     return hits.join(F.broadcast(rules), "rule_id").withColumn(

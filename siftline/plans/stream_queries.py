@@ -61,7 +61,7 @@ WITH {RULE_FINDINGS_CTE}, d AS (SELECT DISTINCT file_path, line_start, name, sev
 SELECT f.file_path, count(d.name) AS total, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high,
   count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM v_code_files f LEFT JOIN d ON d.file_path = f.file_path GROUP BY 1""")
 def live_summary(spark, folder):
-    scanned = V.code_files(spark, folder).withColumn("findings", Live.rule_matches(F.col("content"), F.col("language")))
+    scanned = V.code_files(spark, folder).withColumn("findings", Live.rule_matches("content", "language"))
     return scanned.select("file_path", *Live.severity_summary(F.col("findings")))
 
 

@@ -113,28 +113,30 @@ def overlapping(findings: DataFrame, changed: DataFrame, key: str) -> DataFrame:
 
 # ------------------------------------------------------------- findings inside one row
 
-def rule_matches(code: Column, language: Column) -> Column:
-    """array<struct<line, rule_id, name, severity, confidence>> of a text, in its own row.
+def rule_matches(code: str, language: str) -> Column:
+    """array<struct<line, rule_id, severity, confidence, threshold>> of a text, in its own row.
 
-    The rule attributes are literals, so scanning a stream needs neither a join nor a shuffle.
+    ``code`` and ``language`` are column names.  The rule attributes are literals, so scanning
+    a stream needs neither a join nor a shuffle.
     """
     attributes = {r["rule_id"]: r for r in fixed.RULES}
 
     def lookup(rule_id, field):
         return literal_lookup(rule_id, {k: r[field] for k, r in attributes.items()})
 
-    def of_line(line, i):
-        stripped_comment = C.is_comment(line, language) | T.is_blank(line)
-        hits = F.when(~stripped_comment, C._regex_hits(line, language, fixed.RULE_REGEXES))
-        ids = F.array_distinct(F.transform(F.coalesce(hits, F.array()), lambda h: h["rule_id"]))
-        return F.transform(ids, lambda rule_id: F.struct(
-            (i + 1).alias("line"), rule_id.alias("rule_id"), lookup(rule_id, "name").alias("name"),
-            lookup(rule_id, "severity").alias("severity"),
-            C.match_confidence(line, lookup(rule_id, "severity")).alias("confidence"),
+    def skipped(line):
+        return C.is_comment(line, F.col(language)) | T.is_blank(line)
+
+    def of_line(found, i):
+        ids = F.when(~skipped(found["line"]), F.array_distinct(F.transform(found["hits"], lambda h: h["rule_id"])))
+        return F.transform(F.coalesce(ids, F.array()), lambda rule_id: F.struct(
+            (i + 1).alias("line"), rule_id.alias("rule_id"), lookup(rule_id, "severity").alias("severity"),
+            C.match_confidence(found["line"], lookup(rule_id, "severity")).alias("confidence"),
             lookup(rule_id, "threshold").alias("threshold")))
 
-    found = F.flatten(F.transform(T.split_lines(code), of_line))
-    return F.filter(found, lambda f: f["confidence"] >= f["threshold"])
+    hits = C.regex_hits_sql("line", f"`{language}`", fixed.RULE_REGEXES)
+    lines = F.expr(f"transform(split(`{code}`, '\\n'), line -> named_struct('line', line, 'hits', {hits}))")
+    return F.filter(F.flatten(F.transform(lines, of_line)), lambda f: f["confidence"] >= f["threshold"])
 
 
 def severity_summary(findings: Column) -> list:
@@ -194,7 +196,7 @@ def live_scan(updates: DataFrame, expire: bool = True) -> DataFrame:
     timeout keeps a stream running for ever, so a run that should end passes ``expire=False``.
     The source's ``maxFilesPerTrigger`` or offset limit bounds what one file brings at once.
     """
-    scanned = updates.withColumn("findings", rule_matches(F.col("code"), F.col("language")))
+    scanned = updates.withColumn("findings", rule_matches("code", "language"))
     keyed = scanned.select("client_id", "file_path", "seq", "code", "findings").groupBy("client_id", "file_path")
     timeout = GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
 
@@ -209,7 +211,7 @@ def incremental_results(updates: DataFrame) -> DataFrame:
     versions = version_changes(updates).filter("changed")
     versions = ordered.previous_values(
         versions.drop("previous_code", "changed"), ["client_id", "file_path"], "seq", {"previous_code": "code"})
-    scanned = versions.withColumn("all", rule_matches(F.col("code"), F.col("language"))).withColumn(
+    scanned = versions.withColumn("all", rule_matches("code", "language")).withColumn(
         "lines", diff_lines(F.coalesce("previous_code", F.lit("")), F.col("code")))
     incremental = F.length(F.coalesce("previous_code", F.lit(""))) > 0
     partial = incremental & (F.size("lines") > 0)

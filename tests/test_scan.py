@@ -136,3 +136,16 @@ def test_rule_store_is_replaced(spark, tmp_path):
         rules.save_rules(rules.rule_table(spark), path)
     assert spark.read.parquet(path).count() == 8
     assert rules.search_rules(rules.rule_table(spark), language="c").count() == 1
+
+
+def test_required_text_is_in_every_match():
+    for regex in ["a|b", "ab?c", "(a(b)c)?d", "x{2}y", "a.b", "ab*"]:
+        assert rules.required_text(regex) == ""
+    assert rules.required_text(r"os\.system\s*\([^)]*\+") == "os.system"
+    assert rules.required_text(r"`[^`]*\$") in "`$"
+    assert all(rules.required_text(r) for _, _, r in fixed.RULE_REGEXES)
+
+
+def test_case_folding_of_special_letters(spark):
+    df = corpus(spark, ("a.php", "php", "ſystem(x)\nEXEC(y)\nprınt $_GET"))
+    assert {(r.line_no, r.rule_id, r.regex_ord) for r in scan.rule_hits(df).collect()} == python_rule_hits(df.first().content, "php")

@@ -22,7 +22,7 @@ def test_live_stream_equals_a_sequential_reading(spark, folder):
     stream = live.live_scan(Q.live_versions(Q.code_files_stream(spark, folder)), expire=False)
     got = {(r.client_id, r.file_path, r.seq): (r.cached, r.incremental, r.changed_lines, sorted((f.line, f.rule_id) for f in r.findings))
            for r in runs.drain(stream, "live").collect()}
-    versions = Q.live_versions(V.code_files(spark, folder)).withColumn("findings", live.rule_matches(F.col("code"), F.col("language")))
+    versions = Q.live_versions(V.code_files(spark, folder)).withColumn("findings", live.rule_matches("code", "language"))
     want, states = {}, {}
     for r in sorted(versions.collect(), key=lambda r: r.seq):
         key = (r.client_id, r.file_path)
