@@ -540,6 +540,21 @@ EXPLANATION_FIELDS = [
     "severity_assessment", "detailed_explanation", "attack_scenario", "business_impact",
     "fix_recommendation", "secure_code_example",
 ]
+FALLBACK_DETAIL = " vulnerability was detected. Groq API unavailable for detailed analysis."
 FALLBACK_ATTACK = "An attacker could potentially exploit this vulnerability"
 FALLBACK_IMPACT = "Could lead to security breach if exploited"
 FALLBACK_RECOMMENDATION = "Review and fix the vulnerable code pattern"
+FALLBACK_EXAMPLE = "// Fix implementation needed"
+FALLBACK_REFERENCE = "https://cwe.mitre.org/"
+PROMPT_OPENING = "You are an expert security researcher analyzing code vulnerabilities. \nAnalyze this "
+PROMPT_REQUEST = "\n\nProvide a security analysis as a valid JSON object with exactly these fields:\n"
+PROMPT_CLOSING = "\n\nIMPORTANT: Return ONLY valid JSON. No extra text. Ensure all strings are properly escaped."
+PROMPT_FIELDS = {
+    "severity_assessment": "Why this severity level is appropriate",
+    "detailed_explanation": "Technical explanation of the vulnerability",
+    "attack_scenario": "Realistic attack scenario",
+    "business_impact": "Potential business impact",
+    "fix_recommendation": "Specific actionable fix",
+    "secure_code_example": "Corrected code example",
+    "references": ["url1", "url2", "url3"],
+}

@@ -12,28 +12,16 @@ EXPLANATION_SCHEMA = ", ".join(f"{f} string" for f in fixed.EXPLANATION_FIELDS)
 
 def prompt(code, kind, severity, line, language) -> Column:
     """The request for one finding, with a bounded piece of its code."""
-    answer = {
-        "severity_assessment": "Why this severity level is appropriate",
-        "detailed_explanation": "Technical explanation of the vulnerability",
-        "attack_scenario": "Realistic attack scenario",
-        "business_impact": "Potential business impact",
-        "fix_recommendation": "Specific actionable fix",
-        "secure_code_example": "Corrected code example",
-        "references": ["url1", "url2", "url3"],
-    }
-    shape = "{\n" + ",\n".join(f'    "{k}": {json.dumps(v)}' for k, v in answer.items()) + "\n}"
+    shape = "{\n" + ",\n".join(f'    "{k}": {json.dumps(v)}' for k, v in fixed.PROMPT_FIELDS.items()) + "\n}"
     return F.concat(
-        F.lit("You are an expert security researcher analyzing code vulnerabilities. \nAnalyze this "), language,
+        F.lit(fixed.PROMPT_OPENING), language,
         F.lit(" code with a detected "), kind, F.lit(" vulnerability:\n\n```"), language, F.lit("\n"), T.cut(code, 300),
         F.lit("\n```\n\nVulnerability Details:\n- Type: "), kind, F.lit("\n- Severity: "), severity, F.lit("\n- Line: "),
         line.cast("string"),
-        F.lit(f"\n\nProvide a security analysis as a valid JSON object with exactly these fields:\n{shape}"
-              "\n\nIMPORTANT: Return ONLY valid JSON. No extra text. Ensure all strings are properly escaped."),
+        F.lit(fixed.PROMPT_REQUEST + shape + fixed.PROMPT_CLOSING),
     )
 
 
-
-
 def parse_answer(answer: Column) -> Column:
     """The JSON object in a model's answer: fences dropped, else the widest braces; null when neither parses."""
     stripped = T.strip(answer)
@@ -53,12 +41,12 @@ def fallback(kind: Column, severity: Column) -> Column:
     """The explanation used when none is available."""
     return F.struct(
         F.concat(severity, F.lit(" severity based on pattern analysis")).alias("severity_assessment"),
-        F.concat(F.lit("A "), kind, F.lit(" vulnerability was detected. Groq API unavailable for detailed analysis.")).alias("detailed_explanation"),
+        F.concat(F.lit("A "), kind, F.lit(fixed.FALLBACK_DETAIL)).alias("detailed_explanation"),
         F.lit(fixed.FALLBACK_ATTACK).alias("attack_scenario"),
         F.lit(fixed.FALLBACK_IMPACT).alias("business_impact"),
         F.lit(fixed.FALLBACK_RECOMMENDATION).alias("fix_recommendation"),
-        F.lit("// Fix implementation needed").alias("secure_code_example"),
-        F.array(F.lit("https://cwe.mitre.org/")).alias("references"),
+        F.lit(fixed.FALLBACK_EXAMPLE).alias("secure_code_example"),
+        F.array(F.lit(fixed.FALLBACK_REFERENCE)).alias("references"),
     )
 
 

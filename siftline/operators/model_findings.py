@@ -1,4 +1,7 @@
-"""Findings from model scores: thresholds, severity ladders and explanations."""
+"""Findings from model scores: thresholds, severity ladders and explanations.
+
+The names, descriptions and sentences below are fixed values: they are the text of the results.
+"""
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 

@@ -150,8 +150,8 @@ def manifest_load(spark, folder):
 
 # ------------------------------------------------------------------------- explanations
 
-@query("parse_llm_json", """
-SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'A SQL Injection vulnerability was detected. Groq API unavailable for detailed analysis.' ELSE text END AS detailed_explanation,
+@query("parse_llm_json", f"""
+SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'A SQL Injection{fixed.FALLBACK_DETAIL}' ELSE text END AS detailed_explanation,
   CASE WHEN doc_id % 4 = 3 THEN 'Review and fix the vulnerable code pattern' ELSE source END AS fix_recommendation, doc_id % 4 <> 3 AS parsed FROM documents""")
 def parse_llm_json(spark, folder):
     body = F.to_json(F.struct(F.col("text").alias("detailed_explanation"), F.col("source").alias("fix_recommendation")))
@@ -196,7 +196,7 @@ def explained(spark, folder):
 
 @query("explanation_cache", f"""
 WITH {CACHE_CTE} SELECT b.id, b.key AS cache_key, ca.key IS NOT NULL AS from_cache,
-  CASE WHEN ca.key IS NULL THEN concat('A ', vulnerability_type, ' vulnerability was detected. Groq API unavailable for detailed analysis.') ELSE 'cached' END AS detailed_explanation
+  CASE WHEN ca.key IS NULL THEN concat('A ', vulnerability_type, '{fixed.FALLBACK_DETAIL}') ELSE 'cached' END AS detailed_explanation
 FROM b LEFT JOIN ca ON ca.key = b.key""")
 def explanation_cache(spark, folder):
     text = F.col("explanation.detailed_explanation")
