@@ -13,7 +13,7 @@ from ..operators import learning as Learn
 from ..session import new_run_folder
 from ..sources import stored
 from .learning_queries import sql_hash
-from .registry import query, sql_any, sql_list, sql_text, sql_values
+from .registry import query, sql_any, sql_values
 
 EVAL_SQL = """count(*) FILTER (label = 1 AND predicted = 1) AS true_positives, count(*) FILTER (label = 0 AND predicted = 1) AS false_positives,
 count(*) FILTER (label = 1 AND predicted = 0) AS false_negatives, count(*) FILTER (label = 0 AND predicted = 0) AS true_negatives, avg(confidence) AS c"""

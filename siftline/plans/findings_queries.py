@@ -3,11 +3,10 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
 from .. import views as V
-from ..functions import text as T
 from ..operators import analytics as A
 from ..operators import findings as O
 from ..sources.rules import rule_table, search_rules
-from .registry import query, sql_list, sql_text, sql_values
+from .registry import query, sql_values
 
 
 RULES_CTE = sql_values(

@@ -5,7 +5,7 @@ from .. import fixed_values as fixed
 from .. import views as V
 from ..operators import graph as G
 from ..operators import segments as S
-from .registry import SQL_BLANK, query, sql_any, sql_count, sql_list, sql_strip, sql_text, sql_values
+from .registry import SQL_BLANK, query, sql_any, sql_count, sql_strip, sql_text
 from .scan_queries import LINES_CTE, blocks_sql
 
 W = fixed.LINE_TYPE_WORDS

@@ -10,7 +10,7 @@ from ..operators import leaders as Lead
 from ..operators import learning as Learn
 from ..operators import model_findings as M
 from ..operators import segments as S
-from .registry import query, sql_any, sql_list, sql_strip, sql_text, sql_values
+from .registry import query, sql_any, sql_strip, sql_values
 
 
 def rounded(df, *names):

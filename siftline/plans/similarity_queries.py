@@ -4,12 +4,12 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fixed
 from .. import views as V
 from ..functions import text as T
-from ..functions.vectors import cosine, norm
+from ..functions.vectors import cosine
 from ..operators import anomaly as An
 from ..operators import clusters as Cl
 from ..operators import similarity as Sim
 from .graph_queries import NODES_CTE
-from .registry import SQL_BLANK, query, sql_any, sql_list, sql_strip, sql_text
+from .registry import SQL_BLANK, query, sql_any, sql_strip
 from .scan_queries import LINES_CTE
 
 VEC_CTE = """pv AS (SELECT cast(substr(pattern_id, 3) AS bigint) AS id, type_id, part_role, embedding::DOUBLE[] AS e FROM v_patterns_vec)"""

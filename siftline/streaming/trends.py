@@ -3,7 +3,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
-from ..operators.learning import confidence_adjustments  # noqa: F401  (the table form of the feedback stream)
 from .live import LATENESS
 
 
