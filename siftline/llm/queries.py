@@ -1,5 +1,5 @@
 """The operators as named queries over the given tables, with their check SQL where SQL can state the result."""
-from . import cuckoo_dedup, language_id, license_index, packed_ids, source_mix, warc
+from . import cuckoo_dedup, language_id, license_index, ngram_join, packed_ids, source_mix, warc
 from .common import read_table
 
 QUERIES, CHECK_SQL = {}, {}
@@ -81,6 +81,30 @@ def op7(spark, folder):
     return cuckoo_dedup.exact_groups(read_table(spark, folder, "documents"))
 
 
+@query("op8_ngram_join", r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s
+  FROM words),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+often AS (SELECT t FROM tokens GROUP BY t HAVING count(*) > 1),
+shared AS (SELECT tokens.* FROM tokens JOIN often USING (t)),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shared a JOIN shared b ON a.t = b.t AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM sets
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, least(min(reach.b), sets.doc_id) AS component_id
+FROM sets JOIN reach ON reach.a = sets.doc_id GROUP BY sets.doc_id, s
+""")
+def op8(spark, folder):
+    return ngram_join.near_duplicates(read_table(spark, folder, "documents"))
+
+
 @query("op9_packed_ids")
 def op9(spark, folder):
     return packed_ids.packed_tokens(read_table(spark, folder, "documents"))
