@@ -1,5 +1,5 @@
 """The operators as named queries over the given tables, with their check SQL where SQL can state the result."""
-from . import cuckoo_dedup, language_id, license_index, ngram_join, packed_ids, source_mix, warc
+from . import cuckoo_dedup, decontaminate, language_id, license_index, ngram_join, packed_ids, sanitise, source_mix, warc
 from .common import read_table
 
 QUERIES, CHECK_SQL = {}, {}
@@ -53,6 +53,33 @@ def op3(spark, folder):
     return source_mix.mix(read_table(spark, folder, "documents")).drop("repeats")
 
 
+@query("op4_decontaminate", r"""
+WITH items AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+placed AS (
+  SELECT item_id, len(w) AS n, unnest(range(0, len(w) - 4)) AS o, array_to_string(w[o + 1:o + 5], ' ') AS s FROM items WHERE len(w) >= 5),
+weights AS (SELECT s, ln(1 + (SELECT count(*) FROM items WHERE len(w) > 0)::DOUBLE / count(DISTINCT item_id)) AS weight FROM placed GROUP BY s),
+docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+runs AS (SELECT doc_id, len(w) AS size, unnest(range(0, len(w) - 4)) AS p, array_to_string(w[p + 1:p + 5], ' ') AS s FROM docs WHERE len(w) >= 5),
+windows AS (
+  SELECT DISTINCT doc_id, greatest(0, least(p - o, size - n)) AS start, n FROM runs JOIN (SELECT DISTINCT s, o, n FROM placed) USING (s)),
+held AS (
+  SELECT windows.doc_id, start, n, s, count(*) AS c FROM windows JOIN runs
+    ON runs.doc_id = windows.doc_id AND p >= start AND p <= start + n - 5 GROUP BY ALL),
+weighed AS (
+  SELECT held.*, coalesce(weight, ln(1 + (SELECT count(*) FROM items WHERE len(w) > 0)::DOUBLE)) AS weight FROM held LEFT JOIN weights USING (s)),
+counted AS (SELECT item_id, s, count(*) AS m FROM placed GROUP BY item_id, s),
+totals AS (SELECT doc_id, start, n, sum(c * weight) AS w FROM weighed GROUP BY ALL),
+item_totals AS (SELECT item_id, sum(m * weight) AS v FROM counted JOIN weights USING (s) GROUP BY item_id),
+shared AS (
+  SELECT doc_id, start, n, item_id, sum(least(c, m) * weight) AS joint FROM weighed JOIN counted USING (s) GROUP BY doc_id, start, n, item_id)
+SELECT doc_id, item_id, max(round(joint / (w + v - joint), 6)) AS similarity
+FROM shared JOIN totals USING (doc_id, start, n) JOIN item_totals USING (item_id)
+GROUP BY doc_id, item_id HAVING max(round(joint / (w + v - joint), 6)) >= 0.8
+""")
+def op4(spark, folder):
+    return decontaminate.leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 @query("op5_warc", """
 SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, digest AS payload_digest,
   CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
@@ -108,3 +135,8 @@ def op8(spark, folder):
 @query("op9_packed_ids")
 def op9(spark, folder):
     return packed_ids.packed_tokens(read_table(spark, folder, "documents"))
+
+
+@query("op10_sanitise")
+def op10(spark, folder):
+    return sanitise.report(read_table(spark, folder, "documents"))
