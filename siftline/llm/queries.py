@@ -1,5 +1,5 @@
 """The operators as named queries over the given tables, with their check SQL where SQL can state the result."""
-from . import cuckoo_dedup, decontaminate, language_id, license_index, ngram_join, packed_ids, sanitise, source_mix, warc
+from . import block_labeller, cuckoo_dedup, decontaminate, language_id, license_index, ngram_join, packed_ids, sanitise, source_mix, warc
 from .common import read_table
 
 QUERIES, CHECK_SQL = {}, {}
@@ -20,6 +20,11 @@ def op1(spark, folder):
     return license_index.scan(read_table(spark, folder, "documents"))
 
 
+@query("op2_block_labeller")
+def op2(spark, folder):
+    return block_labeller.main_texts(read_table(spark, folder, "pages"))
+
+
 @query("op3_source_mix", r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
