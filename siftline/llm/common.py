@@ -1,4 +1,5 @@
 """Helpers shared by the operators: stored tables, ranks, checked broadcasts, text buffers."""
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +44,19 @@ def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
     )
 
 
+def row_identity(df: DataFrame):
+    """A number that stays with a row when the same table is read twice.
+
+    Rows of files are named by file and place, which do not depend on how a scan is cut into tasks; other inputs,
+    such as literal rows in tests, by their place in the plan.
+    """
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    return F.xxhash64("_metadata.file_path", "_metadata.row_index")
+
+
 def text_bytes(column):
     """The values of an Arrow string column as bytes, null as empty."""
     import pyarrow as pa

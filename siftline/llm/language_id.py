@@ -262,22 +262,32 @@ def fit(documents: DataFrame, vocabulary: str | None = None, per_language: int =
     return Model(vocabulary, languages, np.log(share / share.sum()) if languages else share, table)
 
 
+def _predictions(spark, model: Model):
+    """A function from an Arrow column of texts to (language, score) pairs, for use inside tasks."""
+    held = spark.sparkContext.broadcast(model)  # one number per language and piece
+    key = uuid.uuid4().hex
+
+    def score(texts):
+        if key not in _scorers:
+            _scorers.clear()
+            _scorers[key] = Scorer(held.value)
+        found = []
+        for i in range(0, len(texts), 256):
+            found += _scorers[key].predict(texts.slice(i, 256).to_pylist())
+        return found
+
+    return score
+
+
 def predict(documents: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
-    held = documents.sparkSession.sparkContext.broadcast(model)  # one number per language and piece
-    key = uuid.uuid4().hex
+    predictions = _predictions(documents.sparkSession, model)
 
     def score(batches):
         import pyarrow as pa
 
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(held.value)
-        scorer = _scorers[key]
         for batch in batches:
-            texts, found = batch.column(2), []
-            for i in range(0, len(texts), 256):
-                found += scorer.predict(texts.slice(i, 256).to_pylist())
+            found = predictions(batch.column(2))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 ["doc_id", "held_out", "lang_pred", "score"])
@@ -288,3 +298,17 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
 
 def identify(documents: DataFrame, vocabulary: str | None = None, per_language: int = FIT_DOCUMENTS) -> DataFrame:
     return predict(documents, fit(documents, vocabulary, per_language))
+
+
+def accepted(documents: DataFrame, vocabulary: str | None = None, per_language: int = FIT_DOCUMENTS) -> DataFrame:
+    """The documents, with all their columns, whose language is determined."""
+    predictions = _predictions(documents.sparkSession, fit(documents, vocabulary, per_language))
+    place = documents.columns.index("text")
+
+    def keep(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array([lang != UNDETERMINED for lang, _ in predictions(batch.column(place))], pa.bool_()))
+
+    return documents.mapInArrow(keep, documents.schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import broadcast_up_to, stored, text_bytes
+from .common import broadcast_up_to, row_identity, stored, text_bytes
 from .components import components
 
 WIDTH, PERCENT = 5, 80
@@ -42,11 +42,11 @@ def required(n, percent=PERCENT):
 
 
 def _rows(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+    return documents.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text", row_identity(documents).alias("row_id"))
 
 
 def describe(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Stored (doc_id, text_key, n, node, common): one row per document, and rows that only carry counted hashes.
+    """Stored (doc_id, text_key, row_id, n, node, common): one row per document, and rows that only carry counted hashes.
 
     ``common`` holds (hash, count) of shingles that occur in two or more different sets of one task.
     """
@@ -57,16 +57,16 @@ def describe(documents: DataFrame, width: int = WIDTH) -> DataFrame:
 
         seen, held, size = set(), [], 0
 
-        def row_batch(docs, keys, sizes, nodes, common):
-            return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()),
-                                               pa.array(nodes, pa.int64()), pa.array(common, pa.binary())], ["doc_id", "text_key", "n", "node", "common"])
+        def row_batch(docs, keys, places, sizes, nodes, common):
+            numbers = [pa.array(c, pa.int64()) for c in (docs, keys, places, sizes, nodes)]
+            return pa.RecordBatch.from_arrays([*numbers, pa.array(common, pa.binary())], ["doc_id", "text_key", "row_id", "n", "node", "common"])
 
         def counted():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             often = counts > 1
             pairs = np.stack([values[often], counts[often].astype("u8")], axis=1)
             for k in range(0, len(pairs), 100_000):
-                yield row_batch([None], [None], [-1], [None], [pairs[k:k + 100_000].tobytes()])
+                yield row_batch([None], [None], [None], [-1], [None], [pairs[k:k + 100_000].tobytes()])
 
         for batch in batches:
             sizes, nodes = [], []
@@ -82,11 +82,11 @@ def describe(documents: DataFrame, width: int = WIDTH) -> DataFrame:
                 if size > COUNT_AT_ONCE:
                     yield from counted()
                     seen, held, size = set(), [], 0
-            yield row_batch(batch.column(0), batch.column(1), sizes, nodes, [None] * len(sizes))
+            yield row_batch(batch.column(0), batch.column(1), batch.column(3), sizes, nodes, [None] * len(sizes))
         if size:
             yield from counted()
 
-    return stored(_rows(documents).mapInArrow(read, "doc_id long, text_key long, n long, node long, common binary"), "sets")
+    return stored(_rows(documents).mapInArrow(read, "doc_id long, text_key long, row_id long, n long, node long, common binary"), "sets")
 
 
 def common_shingles(described: DataFrame, most: int = COMMON):
@@ -270,10 +270,10 @@ def verified(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, width=WID
     return both.select("a", "b", "a_text", "b_text").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+def grouped_rows(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Stored (doc_id, row_id, n, component, component_id): every row with its component, null for empty sets."""
     described = describe(documents, width)
-    rows = described.filter("n >= 0").select("doc_id", "text_key", "n", "node")
+    rows = described.filter("n >= 0").select("doc_id", "text_key", "row_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
     # a set's representative is its smallest document; sets are one node however many copies they have
     nodes = stored(rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("r"), F.min("doc_id").alias("least"))
                    .select("node", "r.doc_id", "r.text_key", "least"), "nodes")
@@ -282,7 +282,27 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PER
     rest = verified(documents, nodes, crossing_pairs(postings, components(first), percent), width, percent)
     labels = stored(components(first.unionAll(rest)), "labels")
     least = labels.join(nodes, "node").groupBy("component").agg(F.min("least").alias("first_doc"))
-    linked = labels.join(least, "component").select("node", "first_doc")
-    named = stored(nodes.select("node", "least").join(linked, "node", "left").select(F.col("node").alias("_set"), F.coalesce("first_doc", "least").alias("component_id")), "named")
-    return rows.withColumn("_set", F.when(F.col("n") > 0, F.col("node"))).join(named, "_set", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = labels.join(least, "component").select("node", "component", "first_doc")
+    named = nodes.select("node", "least").join(linked, "node", "left").select(
+        "node", F.coalesce("component", "node").alias("component"), F.coalesce("first_doc", "least").alias("component_id"))
+    return stored(rows.join(stored(named, "named"), "node", "left").select("doc_id", "row_id", "n", "component", "component_id"), "grouped")
+
+
+def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    rows = grouped_rows(documents, width, percent)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def without_near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The documents, with all their columns, but of each component only the one with the smallest doc_id.
+
+    Of repeated rows one stays; texts without words link with nothing and stay.
+    """
+    rows = grouped_rows(documents, width, percent).filter(F.col("component").isNotNull())
+    keep = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_id"))["row_id"]
+    keepers = stored(rows.groupBy("component").agg(keep.alias("_keep")), "keepers")
+    dropped = rows.join(keepers, "component").filter(F.col("row_id") != F.col("_keep")).select(F.col("row_id").alias("_row"), F.col("doc_id").alias("_doc"))
+    dropped = broadcast_up_to(stored(dropped, "dropped"), BROADCAST_IDS)
+    named = documents.withColumn("_row_id", row_identity(documents))
+    return named.join(dropped, (F.col("_row_id") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti").select(*documents.columns)

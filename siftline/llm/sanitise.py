@@ -19,7 +19,7 @@ import functools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import row_identity, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Same matches as the plain patterns, in linear time: a run is entered at its start or where the last match ended.
@@ -78,14 +78,14 @@ def _placed(found: DataFrame, keys: list) -> DataFrame:
 
 def _candidates(documents: DataFrame) -> DataFrame:
     """Stored rows with a row number; matches per kind and the text only where something may match."""
-    rows = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), row_identity(documents).alias("row_id"))
     may = {k: F.col("text").rlike(GATES[k]) for k in GATES}
     may["email"] = F.contains("text", F.lit("@")) & may["email"]
     may["phone"] = F.contains("text", F.lit("+")) & may["phone"]
-    rows = rows.select("doc_id", "text", *[may[k].alias(f"may_{k}") for k in GATES])
-    tried = rows.select("doc_id", "text", *[F.when(F.col(f"may_{k}"), F.struct(_matches(F.col("text"), p).alias("m"), _lengths(F.col("text"), p).alias("g"))).alias(k) for k, p in PATTERNS.items()])
+    rows = rows.select("doc_id", "row_id", "text", *[may[k].alias(f"may_{k}") for k in GATES])
+    tried = rows.select("doc_id", "row_id", "text", *[F.when(F.col(f"may_{k}"), F.struct(_matches(F.col("text"), p).alias("m"), _lengths(F.col("text"), p).alias("g"))).alias(k) for k, p in PATTERNS.items()])
     some = functools.reduce(lambda a, b: a | b, [F.size(F.col(k)["m"]) > 0 for k in PATTERNS])
-    return stored(tried.select("doc_id", F.monotonically_increasing_id().alias("row_id"), F.when(some, F.col("text")).alias("text"), *PATTERNS), "pattern-matches")
+    return stored(tried.select("doc_id", "row_id", F.when(some, F.col("text")).alias("text"), *PATTERNS), "pattern-matches")
 
 
 def base_spans(candidates: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def sanitise(documents: DataFrame, support=SUPPORT, threshold=GENERALISE, remove
     before = F.coalesce(F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     apart = spans.withColumn("put", put).withColumn("before", before).filter(F.col("start") >= F.col("before"))
     per_row = apart.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "put", "before"))).alias("s"))
-    texts = documents.select("doc_id", "text", F.monotonically_increasing_id().alias("row_id")).join(per_row, "row_id", "left")
+    texts = documents.select("doc_id", "text", row_identity(documents).alias("row_id")).join(per_row, "row_id", "left")
     parts = F.transform("s", lambda x: F.concat(F.substring(F.col("text"), (x["before"] + 1).cast("int"), (x["start"] - x["before"]).cast("int")), x["put"]))
     tail = F.substring(F.col("text"), (F.element_at("s", -1)["end"] + 1).cast("int"), F.char_length("text"))
     return texts.select("doc_id", F.when(F.col("s").isNull(), F.col("text")).otherwise(F.concat(F.array_join(parts, ""), tail)).alias("sanitised"))

@@ -86,11 +86,27 @@ def _thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return stored(state.select("source", "source_size", "target", "repeats", "below"), "thresholds")
 
 
-def mix(documents: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, repeats (whole passes over the document)."""
+def _limits(documents: DataFrame, weights, max_repeats):
+    """Stored sizes of the documents, and the passes and hash threshold of every source."""
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
     sizes = stored(documents.select("doc_id", "source", size.alias("size"), document_hash(F.col("doc_id")).alias("hash")), "sizes")
     limits = _thresholds(sizes, source_targets(sizes, weights, max_repeats)).withColumnRenamed("source", "_source")
-    joined = sizes.join(broadcast_up_to(limits, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_source")))
+    return sizes, broadcast_up_to(limits, BROADCAST_SOURCES)
+
+
+def mix(documents: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, repeats (whole passes over the document)."""
+    sizes, limits = _limits(documents, weights, max_repeats)
+    joined = sizes.join(limits, F.col("source").eqNullSafe(F.col("_source")))
     passes = F.col("repeats") + (F.col("hash") < F.col("below")).cast("long")
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * passes).alias("taken"), passes.alias("repeats"))
+
+
+def mixed(documents: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS) -> DataFrame:
+    """The documents as the mix takes them, each row as often as it is taken; texts move nowhere."""
+    _, limits = _limits(documents, weights, max_repeats)
+    limits = limits.select("_source", F.col("repeats").alias("_repeats"), F.col("below").alias("_below"))
+    joined = documents.join(limits, F.col("source").eqNullSafe(F.col("_source")))
+    passes = F.col("_repeats") + (document_hash(F.col("doc_id")) < F.col("_below")).cast("long")
+    taken = joined.withColumn("_passes", passes).filter("_passes > 0")
+    return taken.withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), "_passes"))).select(*documents.columns)

@@ -27,7 +27,7 @@ from pyspark.sql.datasource import (
 )
 
 from ..session import new_run_folder
-from .common import text_bytes
+from .common import row_identity, stored, text_bytes
 
 FORMAT = "siftline_warc"
 SCHEMA = (
@@ -305,12 +305,12 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Rows of WRITE_SCHEMA: of equal payloads of at least ``min_bytes`` the largest page_id is the response."""
     rows = pages.select(
         F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"),
-        F.monotonically_increasing_id().alias("row_id"),
+        row_identity(pages).alias("row_id"),
     ).withColumn("_key", F.unhex(F.sha2(F.col("payload"), 256)))
     holder = F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "row_id")
     keep = rows.filter(F.octet_length("payload") >= min_bytes).groupBy("_key").agg(F.max(holder).alias("_keep"), F.count("*").alias("_n"))
-    # only payloads that occur again travel to their holder; adaptive execution splits a hot one
-    repeated = keep.filter("_n > 1").select("_key", "_keep")
+    # only payloads that occur again are looked up; a stored side lets adaptive execution split a hot one
+    repeated = stored(keep.filter("_n > 1").select("_key", "_keep"), "repeated-payloads")
     joined = rows.join(repeated, "_key", "left")
     revisit = F.col("_keep").isNotNull() & (F.col("row_id") != F.col("_keep.row_id"))
     return joined.select(
