@@ -558,3 +558,9 @@ PROMPT_FIELDS = {
     "secure_code_example": "Corrected code example",
     "references": ["url1", "url2", "url3"],
 }
+
+# The text an explanation adds to a finding, and the mark that tells such a text.
+ENRICHMENT_MARK = "Llama 3 70B"
+ENRICHED_OPENING = "\n\n🤖 Advanced AI Analysis (Llama 3 70B):\n"
+ENRICHED_ATTACK = "\n\n⚔️ Attack Vector: "
+ENRICHED_RISK = "\n💼 Business Risk: "

@@ -24,9 +24,9 @@ def from_content(content: Column) -> Column:
     return F.when(best["score"] > 0, best["language"])
 
 
-def detect(path: Column, content: Column, head: int = 1000) -> Column:
-    """Extension first; else the signatures in the head of the text."""
-    return F.coalesce(from_extension(path), from_content(F.substring(content, 1, head)))
+def detect(path: Column, content: Column, head: int | None = None) -> Column:
+    """Extension first; else the signatures in the text, or in its head if a length is given."""
+    return F.coalesce(from_extension(path), from_content(content if head is None else F.substring(content, 1, head)))
 
 
 def from_suffix(path: Column, default: str) -> Column:

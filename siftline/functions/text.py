@@ -49,8 +49,10 @@ def count_of(column, word: str) -> Column:
     return (removed / len(word)).cast("int")
 
 
-def cut(column, limit: int, mark: str = "...") -> Column:
-    """The text, or its first characters and a mark when it is longer."""
+def cut(column, limit: int | None = None, mark: str = "...") -> Column:
+    """The text, or with a limit its first characters and a mark when it is longer."""
+    if limit is None:
+        return column
     return F.when(F.length(column) > limit, F.concat(F.substring(column, 1, limit), F.lit(mark))).otherwise(column)
 
 
@@ -60,13 +62,14 @@ def words_present(column: Column, words) -> Column:
     return F.array_compact(marks)
 
 
-def code_tokens(column, limit: int = 50) -> Column:
-    """Lower-cased words of a snippet after dropping comments and naming strings STRING."""
+def code_tokens(column, limit: int | None = None) -> Column:
+    """Lower-cased words of a snippet, all unless ``limit`` cuts them, after dropping comments and naming strings STRING."""
     text = F.regexp_replace(column, "#[^\n]*", "")
     text = F.regexp_replace(text, "//[^\n]*", "")
     text = F.regexp_replace(text, '"[^"]*"', "STRING")
     text = F.regexp_replace(text, "'[^']*'", "STRING")
-    return F.slice(F.regexp_extract_all(F.lower(text), F.lit(f"({WORD}+)"), 1), 1, limit)
+    words = F.regexp_extract_all(F.lower(text), F.lit(f"({WORD}+)"), 1)
+    return words if limit is None else F.slice(words, 1, limit)
 
 
 def normalised_code(column) -> Column:
@@ -76,7 +79,8 @@ def normalised_code(column) -> Column:
 
 
 def structure_hash(column) -> Column:
-    return F.substring(F.md5(normalised_code(column)), 1, 8)
+    """The whole digest, as it groups and joins."""
+    return F.md5(normalised_code(column))
 
 
 def code_key(language, code) -> Column:

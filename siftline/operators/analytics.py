@@ -39,10 +39,10 @@ def analyzer_of(finding_id: Column) -> Column:
     )
 
 
-def analyzer_counts(findings: DataFrame, sample: int = 1000) -> DataFrame:
-    """Findings per analyzer in the first ``sample`` rows, as the report defines it."""
-    first = findings.orderBy("id").limit(sample)
-    return first.select(analyzer_of(F.col("detector_id")).alias("analyzer")).filter("analyzer IS NOT NULL").groupBy(
+def analyzer_counts(findings: DataFrame, sample: int | None = None) -> DataFrame:
+    """Findings per analyzer, of all rows or of the first ``sample`` by id."""
+    counted = findings if sample is None else findings.orderBy("id").limit(sample)
+    return counted.select(analyzer_of(F.col("detector_id")).alias("analyzer")).filter("analyzer IS NOT NULL").groupBy(
         "analyzer").agg(F.count("*").alias("detections"))
 
 

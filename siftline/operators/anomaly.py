@@ -19,7 +19,7 @@ EULER = 0.5772156649
 
 
 def fingerprints(segments: DataFrame, *keep: str) -> DataFrame:
-    """Embedding head, graph shape, text statistics and security flags as one vector.
+    """Whole embedding, graph shape, text statistics and security flags as one vector.
 
     ``segments`` has (id, content, embedding); everything is computed inside its row.
     """
@@ -36,7 +36,7 @@ def fingerprints(segments: DataFrame, *keep: str) -> DataFrame:
         F.coalesce(F.try_divide(F.col("_edges"), F.col("_n")), F.lit(0.0)), *stats.values(),
     ]
     tail = F.array(*[c.cast("double") for c in numbers])
-    head = F.slice("embedding", 1, 100).cast("array<double>")
+    head = F.col("embedding").cast("array<double>")
     return shaped.select("id", *keep, "content", F.concat(head, tail).alias("fingerprint"))
 
 
@@ -84,7 +84,7 @@ def anomaly_candidates(queries: DataFrame, known: DataFrame) -> DataFrame:
     # fingerprints read the whole text once; what is kept of it afterwards is small
     described = cut_lineage(queries.select(
         "id", F.col("fingerprint").alias("embedding"), S.risk_tier(code).alias("risk_assessment"),
-        S.predicted_cwe(code).alias("predicted_cwe"), F.concat(F.lit("ZERO-DAY-"), F.substring(F.md5(code), 1, 8)).alias("candidate_id")))
+        S.predicted_cwe(code).alias("predicted_cwe"), F.concat(F.lit("ZERO-DAY-"), F.md5(code)).alias("candidate_id")))
     k = cut_lineage(known.select("id", F.col("fingerprint").alias("embedding")))
     odd = distance_scores(described, k).filter(F.col("anomaly_score") < -0.5)
     similar = similar_known(described.join(odd.select("id"), "id", "left_semi"), k)

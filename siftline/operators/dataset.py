@@ -58,13 +58,15 @@ def save_dataset(samples: DataFrame, path: str) -> None:
     dataset_metadata(samples).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
 
 
-def tfidf(texts: DataFrame, column: str = "content", features: int = 1000) -> DataFrame:
-    """TF-IDF weights over the most frequent words."""
-    from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer
-
-    words = RegexTokenizer(inputCol=column, outputCol="words", pattern=r"(?U)\w+", gaps=False).transform(texts)
-    counts = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=features).fit(words).transform(words)
-    return IDF(inputCol="counts", outputCol="weights").fit(counts).transform(counts).drop("words", "counts")
+def tfidf(texts: DataFrame, id_column: str = "file_id", column: str = "content") -> DataFrame:
+    """(id, word, weight) of every word: its count in the text times ln((texts + 1) / (texts with it + 1))."""
+    total = texts.agg(F.count("*")).scalar()
+    words = texts.select(id_column, F.explode(F.regexp_extract_all(F.lower(column), F.lit(r"([\p{L}\p{N}_]+)"), 1)).alias("word"))
+    counts = words.groupBy(id_column, "word").agg(F.count("*").alias("n"))
+    held = counts.groupBy("word").agg(F.count("*").alias("texts"))
+    # a word of most texts meets its one row of ``held``; adaptive execution splits it
+    weight = F.col("n") * F.log((total + 1.0) / (F.col("texts") + 1.0))
+    return counts.join(held, "word").select(id_column, "word", weight.alias("weight"))
 
 
 def train_graph_classifier(pooled: DataFrame, positive_weight: float = 2.0, seed: int = 42):

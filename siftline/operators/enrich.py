@@ -11,11 +11,11 @@ EXPLANATION_SCHEMA = ", ".join(f"{f} string" for f in fixed.EXPLANATION_FIELDS)
 
 
 def prompt(code, kind, severity, line, language) -> Column:
-    """The request for one finding, with a bounded piece of its code."""
+    """The request for one finding, with all of its code."""
     shape = "{\n" + ",\n".join(f'    "{k}": {json.dumps(v)}' for k, v in fixed.PROMPT_FIELDS.items()) + "\n}"
     return F.concat(
         F.lit(fixed.PROMPT_OPENING), language,
-        F.lit(" code with a detected "), kind, F.lit(" vulnerability:\n\n```"), language, F.lit("\n"), T.cut(code, 300),
+        F.lit(" code with a detected "), kind, F.lit(" vulnerability:\n\n```"), language, F.lit("\n"), code,
         F.lit("\n```\n\nVulnerability Details:\n- Type: "), kind, F.lit("\n- Severity: "), severity, F.lit("\n- Line: "),
         line.cast("string"),
         F.lit(fixed.PROMPT_REQUEST + shape + fixed.PROMPT_CLOSING),
@@ -55,7 +55,7 @@ def with_explanation(findings: DataFrame, cache: DataFrame, as_of: Column) -> Da
 
     ``cache`` has (cache_key, cached_at, explanation struct); the freshest entry of a key counts.
     """
-    key = T.finding_key(T.cut(F.col("code_snippet"), 300), F.col("name"), F.col("line_start"))
+    key = T.finding_key(F.col("code_snippet"), F.col("name"), F.col("line_start"))
     fresh = cache.filter(F.col("cached_at") > as_of - F.expr("INTERVAL 24 HOURS"))
     newest = fresh.groupBy("cache_key").agg(F.max_by("explanation", "cached_at").alias("explanation"))
     joined = findings.withColumn("cache_key", key).join(newest, "cache_key", "left")
@@ -68,8 +68,8 @@ def enriched(explained: DataFrame) -> DataFrame:
     """Findings raised by their explanation: text appended, fix replaced, confidence up a tenth."""
     e = F.col("explanation")
     text = F.concat(
-        F.coalesce("ai_explanation", F.lit("None")), F.lit("\n\nAdvanced AI Analysis:\n"), e["detailed_explanation"],
-        F.lit("\n\nAttack Vector: "), e["attack_scenario"], F.lit("\nBusiness Risk: "), e["business_impact"])
+        F.coalesce("ai_explanation", F.lit("None")), F.lit(fixed.ENRICHED_OPENING), e["detailed_explanation"],
+        F.lit(fixed.ENRICHED_ATTACK), e["attack_scenario"], F.lit(fixed.ENRICHED_RISK), e["business_impact"])
     return explained.withColumn("ai_explanation", text).withColumn("fix_suggestion", e["fix_recommendation"]).withColumn(
         "confidence", F.least(F.col("confidence") * 1.1, F.lit(0.99)))
 

@@ -30,10 +30,11 @@ def list_projects(projects: DataFrame, active_only=True, skip=0, limit=100) -> D
     return projects.orderBy("id").offset(skip).limit(limit)
 
 
-def confirmed_exemplars(findings: DataFrame, limit: int = 100) -> DataFrame:
-    """Confirmed findings above 0.8 that serve as similarity exemplars."""
+def confirmed_exemplars(findings: DataFrame, limit: int | None = None) -> DataFrame:
+    """Confirmed findings above 0.8 that serve as similarity exemplars; a limit keeps the first by id."""
     good = (F.col("status") == "confirmed") & (F.col("confidence_score") > 0.8)
-    return findings.filter(good).orderBy("id").limit(limit)
+    chosen = findings.filter(good)
+    return chosen if limit is None else chosen.orderBy("id").limit(limit)
 
 
 def enrich(findings: DataFrame, rules: DataFrame) -> DataFrame:
@@ -95,13 +96,13 @@ def validate_updates(updates: DataFrame) -> DataFrame:
 
 
 def stored_form(findings: DataFrame) -> DataFrame:
-    """Findings as they are stored: short snippet and an id that a re-run repeats."""
+    """Findings as they are stored, with an id that a re-run repeats."""
     key = F.md5(F.concat_ws("|", "file_path", F.col("line_start").cast("string"), "name"))
     return findings.select(
-        F.concat(F.lit("DET-"), F.substring(key, 1, 8)).alias("detection_id"),
+        F.concat(F.lit("DET-"), key).alias("detection_id"),
         "file_path", "line_start", "line_end", "severity",
         F.col("confidence").alias("confidence_score"),
-        F.substring(F.coalesce("code_snippet", F.lit("")), 1, 500).alias("code_snippet"),
+        F.coalesce("code_snippet", F.lit("")).alias("code_snippet"),
         "ai_explanation",
     )
 
@@ -148,6 +149,3 @@ def sorted_for_display(findings: DataFrame) -> DataFrame:
     ranked = findings.withColumn("rank", severity_rank(F.col("severity")))
     return ranked.orderBy("rank", "line_start", "id")
 
-
-def display_snippet(column, limit: int) -> Column:
-    return T.cut(column, limit)

@@ -200,7 +200,7 @@ def approve_suggestion(suggestions: DataFrame, index: int) -> DataFrame:
     picked = suggestions.orderBy(*order).offset(index).limit(1)
     pattern = F.array(F.col("code_example"))
     return picked.select(
-        F.concat(F.lit("LEARNED-"), F.substring(F.md5(F.concat_ws("|", "vulnerability_type", "code_example")), 1, 8)).alias("rule_id"),
+        F.concat(F.lit("LEARNED-"), F.md5(F.concat_ws("|", "vulnerability_type", "code_example"))).alias("rule_id"),
         F.concat(F.lit("Learned "), "vulnerability_type", F.lit(" Pattern")).alias("name"),
         F.concat(F.lit("Pattern learned from "), F.col("confirmations").cast("string"), F.lit(" confirmed detections")).alias("description"),
         F.lit("high").alias("severity"),

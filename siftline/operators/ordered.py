@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 20
 
 
+def _beside(left: DataFrame, right: DataFrame, keys: list, how: str = "inner") -> DataFrame:
+    """Join on keys where null equals null, keeping the left columns and the right's other ones."""
+    named = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    condition = on[0]
+    for c in on[1:]:
+        condition = condition & c
+    return left.join(named, condition, how).drop(*[f"_k_{k}" for k in keys])
+
+
 def _blocked(df: DataFrame, seq: str, block: int) -> DataFrame:
     return df.withColumn("_block", F.floor(F.col(seq) / F.lit(block)).cast("long"))
 
@@ -26,7 +36,7 @@ def running_sums(df: DataFrame, keys: list, seq: str, sums: dict, block: int = B
     )
     inside = Window.partitionBy(*keys, "_block").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     running = blocked.select("*", *[F.sum(c).over(inside).alias(f"_r_{n}") for n, c in sums.items()])
-    joined = running.join(offsets, [*keys, "_block"])
+    joined = _beside(running, offsets, [*keys, "_block"])
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[(F.col(f"_r_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums],
@@ -44,10 +54,11 @@ def previous_values(df: DataFrame, keys: list, seq: str, values: dict, block: in
     packed = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
     inside = Window.partitionBy(*keys, "_block").orderBy(seq)
     within = blocked.withColumn("_prev", F.lag(packed).over(inside))
-    last = blocked.groupBy(*keys, "_block").agg(F.max_by(packed, F.col(seq)).alias("_last"))
+    # rows without a place come first, in a block of their own
+    last = blocked.groupBy(*keys, "_block").agg(F.max_by(packed, F.coalesce(F.col(seq), F.lit(0))).alias("_last"))
     across = Window.partitionBy(*keys).orderBy("_block")
     carried = last.select(*keys, "_block", F.lag("_last").over(across).alias("_carried"))
-    joined = within.join(carried, [*keys, "_block"])
+    joined = _beside(within, carried, [*keys, "_block"])
     before = F.coalesce(F.col("_prev"), F.col("_carried"))
     return joined.select(*[F.col(c) for c in df.columns], *[before[n].alias(n) for n in values])
 
@@ -64,6 +75,6 @@ def gap_to_next(df: DataFrame, keys: list, at: str, name: str, limit: int, bucke
     firsts = cut.groupBy(*keys, "_bucket").agg(F.min(at).alias("_first")).withColumn("_bucket", F.col("_bucket") - 1)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(at)
     with_next = cut.withColumn("_next", F.lead(at).over(inside))
-    joined = with_next.join(firsts, [*keys, "_bucket"], "left")
+    joined = _beside(with_next, firsts, [*keys, "_bucket"], "left")
     distance = F.coalesce(F.col("_next"), F.col("_first")) - F.col(at)
     return joined.select(*[F.col(c) for c in df.columns], F.when(distance < limit, distance).alias(name))

@@ -238,7 +238,7 @@ def first_per_place(findings: DataFrame) -> DataFrame:
     return kept.select(*DEDUPE_KEY, "kept.*").select(*findings.columns)
 
 
-def best_per_place(findings: DataFrame, marker: str = "LLM") -> DataFrame:
+def best_per_place(findings: DataFrame, marker: str = fixed.ENRICHMENT_MARK) -> DataFrame:
     """Keep the most confident finding per (file, line, name).
 
     Among equals the earliest stays, unless it has an explanation without the

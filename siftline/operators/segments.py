@@ -116,7 +116,7 @@ def complexity_findings(files: DataFrame, limit: int = fixed.COMPLEXITY_LIMIT) -
         "file_path",
         F.col("start_line").alias("line_start"),
         (F.col("start_line") + F.col("line_count") - 1).alias("line_end"),
-        T.cut("code", 200).alias("code_snippet"),
+        F.col("code").alias("code_snippet"),
         F.lit(None).cast("string").alias("cwe_id"),
         F.lit(fixed.COMPLEXITY_FIX).alias("fix_suggestion"),
         F.lit(None).cast("string").alias("ai_explanation"),
@@ -150,8 +150,8 @@ def _lines_with(lines: Column, words) -> Column:
     return F.array_compact(F.transform(lines, lambda line, i: F.when(T.contains_any(line, words), i + 1)))
 
 
-def context_snippet(code: Column, lines: Column, mark: str, around: int = 2, limit: int = 300) -> Column:
-    """The text from ``around`` lines before the first hit to as many after the last."""
+def context_snippet(code: Column, lines: Column, mark: str, around: int = 2, limit: int | None = None) -> Column:
+    """The text, whole or cut to a limit, from ``around`` lines before the first hit to as many after the last."""
     all_lines = T.split_lines(code)
     low = F.greatest(F.lit(0), F.array_min(lines) - around - 1)
     high = F.least(F.size(all_lines), F.array_max(lines) + around)

@@ -9,6 +9,7 @@ from ..operators import analyzers as Az
 from ..operators import dataset as D
 from ..operators import enrich as E
 from ..operators import graph as G
+from ..operators import scan as C
 from ..operators import learning as Learn
 from ..session import new_run_folder
 from ..sources import stored
@@ -88,14 +89,12 @@ def code_variants(spark, folder):
     return D.code_variants(samples).select("file_id", "variant", "code")
 
 
-@query("tfidf")
+@query("tfidf", """
+WITH w AS (SELECT file_id, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}_]+')) AS word FROM v_code_files),
+c AS (SELECT file_id, word, count(*) AS n FROM w GROUP BY 1, 2), h AS (SELECT word, count(*) AS texts FROM c GROUP BY 1)
+SELECT file_id, word, round(n * ln(((SELECT count(*) FROM v_code_files) + 1.0::DOUBLE) / (texts + 1.0::DOUBLE)), 6) AS weight FROM c JOIN h USING (word)""")
 def tfidf(spark, folder):
-    """Largest weight and number of weighted words per file."""
-    from pyspark.ml.functions import vector_to_array
-
-    weights = D.tfidf(V.code_files(spark, folder).select("file_id", "content"))
-    w = F.filter(vector_to_array("weights"), lambda x: x > 0)
-    return weights.select("file_id", F.size(w).alias("terms"), F.round(F.array_max(w), 6).alias("max_weight"))
+    return D.tfidf(V.code_files(spark, folder)).withColumn("weight", F.round("weight", 6))
 
 
 def pooled_samples(spark, folder):
@@ -172,7 +171,7 @@ def findings_with_code(spark, folder):
 
 @query("render_prompts", """
 SELECT id, md5(concat('You are an expert security researcher analyzing code vulnerabilities. ', chr(10), 'Analyze this python code with a detected ', vulnerability_type, ' vulnerability:', chr(10), chr(10), '```python', chr(10),
-  CASE WHEN length(code_snippet) > 300 THEN concat(left(code_snippet, 300), '...') ELSE code_snippet END, chr(10), '```', chr(10), chr(10), 'Vulnerability Details:', chr(10), '- Type: ', vulnerability_type, chr(10),
+  code_snippet, chr(10), '```', chr(10), chr(10), 'Vulnerability Details:', chr(10), '- Type: ', vulnerability_type, chr(10),
   '- Severity: ', severity, chr(10), '- Line: ', line_start)) AS head_hash FROM v_detections d JOIN v_feedback f ON d.detection_id = f.detection_id""")
 def render_prompts(spark, folder):
     f = findings_with_code(spark, folder)
@@ -185,8 +184,8 @@ CACHE_CTE = f"""b AS (SELECT d.id, d.severity, d.confidence_score, d.detected_at
 ca AS (SELECT key, max(detected_at) AS cached_at FROM b WHERE detected_at > {V.AS_OF_SQL} - INTERVAL 24 HOUR GROUP BY key)"""
 
 
-def explained(spark, folder):
-    f = findings_with_code(spark, folder)
+def explained(spark, folder, f=None):
+    f = findings_with_code(spark, folder) if f is None else f
     key = T.finding_key(F.col("code_snippet"), F.col("name"), F.col("line_start"))
     text = F.concat(F.lit("cached at "), F.col("detected_at").cast("string"))
     entry = F.struct(*[text.alias(c) for c in fixed.EXPLANATION_FIELDS], F.array(F.lit("ref")).alias("references"))
@@ -212,6 +211,27 @@ def llm_enrich(spark, folder):
     return rich.select("id", F.round("confidence", 6).alias("confidence"), fix.alias("fix_suggestion"))
 
 
+@query("enriched_best", f"""
+WITH b AS (SELECT d.id, d.detected_at, md5(concat(repeat(code_snippet, 20), ':', vulnerability_type, ':', line_start)) AS key FROM v_detections d JOIN v_feedback f ON d.detection_id = f.detection_id),
+ca AS (SELECT key FROM b WHERE detected_at > {V.AS_OF_SQL} - INTERVAL 24 HOUR GROUP BY key)
+SELECT b.id, b.id % 3 <> 1 AS marked, b.id % 3 <> 1 AND ca.key IS NOT NULL AS from_cache FROM b LEFT JOIN ca ON ca.key = b.key""")
+def enriched_best(spark, folder):
+    """Findings with long snippets, explained and enriched, against their plain form: the best of each place.
+
+    A third of the plain forms beats its enriched form, a third is equal, so that the mark decides.
+    """
+    k = F.col("id") % 3
+    f = findings_with_code(spark, folder).withColumns({
+        "code_snippet": F.repeat("code_snippet", 20), "confidence": F.when(k == 0, 0.99).when(k == 1, 0.995).otherwise(0.5),
+        "ai_explanation": F.lit("rule text"), "fix_suggestion": F.lit("rule fix"), "file_path": F.concat(F.lit("f"), F.col("id").cast("string"))})
+    rich = E.enriched(explained(spark, folder, f))
+    shown = ["id", "file_path", "line_start", "name", "confidence", "ai_explanation", "analyzer_ord"]
+    both = f.withColumn("analyzer_ord", F.lit(0)).select(shown).unionByName(rich.withColumn("analyzer_ord", F.lit(1)).select(shown))
+    text = F.col("ai_explanation")
+    return C.best_per_place(both).select(
+        "id", F.contains(text, F.lit(fixed.ENRICHMENT_MARK)).alias("marked"), F.contains(text, F.lit("cached at ")).alias("from_cache"))
+
+
 def note_lines(code, language, path):
     """A small user analyzer: lines that carry a note."""
     return [

@@ -62,7 +62,7 @@ SELECT CASE WHEN contains(detector_id, 'PATTERN') THEN 'pattern_scanner'
   WHEN contains(detector_id, 'PARSE') OR contains(detector_id, 'AST') THEN 'ast_parser'
   WHEN contains(detector_id, 'AI-') THEN 'ai_analyzer' WHEN contains(detector_id, 'GNN') THEN 'gnn_analyzer'
   WHEN contains(detector_id, 'HYBRID') THEN 'hybrid_analyzer' END AS analyzer, count(*) AS detections
-FROM (SELECT * FROM v_detections ORDER BY id LIMIT 1000) GROUP BY 1 HAVING analyzer IS NOT NULL""")
+FROM v_detections GROUP BY 1 HAVING analyzer IS NOT NULL""")
 def analyzer_counts(spark, folder):
     return A.analyzer_counts(V.detections(spark, folder))
 
@@ -191,7 +191,7 @@ def list_projects(spark, folder):
 
 @query("confirmed_exemplars", """
 SELECT id, detection_id, severity, confidence_score FROM v_detections
-WHERE status = 'confirmed' AND confidence_score > 0.8 ORDER BY id LIMIT 100""")
+WHERE status = 'confirmed' AND confidence_score > 0.8""")
 def confirmed_exemplars(spark, folder):
     return O.confirmed_exemplars(V.detections(spark, folder)).select("id", "detection_id", "severity", "confidence_score")
 

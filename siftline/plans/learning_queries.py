@@ -23,7 +23,7 @@ def sql_tokens(col):
     step = f"regexp_replace({step}, '//[^\\n]*', '', 'g')"
     step = f"regexp_replace({step}, '\"[^\"]*\"', 'STRING', 'g')"
     step = f"regexp_replace({step}, '''[^'']*''', 'STRING', 'g')"
-    return f"list_slice(regexp_extract_all(lower({step}), '[\\p{{L}}\\p{{N}}_]+'), 1, 50)"
+    return f"regexp_extract_all(lower({step}), '[\\p{{L}}\\p{{N}}_]+')"
 
 
 def sql_normalised(col):
@@ -31,7 +31,7 @@ def sql_normalised(col):
 
 
 def sql_hash(col):
-    return f"left(md5({sql_normalised(col)}), 8)"
+    return f"md5({sql_normalised(col)})"
 
 
 @query("type_accuracy", """
@@ -337,7 +337,7 @@ def pattern_suggestions(spark, folder):
 
 @query("approve_pattern", f"""
 WITH {SUGGEST_CTE}, pick AS (SELECT * FROM sg ORDER BY confirmations DESC, vulnerability_type, first_seen LIMIT 1 OFFSET 2)
-SELECT concat('LEARNED-', left(md5(concat(vulnerability_type, '|', code_example)), 8)) AS rule_id, concat('Learned ', vulnerability_type, ' Pattern') AS name,
+SELECT concat('LEARNED-', md5(concat(vulnerability_type, '|', code_example))) AS rule_id, concat('Learned ', vulnerability_type, ' Pattern') AS name,
   concat('Pattern learned from ', confirmations, ' confirmed detections') AS description, 'high' AS severity, 'python,javascript' AS languages,
   code_example AS python_regex, round(0.7 + 0.1, 4) AS threshold FROM pick""")
 def approve_pattern(spark, folder):
@@ -357,10 +357,14 @@ def feedback_features(spark, folder):
 
 @query("feedback_rf")
 def feedback_rf(spark, folder):
-    model, accuracy = Learn.train_feedback_classifier(V.feedback(spark, folder))
+    """Records by label and prediction; none while there is too little feedback for a model."""
+    trained = Learn.train_feedback_classifier(V.feedback(spark, folder))
     from pyspark.ml.feature import VectorAssembler
 
     rows = Learn.classifier_features(V.feedback(spark, folder))
+    if trained is None:
+        return spark.createDataFrame([], "label int, prediction int, records long, cv_accuracy double")
+    model, accuracy = trained
     inputs = [c for c in rows.columns if c not in ("seq", "label")]
     scored = model.transform(VectorAssembler(inputCols=inputs, outputCol="features").transform(rows))
     return scored.groupBy("label", F.col("prediction").cast("int").alias("prediction")).agg(

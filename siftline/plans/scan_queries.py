@@ -126,7 +126,7 @@ def dedupe_first(spark, folder):
 
 def _rated(spark, folder):
     """Stored findings with an explanation on some, several per (file, line, severity)."""
-    explained = F.when(F.col("project_id") < 4, F.lit(None)).when(F.col("project_id") < 7, "rule text").otherwise("LLM text")
+    explained = F.when(F.col("project_id") < 4, F.lit(None)).when(F.col("project_id") < 7, "rule text").otherwise(f"rule text{fixed.ENRICHED_OPENING}detail")
     return V.detections(spark, folder).select(
         "id", "file_path", "line_start", F.col("severity").alias("name"),
         F.round("confidence_score", 1).alias("confidence"), F.col("id").alias("regex_ord"), explained.alias("ai_explanation"))
@@ -134,22 +134,23 @@ def _rated(spark, folder):
 
 @query("dedupe_best", """
 WITH r AS (SELECT id, file_path, line_start, severity AS name, round(confidence_score, 1) AS confidence,
-    CASE WHEN project_id < 4 THEN NULL WHEN project_id < 7 THEN 'rule text' ELSE 'LLM text' END AS x FROM v_detections),
+    CASE WHEN project_id < 4 THEN NULL WHEN project_id < 7 THEN 'rule text' ELSE 'marked' END AS x FROM v_detections),
   m AS (SELECT *, max(confidence) OVER p AS best FROM r WINDOW p AS (PARTITION BY file_path, line_start, name)),
   t AS (SELECT *, first_value(x) OVER w AS first_x, row_number() OVER w AS n FROM m WHERE confidence = best
     WINDOW w AS (PARTITION BY file_path, line_start, name ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
   o AS (SELECT *, row_number() OVER (PARTITION BY file_path, line_start, name ORDER BY
-    CASE WHEN first_x = 'rule text' AND x = 'LLM text' THEN 0 ELSE 1 END, n) AS pick FROM t)
+    CASE WHEN first_x = 'rule text' AND x = 'marked' THEN 0 ELSE 1 END, n) AS pick FROM t)
 SELECT id, file_path, line_start, name, confidence, x AS ai_explanation FROM o WHERE pick = 1""")
 def dedupe_best(spark, folder):
     best = C.best_per_place(_rated(spark, folder))
-    return best.select("id", "file_path", "line_start", "name", "confidence", "ai_explanation")
+    return best.select("id", "file_path", "line_start", "name", "confidence",
+                       F.when(F.contains("ai_explanation", F.lit(fixed.ENRICHMENT_MARK)), "marked").otherwise(F.col("ai_explanation")).alias("ai_explanation"))
 
 
 @query("finding_sink", f"""
 WITH {ALL_FINDINGS_CTE}, d AS ({FIRST_SQL})
-SELECT concat('DET-', left(md5(concat_ws('|', file_path, cast(line_start AS varchar), name)), 8)) AS detection_id, file_path, line_start,
-  line_end, severity, round(confidence, 4) AS confidence_score, left(code_snippet, 500) AS code_snippet FROM d""")
+SELECT concat('DET-', md5(concat_ws('|', file_path, cast(line_start AS varchar), name))) AS detection_id, file_path, line_start,
+  line_end, severity, round(confidence, 4) AS confidence_score, code_snippet FROM d""")
 def finding_sink(spark, folder):
     stored = O.stored_form(C.first_per_place(all_findings(spark, folder)))
     return stored.drop("ai_explanation").withColumn("confidence_score", F.round("confidence_score", 4))
@@ -212,11 +213,11 @@ def detect_lang_content(spark, folder):
 @query("supported_files", f"""
 WITH {sql_values("ext", ["suffix", "language"], list(fixed.EXTENSION_LANGUAGE.items()))},
 named AS (SELECT doc_id, text, concat('in/', doc_id, CASE WHEN length(source) % 2 = 0 THEN '.txt' ELSE '.CC' END) AS file_path FROM documents),
-texts AS (SELECT doc_id, file_path, lower(left(text, 1000)) AS t, lower(regexp_extract(file_path, '.(\\.[^./]+)$', 1)) AS suffix FROM named), {CONTENT_CTE}
+texts AS (SELECT doc_id, file_path, lower(text) AS t, lower(regexp_extract(file_path, '.(\\.[^./]+)$', 1)) AS suffix FROM named), {CONTENT_CTE}
 SELECT doc_id, file_path, coalesce(ext.language, {CONTENT_PICK}) AS language FROM best LEFT JOIN ext ON ext.suffix = best.suffix
 WHERE coalesce(ext.language, {CONTENT_PICK}) IS NOT NULL""")
 def supported_files(spark, folder):
-    """The head of 1000 characters is the detection rule itself; the text stays whole."""
+    """Whole texts are read for signatures."""
     ending = F.when(F.length("source") % 2 == 0, ".txt").otherwise(".CC")
     files = V.documents(spark, folder).select(
         "doc_id", F.concat(F.lit("in/"), F.col("doc_id").cast("string"), ending).alias("file_path"), F.col("text").alias("content"))
@@ -280,7 +281,7 @@ c AS (SELECT *, len(regexp_extract_all(code, '\\b(if|while|for|switch|case|catch
 SELECT concat('COMPLEX-', fn, '-', start_line) AS finding_id, concat('High complexity in ', fn) AS name,
   concat('Function has cyclomatic complexity of ', complexity) AS description, concat('doc/', doc_id) AS file_path,
   start_line AS line_start, start_line + line_count - 1 AS line_end,
-  CASE WHEN length(code) > 200 THEN concat(left(code, 200), '...') ELSE code END AS code_snippet FROM c WHERE complexity > 10""")
+  code AS code_snippet FROM c WHERE complexity > 10""")
 def complex_blocks(spark, folder):
     docs = V.documents(spark, folder).select(
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("file_path"), F.col("text").alias("content"))
@@ -328,7 +329,7 @@ def vuln_line_locator(spark, folder):
 
 
 @query("context_snippet", f"""
-WITH {LOCATED_CTE} SELECT file_id, CASE WHEN length(snip) > 300 THEN concat(left(snip, 300), '...') ELSE snip END AS snippet FROM snips""")
+WITH {LOCATED_CTE} SELECT file_id, snip AS snippet FROM snips""")
 def context_snippet(spark, folder):
     numbered = scored_files(spark, folder).withColumn("_lines", S.vulnerable_lines(F.col("content"), F.col("vulnerability_type")))
     return numbered.select("file_id", S.context_snippet(F.col("content"), F.col("_lines"), "...").alias("snippet"))
@@ -387,7 +388,7 @@ TYPE_TABLES_CTE = ", ".join([sql_values("type_cwe", ["kind", "cwe_id"], list(fix
 @query("score_findings", f"""
 WITH {LOCATED_CTE}, {TYPE_TABLES_CTE}, n AS (SELECT *, len(string_split(content, chr(10))) AS n_lines, replace(vulnerability_type, ' ', '_') AS tag FROM snips)
 SELECT concat('HYBRID-', file_path, '-', tag) AS finding_id, concat('Hybrid AI: ', vulnerability_type) AS name, {HYBRID_SEVERITY_SQL} AS severity,
-  round(type_confidence, 4) AS confidence, file_path, lo AS line_start, hi AS line_end, CASE WHEN length(snip) > 300 THEN concat(left(snip, 300), '...') ELSE snip END AS code_snippet,
+  round(type_confidence, 4) AS confidence, file_path, lo AS line_start, hi AS line_end, snip AS code_snippet,
   type_cwe.cwe_id, type_fix.fix AS fix_suggestion FROM n JOIN type_cwe ON type_cwe.kind = vulnerability_type JOIN type_fix ON type_fix.kind = vulnerability_type
   WHERE score > 0.4 AND type_confidence > 0.4
 UNION ALL SELECT concat('HYBRID-COMPLEXITY-', file_path), 'High Code Complexity', 'low', 0.7, file_path, 1, n_lines, '[Full file - complex structure]', NULL, NULL FROM n WHERE graph_density > 0.15

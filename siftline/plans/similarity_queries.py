@@ -13,9 +13,15 @@ from .registry import SQL_BLANK, query, sql_any, sql_strip
 from .scan_queries import LINES_CTE
 
 VEC_CTE = """pv AS (SELECT cast(substr(pattern_id, 3) AS bigint) AS id, type_id, part_role, embedding::DOUBLE[] AS e FROM v_patterns_vec)"""
+BASE = "CASE WHEN {0} % 10 < 3 THEN {0} ELSE {0} - {0} % 10 + {0} % 3 END"
 COS = "CASE WHEN list_dot_product(q.e, q.e) = 0 OR list_dot_product(k.e, k.e) = 0 THEN 0 ELSE list_cosine_similarity(q.e, k.e) END"
 
 
+def base_of(column):
+    """The known vector a vector was spliced from; known ones are their own."""
+    return F.expr(BASE.format(column))
+
+
 def vectors(spark, folder):
     v = V.pattern_vectors(spark, folder)
     return v.select(F.substring("pattern_id", 3, 20).cast("long").alias("id"), F.col("type_id").cast("long").alias("ref_group"),
@@ -27,10 +33,10 @@ def role(spark, folder, name):
 
 
 @query("cosine_pairs", f"""
-WITH {VEC_CTE} SELECT q.id, round({COS}, 4) AS similarity FROM pv q JOIN pv k ON k.id = q.id % 150""")
+WITH {VEC_CTE} SELECT q.id, round({COS}, 4) AS similarity FROM pv q JOIN pv k ON k.id = {BASE.format('q.id')}""")
 def cosine_pairs(spark, folder):
     """Every vector with the known one it was spliced from."""
-    all_rows = vectors(spark, folder).select("id", "embedding", (F.col("id") % 150).alias("k"))
+    all_rows = vectors(spark, folder).select("id", "embedding", base_of("id").alias("k"))
     known = role(spark, folder, "known").select(F.col("id").alias("k"), F.col("embedding").alias("base"))
     return all_rows.join(known, "k").select("id", F.round(cosine("embedding", "base"), 4).alias("similarity"))
 
@@ -67,8 +73,8 @@ def secret_similarity(spark, folder):
 
 @query("pattern_evolution", f"""
 WITH {VEC_CTE}, near AS (SELECT q.id AS query_id, k.id AS ref_id, {COS} AS s FROM pv q JOIN pv k ON q.part_role = 'query' AND k.part_role = 'known'),
-seen AS (SELECT DISTINCT q.id AS query_id, k.id % 150 AS ref_id FROM pv q JOIN pv k ON q.part_role = 'query' AND k.part_role = 'mutation' WHERE {COS} > 0.95),
-cnt AS (SELECT id % 150 AS ref_id, count(*) AS n FROM pv WHERE part_role = 'mutation' GROUP BY 1)
+seen AS (SELECT DISTINCT q.id AS query_id, {BASE.format('k.id')} AS ref_id FROM pv q JOIN pv k ON q.part_role = 'query' AND k.part_role = 'mutation' WHERE {COS} > 0.95),
+cnt AS (SELECT {BASE.format('id')} AS ref_id, count(*) AS n FROM pv WHERE part_role = 'mutation' GROUP BY 1)
 SELECT near.query_id, concat('EVOLUTION-P-', near.ref_id, '-', coalesce(n, 0)) AS evolution_id, round(s, 4) AS similarity, -0.6 AS anomaly_score, 0.7 AS confidence
 FROM near LEFT JOIN cnt ON cnt.ref_id = near.ref_id WHERE s > 0.6 AND s < 0.9 AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.query_id = near.query_id AND seen.ref_id = near.ref_id)""")
 def pattern_evolution(spark, folder):
@@ -78,7 +84,7 @@ def pattern_evolution(spark, folder):
 
 
 def evolved(spark, folder):
-    mutations = role(spark, folder, "mutation").withColumn("ref_group", F.col("id") % 150)
+    mutations = role(spark, folder, "mutation").withColumn("ref_group", base_of("id"))
     return Sim.pattern_evolution(role(spark, folder, "query"), role(spark, folder, "known"), mutations)
 
 
@@ -111,9 +117,9 @@ FP_CTE = f"""{NODES_CTE.replace(LINES_CTE, DOC_LINES_CTE)}, nn AS (SELECT file_i
 dn AS (SELECT file_id, id, {sql_strip("string_split(text, '=')[1]")} AS name FROM nodes WHERE type = 'assignment'),
 de AS (SELECT file_id, count(*) AS n FROM (SELECT DISTINCT file_id, src, dst FROM (SELECT u.file_id, u.id AS dst, d.name, max(d.id) AS src FROM nodes u JOIN dn d ON d.file_id = u.file_id AND d.id < u.id AND d.name <> ''
   AND contains(u.text, d.name) WHERE u.type IN ('function_call', 'return') GROUP BY 1, 2, 3)) GROUP BY 1),
-fp AS (SELECT doc_id AS id, text, coalesce(nn.n, 0) AS n_nodes, greatest(coalesce(nn.n, 0) - 1, 0) + coalesce(de.n, 0) AS n_edges, embedding::DOUBLE[] AS e FROM documents d
-  JOIN embeddings ON vec_id = doc_id LEFT JOIN nn ON nn.file_id = doc_id LEFT JOIN de ON de.file_id = doc_id),
-fv AS (SELECT id, text, list_concat(list_slice(e, 1, 100), [n_nodes::DOUBLE, n_edges, n_nodes / greatest(len(string_split(text, chr(10))), 1), CASE WHEN n_nodes > 0 THEN n_edges / n_nodes ELSE 0 END,
+fp AS (SELECT doc_id AS id, text, coalesce(nn.n, 0) AS n_nodes, greatest(coalesce(nn.n, 0) - 1, 0) + coalesce(de.n, 0) AS n_edges, coalesce(embedding::DOUBLE[], list_transform(range((SELECT max(len(embedding)) FROM embeddings)), lambda x: 0.0::DOUBLE)) AS e FROM documents d
+  LEFT JOIN embeddings ON vec_id = doc_id LEFT JOIN nn ON nn.file_id = doc_id LEFT JOIN de ON de.file_id = doc_id),
+fv AS (SELECT id, text, list_concat(e, [n_nodes::DOUBLE, n_edges, n_nodes / greatest(len(string_split(text, chr(10))), 1), CASE WHEN n_nodes > 0 THEN n_edges / n_nodes ELSE 0 END,
   length(text), length(text) - length(replace(text, chr(10), '')), len(list_distinct(list_filter(regexp_split_to_array(text, '{SQL_BLANK}+'), lambda w: w <> ''))),
   length(text) - length(translate(text, '()[]{{}}', '')), len(list_filter(string_split(text, chr(10)), lambda l: starts_with({sql_strip('l')}, '#'))),
   {', '.join(f"cast({sql_any('lower(text)' if folded else 'text', words)} AS int)" for _, words, folded in fixed.SEGMENT_FLAG_WORDS)}]) AS v FROM fp)"""
@@ -122,7 +128,10 @@ fv AS (SELECT id, text, list_concat(list_slice(e, 1, 100), [n_nodes::DOUBLE, n_e
 def document_fingerprints(spark, folder):
     docs = V.documents(spark, folder).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     vecs = V.table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return An.fingerprints(docs.join(vecs, "id"))
+    width = vecs.agg(F.max(F.size("embedding"))).scalar()
+    # a text without an embedding keeps its place with a vector of zeros
+    joined = docs.join(vecs, "id", "left").select("id", "content", F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), width)).alias("embedding"))
+    return An.fingerprints(joined)
 
 
 @query("fingerprints", f"""
@@ -132,7 +141,7 @@ def fingerprints(spark, folder):
     return document_fingerprints(spark, folder).select("id", F.size("fingerprint").alias("width"), F.array_join(tenth, ",").alias("fingerprint"))
 
 
-CAND_CTE = f"""{FP_CTE}, kn AS (SELECT id, v FROM fv WHERE id < 150), qn AS (SELECT * FROM fv WHERE id >= 150),
+CAND_CTE = f"""{FP_CTE}, kn AS (SELECT id, v FROM fv WHERE id % 10 < 3), qn AS (SELECT * FROM fv WHERE id % 10 >= 3),
 lone AS (SELECT count(*) AS n FROM kn a WHERE NOT EXISTS (SELECT 1 FROM kn b WHERE a.id <> b.id AND list_distance(a.v, b.v) <= 0.3)),
 sc AS (SELECT q.id, any_value(q.text) AS text, -min(list_distance(q.v, kn.v)) / 100 AS s FROM qn q, kn GROUP BY q.id HAVING s < -0.5),
 rk AS (SELECT sc.*, least(lone.n, 5) AS similar_count, CASE {' '.join(f"WHEN {sql_any('lower(text)', words)} THEN '{level}: {fixed.RISK_TEXT}'" for level, words in fixed.RISK_WORDS)} ELSE '{fixed.LOW_RISK_TEXT}' END AS risk,
@@ -143,11 +152,11 @@ cand AS (SELECT *, greatest(0, least(1, 0.5 + CASE WHEN s < -1 THEN 0.3 ELSE 0.2
 
 def candidates(spark, folder):
     rows = document_fingerprints(spark, folder)
-    return An.anomaly_candidates(rows.filter("id >= 150"), rows.filter("id < 150"))
+    return An.anomaly_candidates(rows.filter("id % 10 >= 3"), rows.filter("id % 10 < 3"))
 
 
 @query("anomaly_candidates", f"""
-WITH {CAND_CTE} SELECT id, concat('ZERO-DAY-', left(md5(text), 8)) AS candidate_id, round(s, 4) AS anomaly_score, similar_count, risk AS risk_assessment, cwe AS predicted_cwe, round(confidence, 4) AS confidence
+WITH {CAND_CTE} SELECT id, concat('ZERO-DAY-', md5(text)) AS candidate_id, round(s, 4) AS anomaly_score, similar_count, risk AS risk_assessment, cwe AS predicted_cwe, round(confidence, 4) AS confidence
 FROM cand WHERE confidence > 0.6""")
 def anomaly_candidates(spark, folder):
     return candidates(spark, folder).withColumns({c: F.round(c, 4) for c in ("anomaly_score", "confidence")})

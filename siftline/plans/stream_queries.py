@@ -7,7 +7,7 @@ from ..streaming import live as Live
 from ..streaming import runs as R
 from ..streaming import trends as Tr
 from .registry import query
-from .scan_queries import RULE_FINDINGS_CTE
+from .scan_queries import RULE_FINDINGS_CTE, RULE_HITS_CTE
 
 
 def _messages(conversations):
@@ -27,7 +27,7 @@ def stream_parse(spark, folder):
 
 
 @query("debounce_updates", """
-SELECT client_id, file_path, seq FROM (SELECT *, lead(ts_ms) OVER (PARTITION BY client_id, file_path ORDER BY ts_ms) AS nxt FROM v_code_updates) WHERE nxt IS NULL OR nxt - ts_ms >= 300""")
+SELECT client_id, file_path, seq FROM (SELECT *, lead(ts_ms) OVER (PARTITION BY client_id, file_path ORDER BY ts_ms, seq) AS nxt FROM v_code_updates) WHERE nxt IS NULL OR nxt - ts_ms >= 300""")
 def debounce_updates(spark, folder):
     return Live.debounce(V.code_updates(spark, folder)).select("client_id", "file_path", "seq")
 
@@ -76,6 +76,17 @@ def live_versions(files):
         F.col("v").cast("long").alias("seq"), "code")
 
 
+# the changes between the four versions are known: the whole text, the line added last, none, the line put first
+LIVE_CTE = f"""WITH base AS (SELECT file_id, file_path, language, content, string_split(content, chr(10)) AS ls, unnest([0, 1, 2, 3])::BIGINT AS v FROM v_code_files),
+live_files AS (SELECT file_id * 4 + v AS file_id, concat(file_path, '#', v) AS file_path, language,
+  CASE v WHEN 0 THEN content WHEN 3 THEN concat('result = eval(text)', chr(10), content, chr(10), 'value = 1') ELSE concat(content, chr(10), 'value = 1') END AS content FROM base),
+{RULE_HITS_CTE.replace('v_code_files', 'live_files')}, hit AS (SELECT DISTINCT file_path, line_no, rule_id FROM rule_hits WHERE confidence >= threshold),
+blank AS (SELECT *, len(ls) AS n, len(list_filter(ls, lambda l: l = '')) AS empty_lines FROM base),
+step AS (SELECT concat('client-', file_id % 20) AS client_id, file_path AS path, v, n, v = 2 AS cached, v = 3 OR (v = 1 AND content <> '') AS incremental,
+  cast(CASE v WHEN 0 THEN CASE WHEN content = '' THEN 0 WHEN empty_lines > 0 AND (n < 200 OR empty_lines <= n // 100 + 1) THEN n - 1 ELSE n END WHEN 2 THEN 0 ELSE 1 END AS int) AS changed_lines,
+  CASE WHEN v = 3 THEN 1 WHEN v = 1 AND content <> '' THEN n + 1 END AS only_line FROM blank)"""
+
+
 def code_files_stream(spark, folder):
     """The corpus derived from a stream of the one table it comes from."""
     return V.code_files_from(R.table_stream(spark, folder, "part"))
@@ -86,19 +97,24 @@ def _flat(results):
         "client_id", "file_path", "seq", "incremental", "changed_lines", F.col("f.line").alias("line"), F.col("f.rule_id").alias("rule_id"))
 
 
-@query("stream_cache")
+@query("stream_cache", f"""
+{LIVE_CTE} SELECT client_id, path AS file_path, v AS seq, cached, incremental, changed_lines, count(hit.rule_id) AS shown
+FROM step LEFT JOIN hit ON hit.file_path = concat(path, '#', CASE WHEN v = 2 THEN 1 ELSE v END) AND (only_line IS NULL OR hit.line_no = only_line) GROUP BY ALL""")
 def stream_cache(spark, folder):
     """Per update: whether the cached result was used, and how many findings were shown."""
     results = R.drain(Live.live_scan(live_versions(code_files_stream(spark, folder)), expire=False), "live")
     return results.select("client_id", "file_path", "seq", "cached", "incremental", "changed_lines", F.size("findings").alias("shown"))
 
 
-@query("incremental_findings")
+@query("incremental_findings", f"""
+{LIVE_CTE} SELECT client_id, path AS file_path, v AS seq, incremental, changed_lines, hit.line_no AS line, hit.rule_id
+FROM step LEFT JOIN hit ON hit.file_path = concat(path, '#', v) AND (only_line IS NULL OR hit.line_no = only_line) WHERE v <> 2""")
 def incremental_findings(spark, folder):
     return _flat(Live.incremental_results(live_versions(V.code_files(spark, folder))))
 
 
-@query("diff_lines")
+@query("diff_lines", f"""
+{LIVE_CTE} SELECT client_id, path AS file_path, v AS seq, CASE v WHEN 1 THEN cast(n + 1 AS varchar) WHEN 2 THEN '' ELSE '1' END AS changed_lines FROM step WHERE v > 0""")
 def diff_lines(spark, folder):
     v = Live.version_changes(live_versions(V.code_files(spark, folder)).drop("language")).filter("previous_code IS NOT NULL")
     numbers = Live.diff_lines(F.col("previous_code"), F.col("code")).cast("array<string>")
@@ -126,7 +142,7 @@ SELECT vulnerability_type, round(CASE WHEN acc < 0.5 THEN acc + 0.5 ELSE (acc -
 def stream_feedback(spark, folder):
     path, state = new_run_folder(spark, "adjustments"), new_run_folder(spark, "adjustments-state")
     Tr.feedback_stream(V.feedback_from(R.table_stream(spark, folder, "events")), path, state).awaitTermination()
-    versions = spark.read.parquet(path)
+    versions = spark.read.option("basePath", path).parquet(f"{path}/version=*")
     # the versions are whole results; the last one holds, and its number comes from the folder names
     latest = versions.filter(F.col("version") == versions.agg(F.max("version")).scalar())
     return latest.select("vulnerability_type", F.round("adjustment", 4).alias("adjustment"), "total")

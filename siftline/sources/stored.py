@@ -24,7 +24,7 @@ def load_feedback(spark: SparkSession, path: str, one_document: bool = False) ->
 
 
 def patterns_document(patterns: DataFrame) -> DataFrame:
-    """One (type, JSON list) row per type; a type's patterns share a document by its format."""
+    """One (type, JSON document) row per pattern; readers join the documents of a type, so no type is gathered in one row."""
     fields = ["code_example", "confidence_boost", "confidence_penalty", "confirmations", "first_seen", "last_seen"]
     present = [F.col(f) if f in patterns.columns else F.lit(None).alias(f) for f in fields]
     entry = F.struct(*present)

@@ -2,12 +2,11 @@
 
 Every step has one definition that runs on a stream and on a table.  Rules are matched in
 the JVM before the keyed state, which only compares versions.  Event time is the sender's
-clock; updates more than ten minutes late are dropped.
+clock; a stream drops updates later than its ``lateness``, a parameter.
 """
 import difflib
 import hashlib
 import json
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,11 +47,11 @@ def debounce(updates: DataFrame, gap_ms: int = DEBOUNCE_MS) -> DataFrame:
     return spaced.filter("_gap IS NULL").drop("_gap")
 
 
-def debounce_stream(updates: DataFrame, gap_ms: int = DEBOUNCE_MS) -> DataFrame:
-    """The same on a stream: the last update of each session of quick updates."""
-    timed = updates.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", LATENESS)
+def debounce_stream(updates: DataFrame, gap_ms: int = DEBOUNCE_MS, lateness: str = LATENESS) -> DataFrame:
+    """The same on a stream: the last update of each session of quick updates; of equal times the larger seq."""
+    timed = updates.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", lateness)
     sessions = timed.groupBy("client_id", "file_path", F.session_window("ts", f"{gap_ms} milliseconds"))
-    last = sessions.agg(F.max_by(F.struct("seq", "ts_ms", "code"), "ts_ms").alias("u"))
+    last = sessions.agg(F.max_by(F.struct("seq", "ts_ms", "code"), F.struct("ts_ms", "seq")).alias("u"))
     return last.select("client_id", "file_path", "u.seq", "u.ts_ms", "u.code")
 
 
@@ -77,19 +76,9 @@ def added_lines(versions: DataFrame) -> DataFrame:
 
 
 def changed_line_numbers(old: str, new: str) -> list:
-    """Line numbers of the new text that a unified diff marks as added."""
-    changed, at = set(), 0
-    for entry in difflib.unified_diff((old or "").split("\n"), (new or "").split("\n"), lineterm=""):
-        if entry.startswith("@@"):
-            start = re.search(r"\+(\d+)", entry)
-            at = int(start.group(1)) if start else at
-        elif entry.startswith("+"):
-            if not entry.startswith("+++"):
-                changed.add(at)
-                at += 1
-        elif not entry.startswith("-"):
-            at += 1
-    return sorted(changed)
+    """Line numbers of the new text whose lines are inserted or replace others."""
+    matcher = difflib.SequenceMatcher(None, (old or "").split("\n"), (new or "").split("\n"))
+    return [n for kind, _, _, first, end in matcher.get_opcodes() if kind in ("insert", "replace") for n in range(first + 1, end + 1)]
 
 
 def _diff_batch(old: pd.Series, new: pd.Series) -> pd.Series:

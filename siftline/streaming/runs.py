@@ -4,13 +4,16 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import new_run_folder
 
 
-def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """One table of the folder as a file stream."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+#: Files one micro-batch takes at most, which bounds what a key brings at once.
+FILES_PER_TRIGGER = 64
+
+
+def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+    """One table of the folder, a single file or a folder of part files, as a file stream."""
+    path = f"{folder}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    # a pattern that only this path matches: a stream takes a single file by pattern, not by name
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{name}.parque[t]")
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:

@@ -14,12 +14,12 @@ def _instant(column: str):
     return F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, {EPOCH}, {column}))")
 
 
-def _windowed(findings: DataFrame, *window: str) -> DataFrame:
+def _windowed(findings: DataFrame, *window: str, lateness: str = LATENESS) -> DataFrame:
     """Counts per window; a stream needs instants for its watermark, a table keeps naive times."""
     start = F.col("w.start")
     timed = findings
     if findings.isStreaming:
-        timed = findings.withColumn("detected_at", _instant("detected_at")).withWatermark("detected_at", LATENESS)
+        timed = findings.withColumn("detected_at", _instant("detected_at")).withWatermark("detected_at", lateness)
         start = F.expr(f"timestampadd(MICROSECOND, unix_micros(w.start), {EPOCH})")
     return timed.groupBy(F.window("detected_at", *window).alias("w")).agg(
         F.count("*").alias("total"),
@@ -28,12 +28,14 @@ def _windowed(findings: DataFrame, *window: str) -> DataFrame:
     ).select(start.alias("window_start"), "total", *fixed.SEVERITY_ORDER[:4], "average_confidence")
 
 
-def sliding_stats(findings: DataFrame, length: str = "24 hours", every: str = "6 hours") -> DataFrame:
-    return _windowed(findings, length, every)
+def sliding_stats(findings: DataFrame, length: str = "24 hours", every: str = "6 hours", lateness: str = LATENESS) -> DataFrame:
+    """Counts per sliding window; a stream drops findings later than ``lateness``."""
+    return _windowed(findings, length, every, lateness=lateness)
 
 
-def tumbling_trend(findings: DataFrame) -> DataFrame:
-    return _windowed(findings, "1 day")
+def tumbling_trend(findings: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """Counts per day; a stream drops findings later than ``lateness``."""
+    return _windowed(findings, "1 day", lateness=lateness)
 
 
 def feedback_totals(feedback: DataFrame) -> DataFrame:
@@ -58,15 +60,17 @@ def feedback_stream(feedback: DataFrame, path: str, checkpoint: str, on_retrain=
 
     Each micro-batch writes a new version folder, so readers never see a half-written one.
     """
-    seen = {"n": 0}
-
     def write(totals: DataFrame, epoch: int) -> None:
+        spark = totals.sparkSession
         totals = totals.persist()  # one row per type
         total = totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()["n"]
+        before = 0
+        if epoch > 0:  # the total of the last version, which also holds after a restart
+            before = spark.read.parquet(f"{path}/totals/version={epoch - 1}").first()["n"]
         adjustments_from_totals(totals).write.mode("overwrite").parquet(f"{path}/version={epoch}")
-        if on_retrain and retrain_due(seen["n"], total):
+        spark.createDataFrame([(total,)], "n long").coalesce(1).write.mode("overwrite").parquet(f"{path}/totals/version={epoch}")
+        if on_retrain and retrain_due(before, total):
             on_retrain(total)
-        seen["n"] = total
         totals.unpersist()
 
     return (

@@ -173,21 +173,20 @@ def code_updates(spark, folder) -> DataFrame:
 
 
 def pattern_vectors(spark, folder) -> DataFrame:
-    """Known vectors (150, fixed by the view), mutations (50) and queries (the rest)."""
+    """Known vectors (three of ten), mutations (one of ten) and queries (the rest), all growing with the table."""
     e = table(spark, folder, "embeddings")
-    k = e.filter(F.col("vec_id") < 150).select(F.col("vec_id").alias("k_id"), F.col("embedding").alias("k_embedding"))
+    k = e.filter(F.col("vec_id") % 10 < 3).select(F.col("vec_id").alias("k_id"), F.col("embedding").alias("k_embedding"))
     v = F.col("vec_id")
     keep = (F.lit(64) - v % 40).cast("int")
     spliced = F.concat(
         F.slice("k_embedding", F.lit(1), keep),
         F.slice("embedding", keep + 1, (v % 40).cast("int")),
     )
-    # the known side is 150 rows by its filter on a unique id
-    return e.join(F.broadcast(k), v % 150 == F.col("k_id")).select(
+    return e.join(k, v - v % 10 + v % 3 == F.col("k_id")).select(
         F.concat(F.lit("P-"), v.cast("string")).alias("pattern_id"),
         F.col("label").alias("type_id"),
-        F.when(v < 150, "known").when(v < 200, "mutation").otherwise("query").alias("part_role"),
-        F.when(v < 150, F.col("embedding")).otherwise(spliced).alias("embedding"),
+        F.when(v % 10 < 3, "known").when(v % 10 == 3, "mutation").otherwise("query").alias("part_role"),
+        F.when(v % 10 < 3, F.col("embedding")).otherwise(spliced).alias("embedding"),
     )
 
 
@@ -298,11 +297,11 @@ SELECT concat('client-', cast(conv_id % 20 AS string)), concat('live/f', cast(co
 FROM conversations WHERE turn % 3 = 0""",
     "v_patterns_vec": """
 SELECT concat('P-', cast(e.vec_id AS string)) AS pattern_id, e.label AS type_id,
-  CASE WHEN e.vec_id < 150 THEN 'known' WHEN e.vec_id < 200 THEN 'mutation' ELSE 'query' END AS part_role,
-  CASE WHEN e.vec_id < 150 THEN e.embedding
+  CASE WHEN e.vec_id % 10 < 3 THEN 'known' WHEN e.vec_id % 10 = 3 THEN 'mutation' ELSE 'query' END AS part_role,
+  CASE WHEN e.vec_id % 10 < 3 THEN e.embedding
        ELSE list_concat(list_slice(k.embedding, 1, 64 - e.vec_id % 40),
                         list_slice(e.embedding, 65 - e.vec_id % 40, 64)) END AS embedding
-FROM embeddings e JOIN embeddings k ON k.vec_id = e.vec_id % 150""",
+FROM embeddings e JOIN embeddings k ON k.vec_id = e.vec_id - e.vec_id % 10 + e.vec_id % 3""",
     "v_labelled": """
 SELECT d.doc_id AS file_id, d.lang AS language,
   concat('CWE-', CASE cast(d.doc_id % 6 AS int) WHEN 0 THEN '89' WHEN 1 THEN '79' WHEN 2 THEN '78'

@@ -56,3 +56,12 @@ def test_gap_to_next(spark, seed):
         for t, after in zip(times, [*times[1:], None]):
             gap = after - t if after is not None and after - t < 5 else None
             assert got[key, t] == gap
+
+
+def test_null_keys_and_null_places_stay(spark):
+    df = spark.createDataFrame([(None, 1, 5), (None, 2, 6), ("a", None, 7), ("a", 4, 8)], "k string, seq long, v int")
+    got = {(r.k, r.seq): (r.before, r.total) for r in ordered.running_sums(
+        ordered.previous_values(df, ["k"], "seq", {"before": "v"}, block=2), ["k"], "seq", {"total": F.col("v")}, block=2).collect()}
+    assert got == {(None, 1): (None, 5), (None, 2): (5, 11), ("a", None): (None, 7), ("a", 4): (7, 15)}
+    near = ordered.gap_to_next(df.filter("k IS NULL"), ["k"], "seq", "gap", 5, bucket=8).collect()
+    assert sorted((r.seq, r.gap) for r in near) == [(1, 1), (2, None)]

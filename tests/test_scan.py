@@ -149,3 +149,12 @@ def test_required_text_is_in_every_match():
 def test_case_folding_of_special_letters(spark):
     df = corpus(spark, ("a.php", "php", "ſystem(x)\nEXEC(y)\nprınt $_GET"))
     assert {(r.line_no, r.rule_id, r.regex_ord) for r in scan.rule_hits(df).collect()} == python_rule_hits(df.first().content, "php")
+
+
+def test_long_texts_are_read_whole(spark):
+
+    words = " ".join(f"w{k}" for k in range(60))
+    row = spark.createDataFrame([(words, "x " * 800 + "<?php")], "code string, content string").select(
+        F.size(T.code_tokens(F.col("code"))).alias("n"), F.length(T.structure_hash(F.col("code"))).alias("h"),
+        L.detect(F.lit("file"), F.col("content")).alias("language")).first()
+    assert (row.n, row.h, row.language) == (60, 32, "php")

@@ -39,7 +39,7 @@ def test_changed_lines():
     assert live.changed_line_numbers("", "a") == [1]
     assert live.changed_line_numbers("a\nb\nc", "a\nx\nc\nd") == [2, 4]
     assert live.changed_line_numbers("a\nb", "a") == []
-    assert live.changed_line_numbers("a", "a\n++b") == []
+    assert live.changed_line_numbers("a", "a\n++b\nc") == [2, 3]
 
 
 def test_tumbling_stream_is_part_of_the_table_form(spark, folder):
@@ -70,3 +70,24 @@ def test_failing_client_gives_null(spark):
 
     df = spark.createDataFrame([(1, "ok"), (2, "bad")], "id long, prompt string")
     assert {r.id: r.answer for r in enrich.ask(df, load).collect()} == {1: "OK", 2: None}
+
+
+def test_tables_that_are_folders_stream_like_files(spark, folder, tmp_path):
+    from siftline.plans.stream_queries import stream_feedback, stream_parse
+
+    for name in ("conversations", "events"):
+        spark.read.parquet(f"{folder}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.read.parquet(f"{folder}/region.parquet").write.parquet(f"{tmp_path}/conversations-old.parquet")
+    for build in (stream_parse, stream_feedback):
+        want = sorted(build(spark, folder).collect(), key=repr)
+        assert want and sorted(build(spark, str(tmp_path)).collect(), key=repr) == want
+
+
+def test_retraining_is_counted_on_after_a_restart(spark, tmp_path):
+    schema = "vulnerability_type string, was_correct boolean"
+    calls = []
+    for part, n in enumerate((40, 30, 20)):
+        spark.createDataFrame([("a", True)] * n, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        trends.feedback_stream(stream, f"{tmp_path}/out", f"{tmp_path}/state", calls.append).awaitTermination()
+    assert calls == [70]
