@@ -29,8 +29,11 @@ FOOTER = struct.Struct("<8sIIQQQQQQ")
 #: Ids per block; a multiple of 8, so every block ends on a whole byte.
 BLOCK = 1 << 16
 END_ID = 2
-#: Words remembered by one Python worker, and the longest that is.
-REMEMBER_WORDS, REMEMBER_BYTES = 400_000, 64
+#: Words of each of two generations remembered by one Python worker, and the longest that is.
+REMEMBER_WORDS, REMEMBER_BYTES = 500_000, 64
+#: ASCII punctuation that the tokenizer splits from the letter or digit before it.
+TAIL = b",.;:!?%#*$&)"
+ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 #: Longer texts are split at white space into slices of this many bytes.
 SLICE = 1 << 20
 
@@ -73,13 +76,16 @@ def _slices(data: bytes):
 
 
 class Encoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes, by remembered words."""
+    """Ids of a text as little-endian unsigned 32-bit bytes, by remembered words.
+
+    Words live in two generations: a full young one becomes the old one, and words met again are taken over.
+    """
 
     def __init__(self, path):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = {}
+        self.words, self.old = {}, {}
 
     @classmethod
     def of(cls, path):
@@ -88,28 +94,47 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
+    @staticmethod
+    def _parts(word):
+        """A word and the punctuation after it are separate pieces for the tokenizer, so each is learned once."""
+        stem = word.rstrip(TAIL)
+        return (stem, word[len(stem):]) if stem and len(stem) < len(word) and stem[-1] in ALNUM else (word,)
+
     def _learn(self, words):
         import array
 
-        words = list(words)
-        for word, got in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
-            self.words[word] = array.array("I", got.ids).tobytes()
+        parts = {w: self._parts(w) for w in words}
+        new = list({p for ps in parts.values() for p in ps if p not in self.words and p not in self.old})
+        found = {}
+        for word, got in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
+            found[word] = array.array("I", got.ids).tobytes()
+        for ps in parts.values():
+            for p in ps:
+                if p not in self.words:
+                    self.words[p] = found[p] if p in found else self.old[p]
+        for word, ps in parts.items():
+            if len(ps) == 2:
+                self.words[word] = self.words[ps[0]] + self.words[ps[1]]
 
     def encode(self, data: bytes) -> bytes:
-        parts = []
+        out = []
         for piece in _slices(data):
-            words = piece.split()
+            # the tokenizer lower-cases; doing it first for A-Z changes nothing unless a combining mark or a special token follows
+            plain = b"\xcc" not in piece and b"\xcd" not in piece and b"<|" not in piece
+            words = (piece.lower() if plain else piece).split()
             new = {w for w in words if w not in self.words}
-            if new and len(self.words) + len(new) > REMEMBER_WORDS:
-                self.words.clear()
-                new = set(words)
             if new:
-                self._learn(new)
-            parts.append(b"".join([self.words[w] for w in words]))
+                if len(self.words) + len(new) > REMEMBER_WORDS:
+                    self.words, self.old = {}, self.words
+                    new = set(words)
+                back = {w for w in new if w in self.old}
+                self.words.update((w, self.old[w]) for w in back)
+                self._learn(new - back)
+            out.append(b"".join([self.words[w] for w in words]))
             for w in new:
                 if len(w) > REMEMBER_BYTES:
-                    del self.words[w]
-        return b"".join(parts)
+                    self.words.pop(w, None)
+        return b"".join(out)
 
 
 class ShardWriter:
