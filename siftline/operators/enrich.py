@@ -77,8 +77,8 @@ def enriched(explained: DataFrame) -> DataFrame:
 def ask(rows: DataFrame, load_client, prompt_column: str = "prompt", partitions: int | None = None) -> DataFrame:
     """Send prompts to a client that is opened once per task; ``partitions`` bounds the parallel clients.
 
-    ``load_client()`` returns a function from a prompt to an answer.  A failing call gives null,
-    which later becomes the fallback.
+    ``load_client()`` returns a function from a prompt to an answer.  A failing call gives a null
+    answer, which later becomes the fallback, and its message in ``error``.
     """
     columns = rows.columns
 
@@ -87,12 +87,13 @@ def ask(rows: DataFrame, load_client, prompt_column: str = "prompt", partitions:
 
         def one(text):
             try:
-                return client(text)
-            except Exception:
-                return None
+                return client(text), None
+            except Exception as error:
+                return None, f"{type(error).__name__}: {error}"
 
         for batch in batches:
-            yield batch[columns].assign(answer=[one(t) for t in batch[prompt_column]])
+            given = [one(t) for t in batch[prompt_column]]
+            yield batch[columns].assign(answer=[a for a, _ in given], error=[e for _, e in given])
 
     source = rows.repartition(partitions) if partitions else rows
-    return source.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", answer string")
+    return source.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", answer string, error string")

@@ -10,6 +10,7 @@ from ..operators import findings as O
 from ..operators import model_findings as M
 from ..operators import scan as C
 from ..operators import segments as S
+from ..session import new_run_folder
 from ..sources import files as files_source
 from ..sources.rules import regex_table, rule_table
 from .registry import (SQL_BLANK, query, sql_any, sql_count, sql_list, sql_strip, sql_text, sql_values)
@@ -224,6 +225,22 @@ def supported_files(spark, folder):
     return files_source.with_language(files).select("doc_id", "file_path", "language")
 
 
+@query("scan_code_corpus", f"""
+WITH {RULE_FINDINGS_CTE}, d AS (SELECT DISTINCT file_path, line_start, name FROM rule_findings)
+SELECT f.file_path, f.language, cast(length(f.content) AS bigint) AS chars, count(d.name) AS findings
+FROM v_code_files f LEFT JOIN d ON d.file_path = f.file_path GROUP BY ALL""")
+def scan_code_corpus(spark, folder):
+    """The corpus written as a tree of files, read back from the tree and scanned."""
+    tree = new_run_folder(spark, "tree")
+    written = files_source.write_tree(V.code_files(spark, folder), tree)
+    written.write.parquet(new_run_folder(spark, "tree-manifest"))
+    files = files_source.with_language(files_source.read_tree(spark, tree))
+    files = files.withColumn("file_path", F.regexp_extract("file_path", r"/tree-[0-9a-f]+/(.*)$", 1))
+    found = C.rule_findings(files.withColumn("file_id", F.xxhash64("file_path"))).select("file_path", "line_start", "name").distinct().groupBy("file_path").agg(F.count("*").alias("findings"))
+    return files.join(found, "file_path", "left").select(
+        "file_path", "language", F.length("content").cast("long").alias("chars"), F.coalesce("findings", F.lit(0)).alias("findings"))
+
+
 @query("scan_snippets", f"""
 WITH texts AS (SELECT file_id, content, lower(content) AS t FROM v_code_files), {CONTENT_CTE},
 src AS (SELECT file_id, 'quick_scan.tmp' AS file_path, {CONTENT_PICK} AS language, content FROM best),

@@ -1,5 +1,7 @@
 """Session set-up and the shared folder used to cut lineage."""
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
     if current is None:
         current = tempfile.mkdtemp(prefix="siftline-checkpoint-")
         shared_folder._local = current
+        atexit.register(shutil.rmtree, current, True)
     return current
 
 

@@ -24,6 +24,30 @@ def read_tree(spark: SparkSession, folder: str, extensions=None) -> DataFrame:
     return raw.select(path.alias("file_path"), decode_lossy(F.col("content")).alias("content"))
 
 
+def write_tree(files: DataFrame, folder: str) -> DataFrame:
+    """Write (file_path, content) rows as files below a folder every executor reaches; returns what was written.
+
+    A file is written under its own name, so a repeated task writes the same bytes again.
+    """
+    import pandas as pd
+
+    def write(batches):
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            sizes = []
+            for path, content in zip(batch["file_path"], batch["content"]):
+                place, data = f"{root}/{path}", (content or "").encode()
+                system.create_dir(place.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(place, compression=None) as stream:
+                    stream.write(data)
+                sizes.append(len(data))
+            yield pd.DataFrame({"file_path": batch["file_path"], "bytes": sizes})
+
+    return files.select("file_path", "content").mapInPandas(write, "file_path string, bytes long")
+
+
 def decode_lossy(data: Column) -> Column:
     """UTF-8 text of bytes, leaving invalid sequences out."""
     return F.replace(F.make_valid_utf8(data.cast("string")), F.lit("�"), F.lit(""))

@@ -69,7 +69,8 @@ def test_failing_client_gives_null(spark):
         return call
 
     df = spark.createDataFrame([(1, "ok"), (2, "bad")], "id long, prompt string")
-    assert {r.id: r.answer for r in enrich.ask(df, load).collect()} == {1: "OK", 2: None}
+    got = {r.id: (r.answer, r.error) for r in enrich.ask(df, load).collect()}
+    assert got[1] == ("OK", None) and got[2][0] is None and got[2][1]
 
 
 def test_tables_that_are_folders_stream_like_files(spark, folder, tmp_path):
