@@ -16,6 +16,8 @@ from .. import fixed_values as fixed
 
 BROADCAST_BYTES = 64 << 20
 TILE_ROWS = 4096
+#: Scores of one slice of the references, 32 MB of them.
+SCORES = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -46,6 +48,27 @@ def score_matrix(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _pick(query_ids, queries, ref_ids, groups, refs, pick: Pick) -> pd.DataFrame:
+    """The picked pairs; references come in slices, so that a task holds at most ``SCORES`` scores at once."""
+    step = max(1, SCORES // max(1, len(query_ids)))
+    kept = None
+    for k in range(0, len(ref_ids), step):
+        part = slice(k, k + step)
+        found = _pick_slice(query_ids, queries, ref_ids[part], groups[part], refs[part], pick)
+        kept = found if kept is None else _join_slices(kept, found, pick)
+    return kept
+
+
+def _join_slices(kept, found, pick: Pick) -> pd.DataFrame:
+    both = pd.concat([kept, found])
+    if pick.kind == "groups":
+        return both.groupby(["query_id", "ref_group"], sort=False, as_index=False).agg({"best": "max", "total": "sum", "n": "sum"})
+    if pick.kind == "top":
+        order = both.sort_values(["query_id", "score", "ref_id"], ascending=[True, pick.metric == "distance", True])
+        return order.groupby("query_id", sort=False).head(pick.k)
+    return both
+
+
+def _pick_slice(query_ids, queries, ref_ids, groups, refs, pick: Pick) -> pd.DataFrame:
     scores = score_matrix(queries, refs, pick.metric)
     if pick.kind == "groups":
         parts = []
@@ -58,9 +81,13 @@ def _pick(query_ids, queries, ref_ids, groups, refs, pick: Pick) -> pd.DataFrame
         i, j = np.nonzero((scores > pick.low) & (scores < pick.high))
     else:
         by = scores if pick.metric == "distance" else -scores
-        order = np.lexsort((np.broadcast_to(ref_ids, by.shape), by), axis=1)[:, : pick.k]
-        i = np.repeat(np.arange(len(query_ids)), order.shape[1])
-        j = order.ravel()
+        k = min(pick.k, by.shape[1])
+        # all as good as the k-th, then the smaller ids among equals
+        i, j = np.nonzero(by <= np.partition(by, k - 1, axis=1)[:, k - 1:k])
+        order = np.lexsort((ref_ids[j], by[i, j], i))
+        i, j = i[order], j[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j = i[place < k], j[place < k]
     return pd.DataFrame({
         "query_id": query_ids[i], "ref_id": ref_ids[j], "ref_group": groups[j], "score": scores[i, j]})
 

@@ -2,7 +2,7 @@
 import numpy as np
 import pytest
 
-from siftline.operators import anomaly, clusters
+from siftline.operators import anomaly, clusters, similarity
 from siftline.operators.similarity import Pick, match
 
 
@@ -83,3 +83,16 @@ def test_no_known_vectors_means_no_baseline(spark):
     queries, _ = vectors(spark, 8, 3)
     row = anomaly.distance_scores(queries, queries.filter("id < 0")).first()
     assert row.anomaly_score is None and row.no_baseline
+
+
+def test_slices_of_references_give_the_same_rows(monkeypatch):
+    rng = np.random.default_rng(4)
+    queries, refs = rng.integers(0, 3, (20, 4)).astype(float), rng.integers(0, 3, (57, 4)).astype(float)
+    ids, groups = np.arange(57), np.arange(57) % 3
+    for pick in (similarity.Pick("top", k=5), similarity.Pick("top", metric="distance", k=3), similarity.Pick("groups"), similarity.Pick("range", low=0.3, high=0.9)):
+        seen = []
+        for scores in (10**9, 130):
+            monkeypatch.setattr(similarity, "SCORES", scores)
+            got = similarity._pick(np.arange(20), queries, ids, groups, refs, pick)
+            seen.append(sorted(map(tuple, got.round(9).to_numpy().tolist())))
+        assert seen[0] == seen[1] and seen[0]
