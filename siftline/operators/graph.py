@@ -227,10 +227,31 @@ def graph_edges(files: DataFrame) -> DataFrame:
         *[F.max((F.col("kind") == slot).cast("int")).alias(slot) for slot in fixed.EDGE_SLOTS])
 
 
+def edge_counts(files: DataFrame) -> DataFrame:
+    """(file_id, num_edges) without listing the edges inside functions.
+
+    A function of n lines has n (n - 1) ordered pairs; only pairs of other relations that cross functions are joined.
+    """
+    ends = _edge_ends(files)
+    function = F.get(F.filter("sources", lambda e: e["kind"] == "ast_child"), 0)["key"]
+    ends = ends.withColumn("function", F.coalesce(function, F.lit("")))
+
+    def others(column, node, owner):
+        kept = F.filter(column, lambda e: e["kind"] != "ast_child")
+        return ends.select("file_id", F.col("id").alias(node), F.col("function").alias(owner), F.inline(kept))
+
+    pairs = others("sources", "src", "src_function").join(others("targets", "dst", "dst_function"), ["file_id", "kind", "key"])
+    outside = (F.col("src_function") == "") | (F.col("src_function") != F.col("dst_function"))
+    across = pairs.filter((F.col("src") != F.col("dst")) & outside).select("file_id", "src", "dst").distinct()
+    within = ends.filter("function <> ''").groupBy("file_id", "function").agg(F.count("*").alias("n"))
+    return across.groupBy("file_id").agg(F.count("*").alias("e")).unionByName(
+        within.groupBy("file_id").agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("e"))).groupBy("file_id").agg(F.sum("e").alias("num_edges"))
+
+
 def graph_stats(files: DataFrame) -> DataFrame:
     """Nodes, edges, degree and densities of each file's graph."""
     nodes = file_graphs(files).select("file_id", F.size("nodes").cast("long").alias("num_nodes"))
-    edges = graph_edges(files).groupBy("file_id").agg(F.count("*").alias("num_edges"))
+    edges = edge_counts(files)
     n, e = F.col("num_nodes"), F.coalesce("num_edges", F.lit(0))
 
     def ratio(bottom):
