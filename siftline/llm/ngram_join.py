@@ -3,8 +3,9 @@
 A document is its set of 5-word shingles (hashed to 64 bits).  All documents order their shingles alike: those known to be
 common last, by their counts, the others by hash.  In the l-prefix, the first ``n - ceil(t n) + l`` shingles, two sets
 of Jaccard similarity t share at least l shingles.  Each document takes the l, from 1 to ``MAX_LEVEL``, at which its
-estimated cost is least: postings to read plus candidates to verify, the latter bounded by postings / l.  A pair needs
-as many shared prefix shingles as the smaller l of the two, and is then verified on the texts.
+estimated cost is least: postings to read plus candidates to verify, the latter bounded by postings over the matches asked.  A pair needs
+as many shared prefix shingles as the smaller l of the two, and more the closer its sizes are, and is then verified on
+the texts.
 
 No group is expanded into all its pairs.  Documents with equal sets are one node.  Per shared shingle, nodes first
 meet only a leader (the node that shares most); the verified links give components, and afterwards only nodes of
@@ -17,7 +18,7 @@ Defined results: a null text is empty; a text without words has an empty set and
 words make one shingle; repeated rows are copies of each other; a null doc_id is its own component unless it links;
 an empty table gives an empty result; further columns are ignored.
 """
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
@@ -193,13 +194,19 @@ def shared_postings(documents: DataFrame, common, width=WIDTH, percent=PERCENT)
 
 
 def choose_levels(postings: DataFrame, percent=PERCENT) -> DataFrame:
-    """Adds ``level`` (of the posting), ``want`` (the l its node takes) and ``shared`` (its node's postings)."""
+    """Adds ``level`` (of the posting), ``want`` (the l its node takes), ``shared`` (its node's postings) and ``rank``.
+
+    The rank counts the node's shared shingles before this one: no others there can be in common with any other node.
+    """
     need = F.ceil(F.col("n") * percent / 100).cast("long")
     leveled = postings.withColumn("level", F.greatest(F.lit(1), F.col("pos") - (F.col("n") - need) + 1)).withColumn("need", need)
+    leveled = leveled.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("pos")) - 1)  # within one document
     reads = [F.sum(F.when(F.col("level") <= k, F.col("df") - 1).otherwise(0)) for k in range(1, MAX_LEVEL + 1)]
-    costs = leveled.groupBy("node").agg(F.count("*").alias("shared"), F.first("need").alias("need"), *[r.alias(f"r{k}") for k, r in enumerate(reads, 1)])
+    costs = leveled.groupBy("node").agg(F.count("*").alias("shared"), F.first("need").alias("need"), F.first("n").alias("n"), *[r.alias(f"r{k}") for k, r in enumerate(reads, 1)])
+    # against a set of its own size a node needs this many shared prefix shingles more than l
+    more = F.ceil(2 * F.col("n") * percent / (100 + percent)) - F.col("need")
     options = F.array(*[
-        F.struct(F.when(F.col("need") >= k, F.col(f"r{k}") * (1 + VERIFY_COST / k)).otherwise(F.lit(float("inf"))).alias("cost"), F.lit(k).alias("want"))
+        F.struct(F.when(F.col("need") >= k, F.col(f"r{k}") * (1 + VERIFY_COST / (more + k))).otherwise(F.lit(float("inf"))).alias("cost"), F.lit(k).alias("want"))
         for k in range(1, MAX_LEVEL + 1)])
     chosen = costs.select("node", "shared", F.array_min(options)["want"].alias("want"))
     return stored(leveled.drop("need").join(chosen, "node").filter(F.col("level") <= F.col("want")), "leveled")
@@ -207,29 +214,40 @@ def choose_levels(postings: DataFrame, percent=PERCENT) -> DataFrame:
 
 def _possible(a, b, percent=PERCENT):
     """Sizes and positions of one shared shingle still allow the similarity."""
-    an, bn, ap, bp = (F.col(f"{x}.{c}") for c in ("n", "pos") for x in (a, b))
-    most = F.least(ap, bp) + 1 + F.least(an - ap - 1, bn - bp - 1)
+    an, bn, ap, bp, ar, br = (F.col(f"{x}.{c}") for c in ("n", "pos", "rank") for x in (a, b))
+    most = F.least(ar, br) + 1 + F.least(an - ap - 1, bn - bp - 1)
     return (most * (100 + percent) >= percent * (an + bn)) & (F.least(an, bn) * 100 >= F.greatest(an, bn) * percent)
 
 
-def _enough(pairs: DataFrame) -> DataFrame:
-    """Pairs that share as many prefix shingles as the smaller l of the two asks for."""
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("hits"), F.first("want").alias("want")).filter("hits >= want").select("a", "b")
+def _asked(percent=PERCENT):
+    """Shared prefix shingles that a pair of this l and these sizes needs.
+
+    Shingles beyond the prefix that ends first add at most the larger of the two rests to the overlap, which
+    must reach t / (1 + t) of both sizes together; so sets of like size must share more than l.
+    """
+    need = lambda side: F.ceil(F.col(f"{side}.n") * percent / 100)
+    overlap = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
+    return F.least("x.want", "y.want") + overlap - F.greatest(need("x"), need("y"))
 
 
-def _matched(x: DataFrame, y: DataFrame, condition, percent) -> DataFrame:
+def _matched(x: DataFrame, y: DataFrame, condition, asked, percent) -> DataFrame:
+    """Pairs of nodes that share at least ``asked`` prefix shingles."""
     want = F.least("x.want", "y.want")
-    on = (F.col("x.token") == F.col("y.token")) & condition & _possible("x", "y", percent) & (F.greatest("x.level", "y.level") <= want)
+    left = lambda side: F.col(f"{side}.shared") - F.col(f"{side}.rank") - 1
+    most = F.least("x.rank", "y.rank") + 1 + F.least(left("x"), left("y"))  # shared prefix shingles of any such pair
+    on = (F.col("x.token") == F.col("y.token")) & condition & _possible("x", "y", percent) & (F.greatest("x.level", "y.level") <= want) & (most >= asked)
     joined = x.alias("x").join(y.alias("y"), on)
-    return _enough(joined.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), want.alias("want")))
+    pairs = joined.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), asked.alias("asked"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("hits"), F.first("asked").alias("asked")).filter("hits >= asked").select("a", "b")
 
 
 def leader_pairs(postings: DataFrame, percent=PERCENT) -> DataFrame:
     """Candidates between the nodes of a shingle and its leader, the node with the most shared shingles."""
-    leader = F.max_by(F.struct("node", "n", "pos", "level", "want"), F.struct("shared", "node"))
+    leader = F.max_by(F.struct("node", "n", "pos", "rank", "shared", "level", "want"), F.struct("shared", "node"))
     # a stored side lets adaptive execution split the other at a very common shingle
     leaders = stored(postings.groupBy("token").agg(leader.alias("l")).select("token", "l.*"), "leaders")
-    return _matched(postings, leaders, F.col("x.node") != F.col("y.node"), percent)
+    # not all of a pair's shingles have this leader, so no more than l are asked for here
+    return _matched(postings, leaders, F.col("x.node") != F.col("y.node"), F.least("x.want", "y.want"), percent)
 
 
 def crossing_pairs(postings: DataFrame, labels: DataFrame, percent=PERCENT) -> DataFrame:
@@ -237,7 +255,7 @@ def crossing_pairs(postings: DataFrame, labels: DataFrame, percent=PERCENT) -> D
     named = postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = stored(named.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high").select("token"), "mixed")
     open_postings = stored(named.join(mixed, "token"), "open-postings")
-    return _matched(open_postings, open_postings, (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")), percent)
+    return _matched(open_postings, open_postings, (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")), _asked(percent), percent)
 
 
 def verified(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, width=WIDTH, percent=PERCENT) -> DataFrame:
