@@ -21,6 +21,8 @@ from .common import stored
 
 #: Labelled documents per language that the model is fitted on.
 FIT_DOCUMENTS = 2000
+#: Of these, documents that one share of a language's rows gives.
+FIT_SHARE = 20
 EM_ROUNDS = 3
 SMOOTHING = 0.05
 MAX_WORD = 40
@@ -214,8 +216,11 @@ def fit(documents: DataFrame, vocabulary: str | None = None, per_language: int =
 
     vocabulary = vocabulary or default_vocabulary()
     labelled = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = labelled.select("lang", "doc_id").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_language)
+    # a language may hold most rows: it is dealt to shares by hash, and each share gives an equal part of the sample
+    shares = max(1, per_language // FIT_SHARE)
+    dealt = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("_hash")).withColumn("_share", F.pmod("_hash", F.lit(shares)))
+    first = Window.partitionBy("lang", "_share").orderBy("_hash", "doc_id")
+    picked = dealt.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_language // shares)
     picked = stored(picked.select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_doc")).distinct(), "fit-ids")
     chosen = labelled.join(F.broadcast(picked), (F.col("lang") == F.col("_lang")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("lang", "text")
 
