@@ -5,7 +5,7 @@ import hashlib
 from .common import LOWER_ASCII
 
 #: Bytes handled by one numpy pass; passes end at white space.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _SPACE = b" \t\n\r\x0b\x0c"
 
 
@@ -48,7 +48,7 @@ def _segment_words(data):
     gap = space[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).view("i1")))
     starts, ends = edge[::2], edge[1::2]
-    power, inverse = _powers(1 << max(20, len(raw).bit_length()))
+    power, inverse = _powers(max(2 * SEGMENT, 1 << len(raw).bit_length()))
     total = np.concatenate([np.zeros(1, "u8"), np.cumsum(weight[raw] * power[:len(raw)], dtype="u8")])
     return starts, mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype("u8"))
 
