@@ -146,7 +146,7 @@ def exact_groups(documents: DataFrame) -> DataFrame:
     groups = merged.groupBy("digest").agg(
         F.max(F.struct(F.col("keep_id").isNotNull().alias("known"), "keep_id", "keep_row")).alias("h"), F.sum("group_size").alias("group_size")
     ).select("digest", "h.keep_id", "h.keep_row", "group_size")
-    # copies of one text may be a third of all rows: adaptive execution splits that side of the join
-    return digests.join(groups, "digest").select(
+    # copies of one text may be a third of all rows: a stored side lets adaptive execution split the other
+    return digests.join(stored(groups, "groups"), "digest").select(
         "doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
