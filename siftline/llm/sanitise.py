@@ -4,22 +4,24 @@ Base spans are the leftmost non-overlapping matches of four patterns, checked by
 within ``CONTEXT`` characters of a span are its context.  Over the whole corpus, with N word occurrences, n(t) of a term, n(k) in
 contexts of kind k and n(t, k) of the term there, PMI = ln(n(t, k) N / (n(t) n(k))) says how much the term tells about the
 kind, and its disclosure is PMI / ln(N / n(k)), which is 1 for a term that occurs nowhere else.  Terms that stand near at least ``SUPPORT``
-different values and disclose ``GENERALISE`` or more are spans of their own: sanitised texts replace them by the kind, or
-remove them from ``REMOVE`` on.
+different values and disclose ``GENERALISE`` or more are spans of their own wherever they stand, also far from any base span
+and in texts without one: sanitised texts replace them by the kind, or remove them from ``REMOVE`` on.
 
 Only DataFrame functions run here.  Patterns are matched in place, without a shuffle; positions come from the lengths of
 what lies between matches, summed per document.  The patterns are possessive and anchored at the start of a run, so that
-long runs of digits or letters cost linear time and no stack.
+long runs of digits or letters cost linear time and no stack.  Words meet the disclosing terms one by one; only the places
+of those that pass are gathered, and positions are summed between them.
 
-Defined results: a null or empty text has no spans; repeated rows get equal results; terms never overlap a base span of
-an address, as words glued to address characters are no terms; an empty table gives an empty result; further columns are ignored.
+Defined results: a null or empty text has no spans; repeated rows get equal results; terms never overlap a base span, as
+words glued to address characters are no terms and one that opens an address is left to it; an empty table gives an empty result; further columns are ignored.
 """
 import functools
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_identity, stored
+from ..functions.lookup import let
+from .common import broadcast_up_to, row_identity, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Same matches as the plain patterns, in linear time: a run is entered at its start or where the last match ended.
@@ -32,9 +34,10 @@ PATTERNS = {
 #: Text that must be there for a pattern to be tried.
 GATES = {"email": r"[A-Za-z0-9-]\.[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}", "phone": r"\+[0-9]"}
 TERM = r"(?<![\p{L}\p{N}._%+@-])\p{L}++(?![\p{N}_%+@-]|\.[\p{L}\p{N}])"
-WORD = r"\p{L}+"
 CONTEXT = 48
 SUPPORT, GENERALISE, REMOVE = 3, 0.9, 0.999
+#: Disclosing terms, and places of them, are broadcast up to this many rows each.
+BROADCAST_TERMS, BROADCAST_PLACES = 500_000, 500_000
 
 
 def _lengths(text, pattern):
@@ -98,11 +101,11 @@ def base_spans(candidates: DataFrame) -> DataFrame:
 def _context_terms(candidates: DataFrame, spans: DataFrame) -> DataFrame:
     """Stored (row_id, kind, value, term, start, end): words whole within CONTEXT characters of a span."""
     near = spans.join(candidates.filter(F.col("text").isNotNull()).select("row_id", "text"), "row_id")
-    # one character more on each side shows whether the outer word is cut
+    # one character more on each side shows whether the outer word is cut, a second on the right what it is glued to
     left = F.greatest(F.lit(0), F.col("start") - CONTEXT - 1)
     sides = F.array(
         F.struct(left.alias("from"), F.col("text").substr(left.cast("int") + 1, (F.col("start") - left).cast("int")).alias("piece")),
-        F.struct(F.col("end").alias("from"), F.col("text").substr(F.col("end").cast("int") + 1, F.lit(CONTEXT + 1)).alias("piece")))
+        F.struct(F.col("end").alias("from"), F.col("text").substr(F.col("end").cast("int") + 1, F.lit(CONTEXT + 2)).alias("piece")))
     pieces = near.select("row_id", "kind", "value", F.col("start").alias("s"), F.col("end").alias("e"), F.char_length("text").alias("size"), F.posexplode(sides).alias("side", "x"))
     pieces = pieces.select("row_id", "kind", "value", "s", "side", F.col("x.from").alias("from"), "size",
                            _matches(F.col("x.piece"), TERM).alias("m"), _lengths(F.col("x.piece"), TERM).alias("g"), F.char_length("x.piece").alias("held"))
@@ -110,14 +113,15 @@ def _context_terms(candidates: DataFrame, spans: DataFrame) -> DataFrame:
     placed = _placed(pieces.select(*keys, "m", "g"), keys).withColumnRenamed("value", "word")
     joined = placed.join(pieces.drop("m", "g"), keys)
     cut_left = (F.col("side") == 0) & (F.col("start") == 0) & (F.col("from") > 0)
-    cut_right = (F.col("side") == 1) & (F.col("end") == F.col("held")) & (F.col("from") + F.col("held") < F.col("size"))
-    return stored(joined.filter(~cut_left & ~cut_right).select(
+    cut_right = (F.col("side") == 1) & (F.col("end") > CONTEXT) & (F.col("from") + CONTEXT + 1 < F.col("size"))
+    glued = F.when(F.col("side") == 0, F.col("end") == F.col("held")).otherwise(F.col("start") == 0)
+    return stored(joined.filter(~cut_left & ~cut_right & ~glued).select(
         "row_id", "kind", "value", F.lower("word").alias("term"), (F.col("from") + F.col("start")).alias("start"), (F.col("from") + F.col("end")).alias("end")), "contexts")
 
 
 def disclosing_terms(documents: DataFrame, contexts: DataFrame, support=SUPPORT, threshold=GENERALISE) -> DataFrame:
     """Stored (term, kind, disclosure) of the terms at or over the threshold."""
-    words = documents.select(F.explode(_matches(F.lower("text"), WORD)).alias("term"))
+    words = documents.select(F.explode(_matches(F.col("text"), TERM)).alias("word")).select(F.lower("word").alias("term"))
     counts = words.groupBy("term").agg(F.count("*").alias("n"))
     asked = contexts.select("term").distinct().withColumn("asked", F.lit(True))
     counts = stored(counts.join(asked, "term", "left").groupBy(F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.sum("n").alias("n")), "term-counts")
@@ -132,14 +136,42 @@ def disclosing_terms(documents: DataFrame, contexts: DataFrame, support=SUPPORT,
     return stored(scored.filter(F.col("disclosure") >= threshold).select("term", "kind", "disclosure"), "disclosing-terms")
 
 
+def _term_spans(documents: DataFrame, spans: DataFrame, terms: DataFrame) -> DataFrame:
+    """Stored (row_id, start, end, of_kind, disclosure) of the disclosing terms wherever they stand in any text."""
+    best = stored(terms.groupBy("term").agg(F.max(F.struct("disclosure", "kind")).alias("d")), "term-kinds")
+    texts = documents.filter(F.col("text").isNotNull()).select(row_identity(documents).alias("row_id"), "text")
+    words = texts.select("row_id", F.posexplode(_matches(F.col("text"), TERM)).alias("nth", "word"))
+    hits = words.select("row_id", "nth", F.lower("word").alias("term")).join(broadcast_up_to(best, BROADCAST_TERMS), "term")
+    hits = stored(hits.select("row_id", "nth"), "term-places")
+    per_row = hits.groupBy("row_id").agg(F.array_sort(F.collect_list("nth")).alias("hits"))
+    per_row = F.broadcast(per_row) if hits.count() <= BROADCAST_PLACES else per_row
+    found = texts.join(per_row, "row_id").select("row_id", "hits", _matches(F.col("text"), TERM).alias("words"), _lengths(F.col("text"), TERM).alias("gaps"))
+
+    def between(reach):  # characters from the end of the hit before to each hit: the slices are disjoint
+        def one(hit, i):
+            before = F.coalesce(F.get("hits", i - 1), F.lit(-1))
+            skipped = F.slice(reach, before + 2, hit - before - 1)
+            return F.aggregate(skipped, F.lit(0), lambda a, b: a + b) + F.get("gaps", hit)
+        return F.transform("hits", one)
+
+    reach = F.zip_with("words", "gaps", lambda word, gap: F.char_length(word) + gap)
+    found = found.select("row_id", F.transform("hits", lambda hit: F.get("words", hit)).alias("m"), let(reach, between).alias("g"))
+    placed = _placed(found, ["row_id"]).select("row_id", "start", "end", F.lower("value").alias("term"), "value")
+    # a word and an address overlap only where the address begins with the word's last letters
+    plain_end = F.char_length(F.regexp_extract("value", "[A-Za-z]*$", 0))
+    opens = spans.filter(F.col("kind") == "email").select("row_id", F.col("start").alias("opened"))
+    placed = placed.withColumn("opened", F.col("end") - plain_end).join(opens, ["row_id", "opened"], "left_anti")
+    placed = placed.join(broadcast_up_to(best, BROADCAST_TERMS), "term")
+    return stored(placed.select("row_id", "start", "end", F.col("d.kind").alias("of_kind"), F.col("d.disclosure").alias("disclosure")), "term-spans")
+
+
 def find_spans(documents: DataFrame, support=SUPPORT, threshold=GENERALISE):
     """(candidates, spans): stored rows and (row_id, kind, start, end, of_kind, disclosure) of all spans."""
     candidates = _candidates(documents)
     spans = base_spans(candidates)
     contexts = _context_terms(candidates, spans)
     terms = disclosing_terms(documents, contexts, support, threshold)
-    revealed = contexts.join(terms, ["term", "kind"]).groupBy("row_id", "start", "end").agg(F.max(F.struct("disclosure", "kind")).alias("d"))
-    revealed = revealed.select("row_id", F.lit("term").alias("kind"), "start", "end", F.col("d.kind").alias("of_kind"), F.col("d.disclosure").alias("disclosure"))
+    revealed = _term_spans(documents, spans, terms).select("row_id", F.lit("term").alias("kind"), "start", "end", "of_kind", "disclosure")
     base = spans.select("row_id", "kind", "start", "end", F.col("kind").alias("of_kind"), F.lit(1.0).alias("disclosure"))
     return candidates, base.unionAll(revealed)
 

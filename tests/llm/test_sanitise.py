@@ -76,3 +76,21 @@ def test_terms_that_only_stand_near_addresses_are_spans(documents):
     assert all(got[k] == "" for k in range(6, 12))
     clean = {r["doc_id"]: r["sanitised"] for r in sanitise.sanitise(documents(list(texts.items()))).collect()}
     assert "@" not in clean[0] and "[EMAIL]" in clean[0] and "zorp" not in clean[0] and clean[7] == texts[7]
+
+
+def test_disclosing_terms_are_spans_in_every_text(spark, documents):
+    near = "filler words here and then zorp u{}.x@mail.example.com follows"
+    texts = {k: near.format(k) for k in range(30, 60)}
+    texts |= {0: near.format(0) + " words with much other text" * 20 + " \U0001F600 Zorp, ends"}
+    texts |= {k: "words with much other text here and then follows filler " * 400 for k in range(8, 14)}
+    texts |= {20: "no address, but ZORP and zorp's too; zorps zorp2 x-zorp not", 21: "zorp..a@b.cc \u00e9zorp.@b.cc zorp.", 22: None, 23: ""}
+    got = {r["doc_id"]: r["spans"].split(",") for r in sanitise.report(documents(list(texts.items()))).collect()}
+    for k, text in texts.items():
+        glued = {21: [0], 20: [text.index("zorps"), text.index("zorp2"), text.index("x-zorp") + 2] if k == 20 else []}.get(k, [])
+        places = [m.start() for m in re.finditer(r"(?<!\u00e9)zorp", (text or "").lower()) if m.start() not in glued]
+        want = [f"term:{p}:{p + 4}" for p in places]
+        assert [s for s in got[k] if s.startswith("term")] == want, (k, got[k], want)
+    clean = {r["doc_id"]: r["sanitised"] for r in sanitise.sanitise(documents(list(texts.items()))).collect()}
+    assert "zorp" not in clean[0].lower() and clean[9] == texts[9] and clean[22] is None
+    assert clean[20] in ("no address, but  and 's too; zorps zorp2 x-zorp not", "no address, but [EMAIL] and [EMAIL]'s too; zorps zorp2 x-zorp not")
+    assert clean[21].startswith("[EMAIL]")
