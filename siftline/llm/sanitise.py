@@ -1,11 +1,13 @@
 """Personal data: pattern spans, and terms that the corpus shows to reveal them.
 
 Base spans are the leftmost non-overlapping matches of four patterns, checked by digits, parts and checksum.  The words
-within ``CONTEXT`` characters of a span are its context.  Over the whole corpus, with N word occurrences, n(t) of a term, n(k) in
-contexts of kind k and n(t, k) of the term there, PMI = ln(n(t, k) N / (n(t) n(k))) says how much the term tells about the
-kind, and its disclosure is PMI / ln(N / n(k)), which is 1 for a term that occurs nowhere else.  Terms that stand near at least ``SUPPORT``
-different values and disclose ``GENERALISE`` or more are spans of their own wherever they stand, also far from any base span
-and in texts without one: sanitised texts replace them by the kind, or remove them from ``REMOVE`` on.
+within ``CONTEXT`` characters of a span are its context.  A protected entity is a kind, or one value of a kind in normal form.
+Over the whole corpus, with N word occurrences, n(t) of a term, n(e) in contexts of entity e and n(t, e) of the term there,
+PMI = ln(n(t, e) N / (n(t) n(e))) says how much the term tells about the entity, and its disclosure is PMI / ln(N / n(e)),
+which is 1 for a term that occurs nowhere else.  Terms that stand near an entity in at least ``SUPPORT`` places, of one value
+or of many, and disclose ``GENERALISE`` or more of it are spans of their own wherever they stand, also far from any base span
+and in texts without one: sanitised texts replace them by the kind, or remove them from ``REMOVE`` on.  Places in repeated
+rows count each.
 
 Only DataFrame functions run here.  Patterns are matched in place, without a shuffle; positions come from the lengths of
 what lies between matches, summed per document.  The patterns are possessive and anchored at the start of a run, so that
@@ -120,20 +122,26 @@ def _context_terms(candidates: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(documents: DataFrame, contexts: DataFrame, support=SUPPORT, threshold=GENERALISE) -> DataFrame:
-    """Stored (term, kind, disclosure) of the terms at or over the threshold."""
+    """Stored (term, kind, disclosure) of the terms at or over the threshold for the kind or for one value of it."""
     words = documents.select(F.explode(_matches(F.col("text"), TERM)).alias("word")).select(F.lower("word").alias("term"))
     counts = words.groupBy("term").agg(F.count("*").alias("n"))
     asked = contexts.select("term").distinct().withColumn("asked", F.lit(True))
     counts = stored(counts.join(asked, "term", "left").groupBy(F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.sum("n").alias("n")), "term-counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    distinct = contexts.dropDuplicates(["row_id", "kind", "start"])
-    in_kind = distinct.groupBy("kind").agg(F.count("*").alias("n_kind"))
-    both = distinct.groupBy("term", "kind").agg(F.count("*").alias("n_both"))
-    values = contexts.select("term", "kind", "value").distinct().groupBy("term", "kind").agg(F.count("*").alias("values"))
-    scored = both.join(values, ["term", "kind"]).filter(F.col("values") >= support).join(in_kind, "kind").join(counts.filter("term is not null"), "term")
-    pmi = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n") * F.col("n_kind")))
-    scored = scored.withColumn("disclosure", F.round(pmi / F.log(F.lit(float(total)) / F.col("n_kind")), 6))
-    return stored(scored.filter(F.col("disclosure") >= threshold).select("term", "kind", "disclosure"), "disclosing-terms")
+    # an entity is a kind, with a null value, or one value; a place near two spans of an entity counts once for it
+    value = F.col("value")
+    normal = F.when(F.col("kind") == "email", F.lower(value)).when(F.col("kind") == "ip", F.regexp_replace(value, r"(^|\.)0+(?=[0-9])", "$1")).otherwise(_digits(value))
+    entities = F.explode(F.array(F.lit(None).cast("string"), normal)).alias("entity")
+    places = stored(contexts.select("row_id", "start", "term", "kind", entities).distinct(), "entity-places")
+    in_entity = places.groupBy("kind", "entity").agg(F.count("*").alias("n_entity"))
+    both = places.groupBy("term", "kind", "entity").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
+    of_kind = both.filter("entity is null").join(F.broadcast(in_entity.filter("entity is null").drop("entity")), "kind")  # a row per kind
+    of_value = both.join(in_entity, ["kind", "entity"])
+    columns = ["term", "kind", "n_both", "n_entity"]
+    scored = of_kind.select(columns).unionAll(of_value.select(columns)).join(counts.filter("term is not null"), "term")
+    pmi = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n") * F.col("n_entity")))
+    scored = scored.withColumn("disclosure", F.round(pmi / F.log(F.lit(float(total)) / F.col("n_entity")), 6)).filter(F.col("disclosure") >= threshold)
+    return stored(scored.groupBy("term", "kind").agg(F.max("disclosure").alias("disclosure")), "disclosing-terms")
 
 
 def _term_spans(documents: DataFrame, spans: DataFrame, terms: DataFrame) -> DataFrame:

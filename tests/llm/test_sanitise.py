@@ -94,3 +94,16 @@ def test_disclosing_terms_are_spans_in_every_text(spark, documents):
     assert "zorp" not in clean[0].lower() and clean[9] == texts[9] and clean[22] is None
     assert clean[20] in ("no address, but  and 's too; zorps zorp2 x-zorp not", "no address, but [EMAIL] and [EMAIL]'s too; zorps zorp2 x-zorp not")
     assert clean[21].startswith("[EMAIL]")
+
+
+def test_a_term_beside_one_value_only_is_a_span(documents):
+    near = "filler words here and then {} {} follows with much other text"
+    texts = {k: near.format("Zorp", "one.x@mail.example.com" if k % 2 else "ONE.x@Mail.example.com") for k in range(5)}
+    texts |= {k: near.format("Quux", f"u{k}.x@mail.example.com") for k in range(10, 12)}  # two places are chance
+    texts |= {k: near.format("card", f"u{k}.x@mail.example.com") for k in range(20, 60)}
+    texts |= {k: "words with much other text here and then follows filler card " * 100 for k in range(60, 70)}
+    texts |= {70: "Ask zorp, or quux."}
+    got = {r["doc_id"]: [s for s in r["spans"].split(",") if s.startswith("term")] for r in sanitise.report(documents(list(texts.items()))).collect()}
+    assert got[70] == ["term:4:8"]
+    assert all(got[k] == [f"term:{texts[k].index('Zorp')}:{texts[k].index('Zorp') + 4}"] for k in range(5))
+    assert not any(got[k] for k in got if 5 <= k < 70)
