@@ -2,14 +2,16 @@
 
 Words are runs of letters and digits of the lower-cased text; an item of n words is compared with windows of n words.
 A window without a single shingle of the benchmark has similarity 0, so windows are laid only where a shared shingle
-puts an item over a document; this loses nothing.  Every window and item gets a 128-bit SimHash of its weighted 5-word
-shingles.  Fingerprints are cut into ``BLOCKS`` blocks of 8 bits; two within ``RADIUS`` < 2 * BLOCKS bits differ by at
-most one bit in some block, so items are filed under each block value and its eight one-bit neighbours and windows look
-up their own values: all pairs within the radius meet.  The exact weighted Jaccard similarity of the shingles then decides.
+puts an item over a document; this loses nothing.  Every window and item gets a 128-bit SimHash of its distinct 5-word
+shingles, each with the root of its count times its weight.  Fingerprints are cut into ``BLOCKS`` blocks of 8 bits; two
+within ``RADIUS`` < 3 * BLOCKS bits differ by at most two bits in some block, so items are filed under each block value and
+its 36 neighbours up to two bits away and windows look up their own values: all pairs within the radius meet.  The exact
+weighted Jaccard similarity of the shingles then decides.
 
 A shingle weighs ln(1 + items / items that hold it), so that wording many items share counts less; shingles outside the
-benchmark weigh as much as those of one item.  At similarity 0.8 a fingerprint differs by 19 bits on average with
-a deviation of 4, so the radius of 31 keeps all but two in a thousand pairs at that edge, and every exact passage.
+benchmark weigh as much as those of one item.  With roots the cosine is at least 8/9 at similarity 0.8 however uneven the
+weights are.  Fingerprints of such pairs then differ by 19 bits on average with a deviation of 4 (as for a normal sum, so
+for more than a few shingles), and the radius of 47 is seven deviations away.
 
 Only DataFrame functions run here.  Copies of a text are scanned for hits where they lie, then share one text key, and
 copies of a window share one content key, so that hot texts and passages are settled once.
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_up_to, stored
 
 WIDTH, THRESHOLD = 5, 0.8
-BLOCKS, RADIUS = 16, 31
+BLOCKS, RADIUS = 16, 47
 #: Benchmark shingles, block keys and texts with hits are broadcast up to this many rows each.
 BROADCAST_SHINGLES, BROADCAST_KEYS = 500_000, 200_000
 TOKEN = r"[\p{L}\p{N}]+"
@@ -62,8 +64,8 @@ def benchmark_index(benchmark: DataFrame) -> DataFrame:
 
 
 def _fingerprints(shingles: DataFrame, key: str) -> DataFrame:
-    """128-bit SimHash of rows (key, shingle, weight), as two longs."""
-    hashed = shingles.withColumn("_0", F.col("shingle")).withColumn("_1", F.xxhash64("shingle", F.lit(1)))
+    """128-bit SimHash of distinct rows (key, shingle, n, weight), as two longs."""
+    hashed = shingles.withColumn("weight", F.sqrt(F.col("n") * F.col("weight"))).withColumn("_0", F.col("shingle")).withColumn("_1", F.xxhash64("shingle", F.lit(1)))
     sums = [F.sum(F.when(F.getbit(f"_{half}", F.lit(bit)) == 1, F.col("weight")).otherwise(-F.col("weight"))).alias(f"s{half}_{bit}")
             for half in (0, 1) for bit in range(64)]
     totals = hashed.groupBy(key).agg(*sums)
@@ -73,15 +75,16 @@ def _fingerprints(shingles: DataFrame, key: str) -> DataFrame:
     return totals.select(key, word[0].alias("low"), word[1].alias("high"))
 
 
-def _blocks(neighbours: bool):
-    """(block, value) keys of a fingerprint; with neighbours also the values one bit away."""
+def _blocks():
+    """(block, value) keys of a fingerprint."""
     per_half = BLOCKS // 2
-    keys = []
-    for k in range(BLOCKS):
-        value = F.shiftrightunsigned("low" if k < per_half else "high", 8 * (k % per_half)).bitwiseAND(F.lit(255)).cast("int")
-        for flip in ([0] + [1 << b for b in range(8)] if neighbours else [0]):
-            keys.append(F.struct(F.lit(k).alias("block"), value.bitwiseXOR(F.lit(flip)).alias("value")))
-    return F.explode(F.array(*keys)).alias("k")
+    values = [F.shiftrightunsigned("low" if k < per_half else "high", 8 * (k % per_half)).bitwiseAND(F.lit(255)).cast("int") for k in range(BLOCKS)]
+    return F.inline(F.array(*[F.struct(F.lit(k).alias("block"), value.alias("value")) for k, value in enumerate(values)]))
+
+
+def _neighbours():
+    """What turns a block value into itself and the values one and two bits away."""
+    return F.explode(F.array(*[F.lit(x) for x in range(256) if x.bit_count() <= 2])).alias("flip")
 
 
 def _counted(shingles: DataFrame, key: str) -> DataFrame:
@@ -120,20 +123,20 @@ def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     weights = index.select("shingle", "weight").distinct()
     rare = F.log1p(F.lit(float((index.select("rare").first() or [0])[0])))
     shingles = cut.groupBy("content").agg(F.first("s").alias("s")).select("content", F.explode("s").alias("shingle"))
+    shingles = shingles.groupBy("content", "shingle").agg(F.count("*").alias("n"))
     shingles = stored(shingles.join(weights, "shingle", "left").withColumn("weight", F.coalesce("weight", rare)), "window-shingles")
-    items = index.select("item_id", "shingle", "weight")
-    filed = _fingerprints(items, "item_id").select("item_id", F.col("low").alias("item_low"), F.col("high").alias("item_high"), _blocks(True)).select("*", "k.*")
-    filed = stored(filed.drop("k"), "item-blocks")
-    asked = _fingerprints(shingles, "content").select("content", "low", "high", _blocks(False)).select("*", "k.*").drop("k")
+    items = stored(_counted(index, "item_id"), "item-shingles")
+    filed = _fingerprints(items, "item_id").select("item_id", F.col("low").alias("item_low"), F.col("high").alias("item_high"), _blocks()).select("*", _neighbours())
+    filed = stored(filed.withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).drop("flip"), "item-blocks")
+    asked = _fingerprints(shingles, "content").select("content", "low", "high", _blocks())
     distance = F.bit_count(F.col("low").bitwiseXOR(F.col("item_low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("item_high")))
     near = asked.join(broadcast_up_to(filed, BROADCAST_KEYS), ["block", "value"]).filter(distance <= RADIUS).select("content", "item_id").distinct()
     near = stored(near, "candidates")
     # exact weighted Jaccard: shared weight over the weight of either
-    mine, theirs = _counted(shingles, "content"), _counted(items, "item_id")
     weight = lambda df, key, name: df.groupBy(key).agg(F.sum(F.col("n") * F.col("weight")).alias(name))
-    shared = near.join(mine, "content").join(theirs.select("item_id", "shingle", F.col("n").alias("m")), ["item_id", "shingle"])
+    shared = near.join(shingles, "content").join(items.select("item_id", "shingle", F.col("n").alias("m")), ["item_id", "shingle"])
     shared = shared.groupBy("content", "item_id").agg(F.sum(F.least("n", "m") * F.col("weight")).alias("both"))
-    scored = shared.join(weight(mine, "content", "w"), "content").join(weight(theirs, "item_id", "v"), "item_id")
+    scored = shared.join(weight(shingles, "content", "w"), "content").join(weight(items, "item_id", "v"), "item_id")
     similarity = F.round(F.col("both") / (F.col("w") + F.col("v") - F.col("both")), 6)
     accepted = scored.select("content", "item_id", similarity.alias("similarity")).filter(F.col("similarity") >= threshold)
     best = cut.select("text_key", "content").join(accepted, "content").groupBy("text_key", "item_id").agg(F.max("similarity").alias("similarity"))

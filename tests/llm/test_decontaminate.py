@@ -58,6 +58,17 @@ def test_against_all_windows(spark, documents):
     assert {r["doc_id"] for r in clean.select("doc_id").collect()} == {d for d, _ in rows} - {d for d, _ in plain(rows, items)}
 
 
+def test_items_that_share_a_long_template(spark, documents):
+    random.seed(6)
+    template = [f"t{k}" for k in range(154)]
+    items = [(k, " ".join(template + [f"i{k}x{j}" for j in range(5)])) for k in range(200)]
+    rows = [(k, " ".join(items[k][1].split()[:-2] + [f"other{k}", f"more{k}"])) for k in range(40)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in D.leaks(documents(rows), benchmark).collect()}
+    assert set(got) == {(k, k) for k in range(40)}
+    assert got == plain(rows, items)
+
+
 def test_empty_tables(spark, documents):
     none = spark.createDataFrame([], "item_id long, text string")
     one = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
