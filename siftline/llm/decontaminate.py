@@ -107,8 +107,8 @@ def windows_with_hits(documents: DataFrame, index: DataFrame) -> DataFrame:
     return stored(functools.reduce(DataFrame.unionAll, found).distinct(), "windows")
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document and benchmark item it holds: doc_id, item_id, similarity (of its best window)."""
+def _leaked_texts(documents: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
+    """Stored (text_key, item_id, similarity) of the texts that hold an item."""
     index = benchmark_index(benchmark)
     windows = windows_with_hits(documents, index)
     keys = stored(windows.select(F.col("text_key").alias("_key")).distinct(), "hit-texts")
@@ -140,12 +140,17 @@ def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     similarity = F.round(F.col("both") / (F.col("w") + F.col("v") - F.col("both")), 6)
     accepted = scored.select("content", "item_id", similarity.alias("similarity")).filter(F.col("similarity") >= threshold)
     best = cut.select("text_key", "content").join(accepted, "content").groupBy("text_key", "item_id").agg(F.max("similarity").alias("similarity"))
-    best = stored(best, "leaked-texts")
+    return stored(best, "leaked-texts")
+
+
+def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document and benchmark item it holds: doc_id, item_id, similarity (of its best window)."""
+    best = _leaked_texts(documents, benchmark, threshold)
     held = documents.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), _text_key().alias("text_key"))
     return held.join(broadcast_up_to(best, BROADCAST_KEYS), "text_key").select("doc_id", "item_id", "similarity")
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
-    found = stored(leaks(documents, benchmark, threshold).select(F.col("doc_id").alias("_leak")).distinct(), "leaked-documents")
-    return documents.join(found, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    """The rows whose text holds no benchmark item, with all their columns; null and repeated ids take no other row along."""
+    found = stored(_leaked_texts(documents, benchmark, threshold).select(F.col("text_key").alias("_leak")).distinct(), "leaked-keys")
+    return documents.join(broadcast_up_to(found, BROADCAST_KEYS), F.col("text").isNotNull() & (_text_key() == F.col("_leak")), "left_anti")

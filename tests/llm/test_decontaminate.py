@@ -75,3 +75,10 @@ def test_empty_tables(spark, documents):
     assert D.leaks(documents([(1, "a b c d e f g")]), none).count() == 0
     assert D.leaks(documents([]), one).count() == 0
     assert D.leaks(documents([(1, "a b c d e f g")]), one).count() == 1
+
+
+def test_clean_rows_stay_under_null_and_repeated_ids(spark, documents):
+    leak, clean = "x one two three four five six seven y", "quite another text of the same id here"
+    benchmark = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
+    left = D.without_leaks(documents([(None, leak), (None, clean), (None, None), (5, clean), (5, leak), (6, leak)]), benchmark)
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted([(None, clean), (None, None), (5, clean)], key=repr)
