@@ -56,8 +56,8 @@ def candidate_confidence(score: Column, risk: Column, similar: Column) -> Column
     return clamp(confidence, 0.0, 1.0)
 
 
-def similar_known(queries: DataFrame, known: DataFrame, eps: float = 0.3, most: int = 5) -> DataFrame:
-    """How many known vectors share the query's density cluster, counted up to ``most``.
+def similar_known(queries: DataFrame, known: DataFrame, eps: float = 0.3, most: int | None = None) -> DataFrame:
+    """How many known vectors share the query's density cluster, all of them or counted up to ``most``.
 
     A query near no known vector is noise, and shares that label with the lone known ones.
     """
@@ -72,11 +72,12 @@ def similar_known(queries: DataFrame, known: DataFrame, eps: float = 0.3, most:
     counted = touched.join(sizes, "cluster", "left").groupBy(F.col("query_id").alias("id")).agg(
         F.sum(F.coalesce("members", F.lit(1))).alias("members"))
     total = queries.select("id").join(counted, "id", "left").select("*", lone.scalar().alias("lone"))
-    return total.select("id", F.least(F.coalesce("members", "lone"), F.lit(most)).alias("similar_count"))
+    similar = F.coalesce("members", "lone")
+    return total.select("id", (similar if most is None else F.least(similar, F.lit(most))).alias("similar_count"))
 
 
-def anomaly_candidates(queries: DataFrame, known: DataFrame) -> DataFrame:
-    """Segments far from everything known that look risky enough.
+def anomaly_candidates(queries: DataFrame, known: DataFrame, most: int | None = None) -> DataFrame:
+    """Segments far from everything known that look risky enough; ``most`` bounds the reported ``similar_count``.
 
     Both frames have (id, content, fingerprint).
     """
@@ -87,7 +88,7 @@ def anomaly_candidates(queries: DataFrame, known: DataFrame) -> DataFrame:
         S.predicted_cwe(code).alias("predicted_cwe"), F.concat(F.lit("ZERO-DAY-"), F.md5(code)).alias("candidate_id")))
     k = cut_lineage(known.select("id", F.col("fingerprint").alias("embedding")))
     odd = distance_scores(described, k).filter(F.col("anomaly_score") < -0.5)
-    similar = similar_known(described.join(odd.select("id"), "id", "left_semi"), k)
+    similar = similar_known(described.join(odd.select("id"), "id", "left_semi"), k, most=most)
     rated = described.drop("embedding").join(odd.drop("no_baseline"), "id").join(similar, "id")
     return rated.withColumn(
         "confidence", candidate_confidence(F.col("anomaly_score"), F.col("risk_assessment"), F.col("similar_count"))

@@ -96,3 +96,12 @@ def test_slices_of_references_give_the_same_rows(monkeypatch):
             got = similarity._pick(np.arange(20), queries, ids, groups, refs, pick)
             seen.append(sorted(map(tuple, got.round(9).to_numpy().tolist())))
         assert seen[0] == seen[1] and seen[0]
+
+
+def test_similar_known_counts_every_lone_vector(spark):
+    from siftline.operators.anomaly import similar_known
+
+    known = spark.createDataFrame([(k, [10.0 * k, 0.0]) for k in range(8)], "id long, embedding array<double>")
+    queries = spark.createDataFrame([(100, [5.0, 500.0])], "id long, embedding array<double>")
+    assert [r["similar_count"] for r in similar_known(queries, known).collect()] == [8]
+    assert [r["similar_count"] for r in similar_known(queries, known, most=5).collect()] == [5]
