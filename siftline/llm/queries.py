@@ -1,5 +1,8 @@
 """The operators as named queries over the given tables, with their check SQL where SQL can state the result."""
-from . import block_labeller, cuckoo_dedup, decontaminate, language_id, license_index, ngram_join, packed_ids, sanitise, source_mix, warc
+from . import (
+    block_labeller, cuckoo_dedup, decontaminate, infill, language_id, license_index, ngram_join, one_bit_search, packed_ids, sanitise, source_mix, warc,
+    whitening,
+)
 from .common import read_table
 
 QUERIES, CHECK_SQL = {}, {}
@@ -145,3 +148,45 @@ def op9(spark, folder):
 @query("op10_sanitise")
 def op10(spark, folder):
     return sanitise.report(read_table(spark, folder, "documents"))
+
+
+@query("op11_infill", r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+    sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+hashed AS (
+  SELECT doc_id, t, u, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM cut),
+parts AS (
+  SELECT doc_id, t, n, form, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m,
+    array_to_string(u[greatest(a, b) + 1:], '') AS s
+  FROM hashed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+""")
+def op11(spark, folder):
+    return infill.digests(read_table(spark, folder, "documents"))
+
+
+@query("op12_one_bit_search", """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_distance(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
+SELECT * FROM (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INT) AS rank, vec_id, score FROM pairs) WHERE rank <= 10
+""")
+def op12(spark, folder):
+    return one_bit_search.nearest(read_table(spark, folder, "embeddings"))
+
+
+@query("op13_whitening")
+def op13(spark, folder):
+    return whitening.whiten(read_table(spark, folder, "embeddings"))
