@@ -564,3 +564,10 @@ ENRICHMENT_MARK = "Llama 3 70B"
 ENRICHED_OPENING = "\n\n🤖 Advanced AI Analysis (Llama 3 70B):\n"
 ENRICHED_ATTACK = "\n\n⚔️ Attack Vector: "
 ENRICHED_RISK = "\n💼 Business Risk: "
+
+#: Snippet of a structural finding without central lines.
+NO_LOCATION = "[No specific location identified]"
+GRAPH_SURE = "Graph Neural Network analysis detected structural patterns consistent with "
+GRAPH_MAYBE = "Graph analysis detected structural patterns that might indicate "
+GRAPH_TRAINED_NOTE = "The trained model identified suspicious code structure patterns."
+GRAPH_UNTRAINED_NOTE = "Note: This detection uses an untrained model and may be less accurate."

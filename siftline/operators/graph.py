@@ -4,10 +4,9 @@ All nodes of a file are built as one array inside the file's row, in linear time
 without a shuffle.  Only the typed edges, whose number can exceed the text, are made by an
 equi-join on what lines share (a function, a variable, a call), so they spread over tasks.
 """
-from collections import deque
-
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
@@ -304,53 +303,116 @@ def node_type_counts(files: DataFrame) -> DataFrame:
     return graph_nodes(files).groupBy("file_id", "type").agg(F.count("*").alias("count"))
 
 
-def central_lines(files: DataFrame, top: int = 5, over: float = 0.1) -> DataFrame:
-    """The most central lines of each file's step-and-definition graph."""
-    flat = file_graphs(files).select("file_id", let(F.col("nodes"), lambda nodes: let(
+#: Cells (nodes times sources) of the tables that one block of sources needs.
+BLOCK_CELLS = 1 << 21
+#: Files of more lines are cut into blocks that different tasks take.
+LONG_FILE = 1000
+
+
+def _links(files: DataFrame, *keep: str) -> DataFrame:
+    """Per file the line of each node and the ends of its step and definition links."""
+    linked = let(F.col("nodes"), lambda nodes: let(
         F.array_union(_steps(nodes), _definition_pairs(nodes)),
         lambda links: F.struct(
             F.transform(nodes, lambda n: n["line"]).alias("lines"), F.transform(links, lambda l: l["src"]).alias("src"),
-            F.transform(links, lambda l: l["dst"]).alias("dst")))).alias("g")).select("file_id", "g.*")
-
-    @F.pandas_udf("array<struct<line:int,centrality:double>>")
-    def central(lines: pd.Series, src: pd.Series, dst: pd.Series) -> pd.Series:
-        def one(ls, a, b):
-            scores = betweenness(len(ls), list(zip(a, b)))
-            best = sorted(range(len(ls)), key=lambda i: (-scores[i], i))[:top]
-            return [{"line": int(ls[i]), "centrality": scores[i]} for i in best if scores[i] > over]
-        return pd.Series([one(*row) for row in zip(lines, src, dst)])
-
-    return flat.select("file_id", F.inline(central("lines", "src", "dst")))
-
-
-def betweenness(n: int, links: list) -> list:
-    """Normalised betweenness of a directed graph by accumulating shortest-path counts backwards."""
-    following = [[] for _ in range(n)]
-    for a, b in links:
-        following[a].append(b)
-    score = [0.0] * n
-    for source in range(n):
-        paths, depth, parents = [0] * n, [-1] * n, [[] for _ in range(n)]
-        paths[source], depth[source] = 1, 0
-        visited, queue = [], deque([source])
-        while queue:
-            v = queue.popleft()
-            visited.append(v)
-            for w in following[v]:
-                if depth[w] < 0:
-                    depth[w] = depth[v] + 1
-                    queue.append(w)
-                if depth[w] == depth[v] + 1:
-                    paths[w] += paths[v]
-                    parents[w].append(v)
-        share = [0.0] * n
-        for w in reversed(visited):
-            for v in parents[w]:
-                share[v] += paths[v] / paths[w] * (1.0 + share[w])
-            if w != source:
-                score[w] += share[w]
-    scale = (n - 1) * (n - 2)
-    return [s / scale for s in score] if scale > 0 else score
+            F.transform(links, lambda l: l["dst"]).alias("dst"))))
+    return file_graphs(files, *keep).select(*keep, linked.alias("g")).select(*keep, "g.*")
+
+
+def line_centrality(files: DataFrame, long_file: int = LONG_FILE, cells: int = BLOCK_CELLS) -> DataFrame:
+    """(file_id, id, line, centrality): betweenness of every node that lies on some shortest path between two others.
+
+    The sources of a long file are dealt to blocks, each worked on by a task of its own; the blocks' shares add up by
+    node.  A file of n nodes and e links takes n (n + e) steps whatever the number of tasks, as the measure asks.
+    """
+    @F.pandas_udf("array<struct<id:int,line:int,share:double>>")
+    def shares(lines: pd.Series, src: pd.Series, dst: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
+        def one(ls, a, b, first, last):
+            n = len(ls)
+            if n < 3:
+                return []
+            scale = (n - 1) * (n - 2)
+            score = np.zeros(n)
+            step = max(1, cells // n)
+            preds = predecessors(n, a, b)
+            for start in range(first, min(last, n), step):
+                score += through_shares(preds, start, min(start + step, last, n))
+            return [{"id": int(i), "line": int(ls[i]), "share": score[i] / scale} for i in np.flatnonzero(score)]
+        return pd.Series([one(*row) for row in zip(lines, src, dst, low, high)])
+
+    def of(part, dealt):
+        linked = _links(part, "file_id")
+        n = F.size("lines")
+        if dealt:
+            step = F.greatest(F.lit(1), F.floor(F.lit(cells) / F.greatest(n, F.lit(1)))).cast("int")
+            starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, step)).otherwise(F.array(F.lit(0)))
+            blocks = linked.select("*", step.alias("step"), F.explode(starts).alias("low"))
+            linked = blocks.withColumn("high", F.col("low") + F.col("step")).repartition("file_id", "low")
+        else:
+            linked = linked.select("*", F.lit(0).alias("low"), n.alias("high"))
+        found = linked.select("file_id", F.inline(shares("lines", "src", "dst", "low", "high")))
+        return found if not dealt else found.groupBy("file_id", "id").agg(F.min("line").alias("line"), F.sum("share").alias("share"))
+
+    long = T.line_count(F.col("content")) > long_file
+    # a short file is settled inside its row, without a shuffle
+    found = of(files.filter(~long), False).unionByName(of(files.filter(long), True))
+    return found.select("file_id", "id", "line", F.col("share").alias("centrality"))
+
+
+def central_lines(files: DataFrame, top: int = 5, over: float = 0.1) -> DataFrame:
+    """The most central lines of each file's step-and-definition graph, at most ``top`` and all above ``over``."""
+    order = Window.partitionBy("file_id").orderBy(F.desc("centrality"), "id")
+    central = line_centrality(files).filter(F.col("centrality") > over)
+    best = central.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)
+    return best.select("file_id", "line", "centrality")
+
+
+def hot_lines(files: DataFrame, top: int = 5, over: float = 0.1) -> DataFrame:
+    """(file_id, hot): per file the line numbers of its most central lines, in order."""
+    central = central_lines(files, top, over)
+    return central.groupBy("file_id").agg(F.array_sort(F.collect_set("line")).alias("hot"))
+
+
+def predecessors(n: int, src, dst) -> list:
+    """For each node the nodes that link to it; links lead forward, from a smaller number to a larger."""
+    before = [[] for _ in range(n)]
+    for a, b in zip(src, dst):
+        if a >= b:
+            raise ValueError(f"link from {a} back to {b}")
+        before[b].append(int(a))
+    return before
+
+
+def through_shares(preds: list, low: int, high: int, kind=float) -> np.ndarray:
+    """For each node the shares of shortest paths from the sources low to high that lead through it.
+
+    As links lead forward, one pass over the nodes in order counts the paths from all sources of the block at once, and
+    one pass back adds up the shares.  Counts beyond a float are taken as whole numbers of any size.
+    """
+    n, width = len(preds), high - low
+    far = np.iinfo(np.int32).max - 1
+    depth = np.full((n - low, width), far, np.int32)
+    paths = np.zeros((n - low, width), kind)
+    own = np.arange(width)
+    depth[own, own], paths[own, own] = 0, 1
+    before = [[u - low for u in preds[v] if u >= low] for v in range(low, n)]
+    for v in range(1, n - low):
+        for u in before[v]:
+            reached = depth[u] + 1
+            nearer, same = reached < depth[v], (reached == depth[v]) & (reached < far)
+            with np.errstate(over="ignore"):
+                paths[v] = np.where(nearer, paths[u], np.where(same, paths[v] + paths[u], paths[v]))
+            depth[v] = np.where(nearer, reached, depth[v])
+    if kind is float and not np.isfinite(paths).all():
+        return through_shares(preds, low, high, object)
+    share = np.zeros((n - low, width))
+    for v in range(n - low - 1, 0, -1):
+        for u in before[v]:
+            on_path = (depth[u] + 1 == depth[v]) & (depth[v] < far)
+            if on_path.any():
+                share[u][on_path] += (paths[u][on_path] / paths[v][on_path]).astype(float) * (1.0 + share[v][on_path])
+    share[own, own] = 0.0
+    return np.concatenate([np.zeros(low), share.sum(axis=1)])
 
 
 def risk_factors(code: Column) -> dict:

@@ -92,22 +92,23 @@ def dense_code_findings(scored: DataFrame) -> DataFrame:
 
 
 def graph_findings(scored: DataFrame, trained: bool = True) -> DataFrame:
-    """Findings of the structural model; an untrained model counts for much less."""
+    """Findings of the structural model; an untrained model counts for much less.
+
+    ``hot`` of a row holds the file's most central lines (``graph.hot_lines``), which the finding spans; without any it
+    spans the whole file.
+    """
     kind = F.col("vulnerability_type")
     scale = F.lit(1.0) if trained else F.lit(0.3)
     weighed = scored.withColumn("_p", F.col("score") * scale).withColumn("_t", F.col("type_confidence") * scale)
     sure = weighed.filter(F.col("_p") > (0.7 if trained else 0.85))
-    about = (
-        "The trained model identified suspicious code structure patterns." if trained
-        else "Note: This detection uses an untrained model and may be less accurate."
-    )
-    lead = (
-        "Graph Neural Network analysis detected structural patterns consistent with " if trained
-        else "Graph analysis detected structural patterns that might indicate "
-    )
+    located = F.size(F.coalesce("hot", F.array().cast("array<int>"))) > 0
+    about = fixed.GRAPH_TRAINED_NOTE if trained else fixed.GRAPH_UNTRAINED_NOTE
+    lead = fixed.GRAPH_SURE if trained else fixed.GRAPH_MAYBE
     return sure.select(*_finding(
         "GNN", kind, graph_severity(kind, F.col("_p"), trained), F.col("_p") * F.col("_t"),
-        F.lit(1), T.line_count(F.col("content")), F.lit("[No specific location identified]"),
+        F.when(located, F.element_at("hot", 1)).otherwise(1),
+        F.when(located, F.element_at("hot", -1)).otherwise(T.line_count(F.col("content"))),
+        F.when(located, S.context_snippet(F.col("content"), F.col("hot"), "")).otherwise(F.lit(fixed.NO_LOCATION)),
         graph_explanation(kind, F.col("_p"), F.col("graph_density"), F.col("suspicious_ratio"), trained),
         F.concat(F.lit("GNN: Structural "), kind, F.lit(" Pattern")),
         F.concat(F.lit(lead), kind, F.lit(". " + about)), 2,

@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fixed
 from .. import views as V
 from ..operators import graph as G
+from ..operators import model_findings as M
+from ..operators import scan as C
 from ..operators import segments as S
-from .registry import SQL_BLANK, query, sql_any, sql_count, sql_strip, sql_text
-from .scan_queries import LINES_CTE, blocks_sql
+from .registry import SQL_BLANK, query, sql_any, sql_count, sql_list, sql_strip, sql_text, sql_values
+from .scan_queries import LINES_CTE, LOCATED_CTE, blocks_sql, scored_files
 
 W = fixed.LINE_TYPE_WORDS
 NODES_CTE = f"""{LINES_CTE}, raw AS (SELECT file_id, line_no AS line, {sql_strip('line')} AS text FROM lines),
@@ -143,11 +145,90 @@ def node_type_counts(spark, folder):
     return G.node_type_counts(files(spark, folder))
 
 
-@query("central_lines")
+LINKS_CTE = f"""d AS (SELECT file_id, id, {sql_strip("string_split(text, '=')[1]")} AS name FROM nodes WHERE type = 'assignment'),
+links AS (SELECT file_id, src, dst FROM (SELECT file_id, id AS src, lead(id) OVER (PARTITION BY file_id ORDER BY line) AS dst FROM nodes) WHERE dst IS NOT NULL
+  UNION SELECT file_id, src, dst FROM (SELECT u.file_id, u.id AS dst, d.name, max(d.id) AS src FROM nodes u
+    JOIN d ON d.file_id = u.file_id AND d.id < u.id AND d.name <> '' AND contains(u.text, d.name) WHERE u.type IN ('function_call', 'return') GROUP BY 1, 2, 3))"""
+
+
+def central_sql(over: float) -> str:
+    """``central(file_id, id, line, centrality)`` by counting shortest paths recursively; needs ``nodes``."""
+    return f"""{LINKS_CTE},
+walks AS (SELECT file_id, src AS s, dst AS v, 1 AS d FROM links
+  UNION ALL SELECT w.file_id, w.s, l.dst, w.d + 1 FROM walks w JOIN links l ON l.file_id = w.file_id AND l.src = w.v),
+counted AS (SELECT file_id, s, v, d, count(*)::DOUBLE AS c FROM walks GROUP BY ALL),
+short AS (SELECT * FROM counted QUALIFY d = min(d) OVER (PARTITION BY file_id, s, v)),
+sizes AS (SELECT file_id, count(*) AS n FROM nodes GROUP BY 1),
+shares AS (SELECT a.file_id, a.v AS id, sum(a.c * b.c / t.c) AS share FROM short a JOIN short b ON b.file_id = a.file_id AND b.s = a.v
+  JOIN short t ON t.file_id = a.file_id AND t.s = a.s AND t.v = b.v AND t.d = a.d + b.d GROUP BY 1, 2),
+scored AS (SELECT shares.file_id, shares.id, line, round(share / ((n - 1) * (n - 2)), 9) AS centrality
+  FROM shares JOIN sizes ON sizes.file_id = shares.file_id JOIN nodes ON nodes.file_id = shares.file_id AND nodes.id = shares.id),
+central AS (SELECT * FROM scored WHERE centrality > {over} QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY centrality DESC, id) <= 5)"""
+
+
+HOT_CTE = "hot AS (SELECT file_id, min(line) AS hot_lo, max(line) AS hot_hi FROM central GROUP BY 1)"
+HOT_SNIPPET_SQL = f"""CASE WHEN hot_lo IS NULL THEN '{fixed.NO_LOCATION}' ELSE
+  array_to_string(list_slice(string_split(content, chr(10)), greatest(0, hot_lo - 3) + 1, least(n_lines, hot_hi + 2)), chr(10)) END"""
+
+
+@query("central_lines", f"""
+WITH RECURSIVE {NODES_CTE}, {central_sql(0.1)} SELECT file_id, line, round(centrality, 6) AS centrality FROM central""")
 def central_lines(spark, folder):
     return G.central_lines(files(spark, folder)).withColumn("centrality", F.round("centrality", 6))
 
 
+def located_files(spark, folder, over):
+    """Scored files with their central lines."""
+    return scored_files(spark, folder).join(G.hot_lines(files(spark, folder), over=over), "file_id", "left")
+
+
+HYBRID_SEVERITY_SQL = f"""CASE WHEN vulnerability_type IN ({sql_list(fixed.CRITICAL_TYPES)}) AND score * type_confidence > 0.7 THEN 'critical'
+WHEN vulnerability_type IN ({sql_list(fixed.CRITICAL_TYPES)}) OR (vulnerability_type IN ({sql_list(fixed.HIGH_TYPES)}) AND score * type_confidence > 0.6) THEN 'high'
+WHEN score * type_confidence > 0.5 THEN 'medium' ELSE 'low' END"""
+GRAPH_SEVERITY_SQL = f"""CASE WHEN vulnerability_type IN ({sql_list(fixed.CRITICAL_TYPES)}) AND score > 0.8 THEN 'critical'
+WHEN vulnerability_type IN ({sql_list(fixed.CRITICAL_TYPES)}) OR (vulnerability_type IN ({sql_list(fixed.HIGH_TYPES)}) AND score > 0.85) THEN 'high'
+WHEN score > 0.8 THEN 'medium' ELSE 'low' END"""
+TYPE_TABLES_CTE = ", ".join([sql_values("type_cwe", ["kind", "cwe_id"], list(fixed.TYPE_CWE.items())),
+                             sql_values("type_fix", ["kind", "fix"], list(fixed.TYPE_FIX.items()))])
+
+
+@query("score_findings", f"""
+WITH RECURSIVE {LOCATED_CTE}, {NODES_CTE.removeprefix(LINES_CTE + ', ')}, {central_sql(0.1)}, {TYPE_TABLES_CTE}, {HOT_CTE}, n AS (SELECT snips.*, len(string_split(content, chr(10))) AS n_lines, replace(vulnerability_type, ' ', '_') AS tag, hot_lo, hot_hi FROM snips LEFT JOIN hot ON hot.file_id = snips.file_id)
+SELECT concat('HYBRID-', file_path, '-', tag) AS finding_id, concat('Hybrid AI: ', vulnerability_type) AS name, {HYBRID_SEVERITY_SQL} AS severity,
+  round(type_confidence, 4) AS confidence, file_path, lo AS line_start, hi AS line_end, snip AS code_snippet,
+  type_cwe.cwe_id, type_fix.fix AS fix_suggestion FROM n JOIN type_cwe ON type_cwe.kind = vulnerability_type JOIN type_fix ON type_fix.kind = vulnerability_type
+  WHERE score > 0.4 AND type_confidence > 0.4
+UNION ALL SELECT concat('HYBRID-COMPLEXITY-', file_path), 'High Code Complexity', 'low', 0.7, file_path, 1, n_lines, '[Full file - complex structure]', NULL, NULL FROM n WHERE graph_density > 0.15
+UNION ALL SELECT concat('GNN-', file_path, '-', tag), concat('GNN: Structural ', vulnerability_type, ' Pattern'), {GRAPH_SEVERITY_SQL}, round(score * type_confidence, 4), file_path, coalesce(hot_lo, 1), coalesce(hot_hi, n_lines),
+  {HOT_SNIPPET_SQL}, type_cwe.cwe_id, type_fix.fix FROM n JOIN type_cwe ON type_cwe.kind = vulnerability_type JOIN type_fix ON type_fix.kind = vulnerability_type WHERE score > 0.7
+UNION ALL SELECT concat('GNN-COMPLEXITY-', file_path), 'Complex/Suspicious Code Structure', 'medium', 0.75, file_path, 1, n_lines, '[Full file analysis]', NULL, NULL FROM n WHERE graph_density > 0.3""")
+def score_findings(spark, folder):
+    scored = located_files(spark, folder, 0.1).withColumn("suspicious_ratio", F.col("graph_density"))
+    found = C.union_findings(M.hybrid_findings(scored), M.dense_code_findings(scored), M.graph_findings(scored),
+                             M.suspicious_structure_findings(scored))
+    return found.select("finding_id", "name", "severity", F.round("confidence", 4).alias("confidence"), "file_path",
+                        "line_start", "line_end", "code_snippet", "cwe_id", "fix_suggestion")
+
+
+#: An untrained model's probabilities count three tenths and must exceed 0.85, which the sum over four of its runs can.
+RUNS = 4
+
+
+@query("score_findings_untrained", f"""
+WITH RECURSIVE {LOCATED_CTE}, {NODES_CTE.removeprefix(LINES_CTE + ', ')}, {central_sql(0.3)}, {TYPE_TABLES_CTE}, {HOT_CTE},
+n AS (SELECT snips.*, len(string_split(content, chr(10))) AS n_lines, score * {RUNS} * 0.3::DOUBLE AS p, hot_lo, hot_hi FROM snips LEFT JOIN hot ON hot.file_id = snips.file_id)
+SELECT concat('GNN-', file_path, '-', replace(vulnerability_type, ' ', '_')) AS finding_id,
+  CASE WHEN vulnerability_type IN ({sql_list(fixed.CRITICAL_TYPES)}) AND p > 0.9 THEN 'high' ELSE 'low' END AS severity,
+  round(p * type_confidence * 0.3::DOUBLE, 4) AS confidence, file_path, coalesce(hot_lo, 1) AS line_start, coalesce(hot_hi, n_lines) AS line_end,
+  {HOT_SNIPPET_SQL} AS code_snippet, concat('{fixed.GRAPH_MAYBE}', vulnerability_type, '. {fixed.GRAPH_UNTRAINED_NOTE}') AS description
+FROM n WHERE p > 0.85""")
+def score_findings_untrained(spark, folder):
+    scored = located_files(spark, folder, 0.3).withColumns({"suspicious_ratio": F.col("graph_density"), "score": F.col("score") * RUNS})
+    found = M.graph_findings(scored, trained=False)
+    return found.select("finding_id", "severity", F.round("confidence", 4).alias("confidence"), "file_path", "line_start", "line_end",
+                        "code_snippet", "description")
+
+
 @query("risk_factors", f"""
 SELECT file_id, concat_ws(',', {', '.join(f"CASE WHEN contains(content, {sql_text(w)}) THEN {sql_text(w)} END" for w in fixed.INDICATOR_WORDS)}) AS indicators,
   {sql_any('content', fixed.INDICATOR_WORDS)} AS has_vulnerabilities, concat_ws(',', CASE WHEN contains(content, 'malloc') AND NOT contains(content, 'free') THEN 'Memory leak potential' END,

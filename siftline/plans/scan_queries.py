@@ -392,43 +392,6 @@ def segment_features(spark, folder):
     return texts(spark, folder).select("kind", "id", *[c.alias(n) for n, c in S.segment_statistics(F.col("text")).items()])
 
 
-HYBRID_SEVERITY_SQL = f"""CASE WHEN vulnerability_type IN ({sql_list(fixed.CRITICAL_TYPES)}) AND score * type_confidence > 0.7 THEN 'critical'
-WHEN vulnerability_type IN ({sql_list(fixed.CRITICAL_TYPES)}) OR (vulnerability_type IN ({sql_list(fixed.HIGH_TYPES)}) AND score * type_confidence > 0.6) THEN 'high'
-WHEN score * type_confidence > 0.5 THEN 'medium' ELSE 'low' END"""
-GRAPH_SEVERITY_SQL = f"""CASE WHEN vulnerability_type IN ({sql_list(fixed.CRITICAL_TYPES)}) AND score > 0.8 THEN 'critical'
-WHEN vulnerability_type IN ({sql_list(fixed.CRITICAL_TYPES)}) OR (vulnerability_type IN ({sql_list(fixed.HIGH_TYPES)}) AND score > 0.85) THEN 'high'
-WHEN score > 0.8 THEN 'medium' ELSE 'low' END"""
-TYPE_TABLES_CTE = ", ".join([sql_values("type_cwe", ["kind", "cwe_id"], list(fixed.TYPE_CWE.items())),
-                             sql_values("type_fix", ["kind", "fix"], list(fixed.TYPE_FIX.items()))])
-
-
-@query("score_findings", f"""
-WITH {LOCATED_CTE}, {TYPE_TABLES_CTE}, n AS (SELECT *, len(string_split(content, chr(10))) AS n_lines, replace(vulnerability_type, ' ', '_') AS tag FROM snips)
-SELECT concat('HYBRID-', file_path, '-', tag) AS finding_id, concat('Hybrid AI: ', vulnerability_type) AS name, {HYBRID_SEVERITY_SQL} AS severity,
-  round(type_confidence, 4) AS confidence, file_path, lo AS line_start, hi AS line_end, snip AS code_snippet,
-  type_cwe.cwe_id, type_fix.fix AS fix_suggestion FROM n JOIN type_cwe ON type_cwe.kind = vulnerability_type JOIN type_fix ON type_fix.kind = vulnerability_type
-  WHERE score > 0.4 AND type_confidence > 0.4
-UNION ALL SELECT concat('HYBRID-COMPLEXITY-', file_path), 'High Code Complexity', 'low', 0.7, file_path, 1, n_lines, '[Full file - complex structure]', NULL, NULL FROM n WHERE graph_density > 0.15
-UNION ALL SELECT concat('GNN-', file_path, '-', tag), concat('GNN: Structural ', vulnerability_type, ' Pattern'), {GRAPH_SEVERITY_SQL}, round(score * type_confidence, 4), file_path, 1, n_lines,
-  '[No specific location identified]', type_cwe.cwe_id, type_fix.fix FROM n JOIN type_cwe ON type_cwe.kind = vulnerability_type JOIN type_fix ON type_fix.kind = vulnerability_type WHERE score > 0.7
-UNION ALL SELECT concat('GNN-COMPLEXITY-', file_path), 'Complex/Suspicious Code Structure', 'medium', 0.75, file_path, 1, n_lines, '[Full file analysis]', NULL, NULL FROM n WHERE graph_density > 0.3""")
-def score_findings(spark, folder):
-    scored = scored_files(spark, folder).withColumn("suspicious_ratio", F.col("graph_density"))
-    found = C.union_findings(M.hybrid_findings(scored), M.dense_code_findings(scored), M.graph_findings(scored),
-                             M.suspicious_structure_findings(scored))
-    return found.select("finding_id", "name", "severity", F.round("confidence", 4).alias("confidence"), "file_path",
-                        "line_start", "line_end", "code_snippet", "cwe_id", "fix_suggestion")
-
-
-@query("score_findings_untrained", f"""
-WITH s AS (SELECT *, score * 0.3::DOUBLE AS p, type_confidence * 0.3::DOUBLE AS t FROM v_model_scores)
-SELECT count(*) FILTER (p > 0.85) AS reported, count(*) AS scored FROM s""")
-def score_findings_untrained(spark, folder):
-    scored = scored_files(spark, folder).withColumn("suspicious_ratio", F.col("graph_density"))
-    reported = M.graph_findings(scored, trained=False).agg(F.count("*").alias("reported"))
-    return reported.select("reported", scored.agg(F.count("*")).scalar().alias("scored"))
-
-
 @query("explanations", """
 SELECT file_id, concat('Graph Neural Network analysis using trained GNN model detected patterns consistent with ', vulnerability_type,
   '. Confidence: ', cast(cast(round(score * 100) AS int) AS varchar), '%. ', CASE WHEN graph_density > 0.5 THEN 'The code has high structural complexity. ' ELSE '' END,

@@ -93,11 +93,6 @@ def test_blocks_and_multiline_segments(spark):
     assert got == want and want
 
 
-def test_betweenness_of_a_path():
-    scores = graph.betweenness(4, [(0, 1), (1, 2), (2, 3)])
-    assert [round(s, 4) for s in scores] == [0.0, 0.3333, 0.3333, 0.0]
-
-
 def test_languages(spark):
     paths = ["a/B.TSX", "a.tar.h", ".py", "noext", "x/y.hpp"]
     df = spark.createDataFrame([(p,) for p in paths], "p string")
