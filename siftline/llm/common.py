@@ -63,3 +63,15 @@ def text_bytes(column):
 
     for value in column.cast(pa.large_binary()):
         yield value.as_py() or b""
+
+
+#: Hadoop's names of file systems that Arrow knows by another.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def file_system(uri: str):
+    """(Arrow file system, path) of a Hadoop path; a path without a scheme is a local one."""
+    from pyarrow import fs
+
+    scheme, colon, rest = uri.partition(":")
+    return fs.FileSystem.from_uri(ARROW_SCHEMES.get(scheme, scheme) + colon + rest)

@@ -5,13 +5,17 @@ a word in a language is the sum, over all its segmentations into pieces, of the
 algorithm); a text's log probability is the sum over its words plus the language's prior.  Probabilities are fitted by
 expectation maximisation (forward and backward) on words of a bounded sample of labelled rows.
 
-Words are runs of letters of the lower-cased text, longer ones cut into spans of ``MAX_WORD`` letters.  Whole texts are
-scored inside their task without a shuffle: each distinct word is scored once per worker and remembered up to a bound.
+Words are runs of letters and of the marks that follow them (vowel signs, accents) in the lower-cased text, longer ones cut into
+spans of ``MAX_WORD`` characters; numerals such as a half or a Roman eight are no letters.  Pieces of up to ``MAX_PIECE`` characters
+take part, so a longer piece of the vocabulary is spelt by its parts.  Whole texts are scored inside their task without a shuffle: each distinct word is scored once per worker and remembered up to a bound.
 
 Defined results: a text that is null or holds no letter is ``und`` with score 0; without any labelled row everything
-is ``und``; repeated rows get equal results; ties go to the first language by name; further columns are ignored.
+is ``und``, and ``accepted`` then keeps every text that holds a letter, as nothing speaks against it; repeated rows get equal results; ties go to the first language by name; further columns are ignored.
 """
+import functools
 import re
+import sys
+import unicodedata
 import uuid
 
 from pyspark.sql import DataFrame, Window
@@ -34,7 +38,36 @@ REMEMBER_WORDS = 600_000
 UNDETERMINED = "und"
 START = "▁"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+#: Letters and, taken for letters by ``re``, numerals such as a half.
+_PLAIN = re.compile(r"[^\W\d_]+")
+
+
+@functools.cache
+def _patterns():
+    """(letters with their marks, letters or marks, what tells these from ``_PLAIN``) by Unicode category."""
+    spans = {kind: [] for kind in ("L", "M", "N")}
+    for code in range(128, sys.maxunicode + 1):
+        kind = unicodedata.category(chr(code))[0]
+        if kind in spans:
+            if spans[kind] and spans[kind][-1][1] == code - 1:
+                spans[kind][-1][1] = code
+            else:
+                spans[kind].append([code, code])
+    letters, marks, numerals = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans[kind]) for kind in ("L", "M", "N"))
+    letters = "A-Za-z" + letters
+    return re.compile(f"[{letters}][{letters}{marks}]*"), re.compile(f"[{letters}{marks}]*\\Z"), re.compile(f"[{marks}{numerals}]")
+
+
+def _runs(text: str) -> list:
+    """Letters with the marks behind them; texts without marks and numerals need only the short pattern."""
+    if text.isascii():
+        return _PLAIN.findall(text)
+    spelt, _, odd = _patterns()
+    return spelt.findall(text) if odd.search(text) else _PLAIN.findall(text)
+
+
 _pieces_cache, _scorers = {}, {}
 
 
@@ -51,14 +84,13 @@ def load_pieces(path: str) -> list:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         found = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i)))
-        letters = re.compile(START + r"?[^\W\d_]*\Z")
-        _pieces_cache[path] = sorted({p.lower() for p in found if letters.match(p) and len(p) <= MAX_PIECE} - {""})
+        _pieces_cache[path] = sorted({p.lower() for p in found if _patterns()[1].match(p.removeprefix(START)) and len(p) <= MAX_PIECE} - {""})
     return _pieces_cache[path]
 
 
 def words_of(text: str) -> list:
-    """The words of a text: runs of letters, lower-cased, in spans of at most MAX_WORD."""
-    found = _LETTERS.findall(text.lower())
+    """The words of a text: letters with their marks, lower-cased, in spans of at most MAX_WORD."""
+    found = _runs(text.lower())
     if any(len(w) > MAX_WORD for w in found):
         found = [w[i:i + MAX_WORD] for w in found for i in range(0, len(w), MAX_WORD)]
     return found
@@ -306,8 +338,14 @@ def identify(documents: DataFrame, vocabulary: str | None = None, per_language:
 
 
 def accepted(documents: DataFrame, vocabulary: str | None = None, per_language: int = FIT_DOCUMENTS) -> DataFrame:
-    """The documents, with all their columns, whose language is determined."""
-    predictions = _predictions(documents.sparkSession, fit(documents, vocabulary, per_language))
+    """The documents, with all their columns, whose language is determined.
+
+    Where no row is labelled there is no language to tell, and all texts with a letter stay.
+    """
+    model = fit(documents, vocabulary, per_language)
+    if not model.languages:
+        return documents.filter(F.col("text").rlike(r"\p{L}"))
+    predictions = _predictions(documents.sparkSession, model)
     place = documents.columns.index("text")
 
     def keep(batches):

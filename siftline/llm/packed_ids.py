@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import new_run_folder
-from .common import stored, text_bytes
+from .common import file_system, stored, text_bytes
 
 MAGIC = b"SLPACK01"
 FOOTER = struct.Struct("<8sIIQQQQQQ")
@@ -222,14 +222,13 @@ def write_shards(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import pyarrow as pa
-        from pyarrow import fs
         from pyspark import TaskContext
 
         writer, stream, end = None, None, struct.pack("<I", end_id)
         for batch in batches:
             if writer is None and batch.num_rows:
                 shard = TaskContext.get().partitionId()
-                system, root = fs.FileSystem.from_uri(folder)
+                system, root = file_system(folder)
                 system.create_dir(root, recursive=True)
                 name = f"shard-{shard:06d}-{uuid.uuid4().hex}.bin"
                 stream = system.open_output_stream(f"{root}/{name}")
@@ -256,11 +255,10 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     def read(batches):
         import numpy as np
         import pyarrow as pa
-        from pyarrow import fs
 
         for batch in batches:
             for path, size, before in zip(*(c.to_pylist() for c in batch.columns)):
-                system, place = fs.FileSystem.from_uri(path)
+                system, place = file_system(path)
                 with system.open_input_file(place) as stream:
                     shard = ShardReader(stream, size)
                     docs, counts = shard.documents()

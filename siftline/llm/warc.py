@@ -8,6 +8,11 @@ which inflates a record's headers first, drops it if they do not match, and neve
 Archives of other writers work too: plain records are stepped over by Content-Length, members without the extra
 field are inflated to their end.
 
+Spark keeps what was pushed with the loaded table, so a table that two plans filter differently would lose rows.
+``read_archives`` therefore loads anew for each set of conditions, pushes exactly those, and seals the frame: later
+predicates are applied to its rows and do not reach the reader.  Pushing needs the session setting
+``spark.sql.python.filterPushdown.enabled``, which ``register`` switches on and leaves on, as plans are made lazily.
+
 Defined results: a null html is an empty payload; a null url has no target header and reads back null; a null
 page_id is smaller than any other and reads back null; of repeated rows with one payload exactly one is a response;
 an empty table gives an empty result; further columns are ignored.
@@ -27,7 +32,7 @@ from pyspark.sql.datasource import (
 )
 
 from ..session import new_run_folder
-from .common import row_identity, stored, text_bytes
+from .common import file_system, row_identity, stored, text_bytes
 
 FORMAT = "siftline_warc"
 SCHEMA = (
@@ -147,7 +152,7 @@ class WarcReader(DataSourceReader):
     def partitions(self):
         from pyarrow import fs
 
-        system, root = fs.FileSystem.from_uri(self.folder)
+        system, root = file_system(self.folder)
         found = [f for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if re.search(r"/[^/_.][^/]*\.warc(\.gz)?$", f.path)]
         # largest first, so that the last tasks to start are short
         parts = [WarcPartition(f.path, f.size) for f in sorted(found, key=lambda f: (-f.size, f.path))]
@@ -158,7 +163,6 @@ class WarcReader(DataSourceReader):
 
     def read(self, partition):
         import pyarrow as pa
-        from pyarrow import fs
 
         types = dict(zip(COLUMNS, [pa.string()] * 4 + [pa.int64()] * 3 + [pa.binary()]))
 
@@ -167,7 +171,7 @@ class WarcReader(DataSourceReader):
 
         if partition.path is None:
             return
-        system, _ = fs.FileSystem.from_uri(self.folder)
+        system, _ = file_system(self.folder)
         rows, held = [], 0
         with system.open_input_file(partition.path) as stream:
             for values in self.records(stream, partition.size):
@@ -271,10 +275,9 @@ class WarcWriter(DataSourceArrowWriter):
         self.folder = folder
 
     def write(self, iterator):
-        from pyarrow import fs
         from pyspark import TaskContext
 
-        system, root = fs.FileSystem.from_uri(self.folder)
+        system, root = file_system(self.folder)
         stream, name = None, None
         for batch in iterator:
             columns = [c.to_pylist() for c in batch.columns[:5]]
@@ -289,9 +292,7 @@ class WarcWriter(DataSourceArrowWriter):
         return _Written(name)
 
     def commit(self, messages):
-        from pyarrow import fs
-
-        system, root = fs.FileSystem.from_uri(self.folder)
+        system, root = file_system(self.folder)
         system.create_dir(root, recursive=True)
         for message in messages:
             if message is not None and message.name:
@@ -328,14 +329,23 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0):
     plan_records(pages, min_bytes).write.format(FORMAT).mode("append").option("path", folder).save()
 
 
-def read_archives(spark: SparkSession, folder: str, payload: str = "full") -> DataFrame:
+def _sealed(df: DataFrame) -> DataFrame:
+    """The same rows behind a sample of all of them, through which Spark moves no predicate."""
+    return df.sample(withReplacement=False, fraction=1.0, seed=0)
+
+
+def read_archives(spark: SparkSession, folder: str, payload: str = "full", *conditions) -> DataFrame:
+    """Records of all archives in a folder that meet the conditions, each a predicate that the reader is given."""
     register(spark)
-    return spark.read.format(FORMAT).option("path", folder).option("payload", payload).load()
+    found = spark.read.format(FORMAT).option("path", folder).option("payload", payload).load()
+    for condition in conditions:
+        found = found.filter(condition)
+    return _sealed(found)
 
 
 def archived(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write all pages to archives in the shared folder, read them back with checked payloads."""
     folder = new_run_folder(pages.sparkSession, "warc")
     write_archives(pages, folder, min_bytes)
-    found = read_archives(pages.sparkSession, folder, payload="check").filter(F.col("record_type").isin("response", "revisit"))
+    found = read_archives(pages.sparkSession, folder, "check", F.col("record_type").isin("response", "revisit"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
