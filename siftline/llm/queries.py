@@ -62,24 +62,24 @@ def op3(spark, folder):
 
 
 @query("op4_decontaminate", r"""
-WITH items AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
-placed AS (
-  SELECT item_id, len(w) AS n, unnest(range(0, len(w) - 4)) AS o, array_to_string(w[o + 1:o + 5], ' ') AS s FROM items WHERE len(w) >= 5),
-weights AS (SELECT s, ln(1 + (SELECT count(*) FROM items WHERE len(w) > 0)::DOUBLE / count(DISTINCT item_id)) AS weight FROM placed GROUP BY s),
+WITH items AS (
+  SELECT item_id, w, len(w) AS n, least(5, len(w)) AS k FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),
+placed AS (SELECT item_id, n, k, unnest(range(0, n - k + 1)) AS o, array_to_string(w[o + 1:o + k], ' ') AS s FROM items),
+weights AS (SELECT s, ln(1 + (SELECT count(*) FROM items)::DOUBLE / count(DISTINCT item_id)) AS weight FROM placed GROUP BY s),
 docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
-runs AS (SELECT doc_id, len(w) AS size, unnest(range(0, len(w) - 4)) AS p, array_to_string(w[p + 1:p + 5], ' ') AS s FROM docs WHERE len(w) >= 5),
+runs AS (
+  SELECT doc_id, k, len(w) AS size, unnest(range(0, len(w) - k + 1)) AS p, array_to_string(w[p + 1:p + k], ' ') AS s
+  FROM docs, (SELECT DISTINCT k FROM items) WHERE len(w) >= k),
 windows AS (
-  SELECT DISTINCT doc_id, greatest(0, least(p - o, size - n)) AS start, n FROM runs JOIN (SELECT DISTINCT s, o, n FROM placed) USING (s)),
+  SELECT DISTINCT doc_id, k, greatest(0, least(p - o, size - n)) AS start, n FROM runs JOIN (SELECT DISTINCT s, k, o, n FROM placed) USING (s, k)),
 held AS (
-  SELECT windows.doc_id, start, n, s, count(*) AS c FROM windows JOIN runs
-    ON runs.doc_id = windows.doc_id AND p >= start AND p <= start + n - 5 GROUP BY ALL),
-weighed AS (
-  SELECT held.*, coalesce(weight, ln(1 + (SELECT count(*) FROM items WHERE len(w) > 0)::DOUBLE)) AS weight FROM held LEFT JOIN weights USING (s)),
-counted AS (SELECT item_id, s, count(*) AS m FROM placed GROUP BY item_id, s),
+  SELECT windows.doc_id, k, start, n, s, count(*) AS c FROM windows JOIN runs USING (doc_id, k) WHERE p >= start AND p <= start + n - k GROUP BY ALL),
+weighed AS (SELECT held.*, coalesce(weight, ln(1 + (SELECT count(*) FROM items)::DOUBLE)) AS weight FROM held LEFT JOIN weights USING (s)),
+counted AS (SELECT item_id, n, s, count(*) AS m FROM placed GROUP BY item_id, n, s),
 totals AS (SELECT doc_id, start, n, sum(c * weight) AS w FROM weighed GROUP BY ALL),
 item_totals AS (SELECT item_id, sum(m * weight) AS v FROM counted JOIN weights USING (s) GROUP BY item_id),
 shared AS (
-  SELECT doc_id, start, n, item_id, sum(least(c, m) * weight) AS joint FROM weighed JOIN counted USING (s) GROUP BY doc_id, start, n, item_id)
+  SELECT doc_id, start, n, item_id, sum(least(c, m) * weight) AS joint FROM weighed JOIN counted USING (s, n) GROUP BY doc_id, start, n, item_id)
 SELECT doc_id, item_id, max(round(joint / (w + v - joint), 6)) AS similarity
 FROM shared JOIN totals USING (doc_id, start, n) JOIN item_totals USING (item_id)
 GROUP BY doc_id, item_id HAVING max(round(joint / (w + v - joint), 6)) >= 0.8
