@@ -4,9 +4,13 @@ A page becomes its sequence of leaf blocks.  A block is a vector of its hashed t
 ancestors), its hashed words and a few measures of its text.  A bidirectional LSTM in numpy reads the whole sequence
 and labels every block with the document around it; the main blocks' texts are the page's text.
 
-The model is fitted on the driver on a bounded sample: pages whose own markup names the article (``article`` or ``main``)
-give silver labels, and the same pages' words are laid into varied page designs whose labels are known by construction,
-so that menus, sidebars, notices, adverts, forms and comments are learned under many names.
+The model is fitted on the driver on a bounded sample of whole pages: at most ``FIT_PAGES`` of those with at most ``FIT_BLOCKS``
+blocks.  Pages whose own markup names the article (``article`` or ``main``) give silver labels, and the same pages' words are
+laid into varied page designs whose labels are known by construction, so that menus, sidebars, notices, adverts, forms and
+comments are learned under many names.  Features of sampled pages are made in tasks from whole blocks.
+
+Labelling holds one row of terms per block and one state per page, so memory follows the blocks of a batch whatever their
+pages' lengths; a page of more than ``LABEL_BLOCKS`` blocks is read in stretches of that many, once in either direction.
 
 Defined results: a null, empty or textless page gives an empty text; text outside tags is a block; unclosed tags end with
 their parent; a page of one block is labelled like any other; repeated rows get equal results; an empty table gives an
@@ -21,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import text_bytes
 
-#: Pages the model is fitted on, designed pages added, blocks of a page used for fitting.
-FIT_PAGES, DESIGNED_PAGES, FIT_BLOCKS = 150, 450, 60
+#: Pages the model is fitted on, designed pages added, most blocks of a page that may be in the sample.
+FIT_PAGES, DESIGNED_PAGES, FIT_BLOCKS = 150, 450, 500
+#: Sentences that a sampled page lends to the designed ones, and their longest.
+FIT_SENTENCES, FIT_SENTENCE = 200, 400
 EPOCHS, BATCH, HIDDEN, RATE = 12, 24, 24, 0.01
 PATH_SIZE, WORD_SIZE, MEASURES = 192, 24, 6
 #: Blocks labelled together by one task.
@@ -37,6 +43,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is never shown text.
 HIDDEN_TAGS = frozenset("script style title template svg".split())
 #: An opening tag that ends an open element of the second set.
+#: Inline elements that stand for themselves when they have a class, such as a framed advert.
+FRAMED = frozenset({"ins"})
 ENDS = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 SCOPES = frozenset("ul ol table dl select body article section div".split())
 
@@ -91,7 +99,8 @@ def leaves(page: str) -> list:
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else size
             continue
-        if tag in INLINE:
+        framed = tag in FRAMED and (any(e[0] == tag for e in stack) if closing else len(_element(tag, m[3] or m[6])) > 1)
+        if tag in INLINE and not framed:
             if tag == "a":
                 in_link = not closing
             continue
@@ -180,53 +189,67 @@ class Labeller:
             self.w["o" + d] = (random.normal(size=(hidden, 1)) / np.sqrt(hidden)).astype("f4")
         self.w["c"] = np.zeros(1, "f4")
 
-    def _run(self, z, alive, d, keep=None):
-        """Hidden states (steps, pages, hidden) from input terms z; pages are sorted by falling length."""
+    def _step(self, z, h, c, d):
+        """One step from input terms and the states before it: gates, cell and new states."""
         import numpy as np
 
-        n, pages, hidden = z.shape[0], z.shape[1], self.hidden
-        h, c, out = np.zeros((pages, hidden), "f4"), np.zeros((pages, hidden), "f4"), np.zeros((n, pages, hidden), "f4")
-        for t in range(n):
-            a = alive[t]
-            gates = z[t, :a] + h[:a] @ self.w["h" + d]
-            i, f, o = (_sigmoid(gates[:, k * hidden:(k + 1) * hidden]) for k in range(3))
-            g = np.tanh(gates[:, 3 * hidden:])
-            before = c[:a].copy()
-            c[:a] = f * before + i * g
-            tc = np.tanh(c[:a])
-            if keep is not None:
-                keep.append((i, f, o, g, before, tc, h[:a].copy()))
-            h[:a] = o * tc
-            out[t, :a] = h[:a]
-        return out
+        hidden = self.hidden
+        gates = z + h @ self.w["h" + d]
+        i, f, o = (_sigmoid(gates[:, k * hidden:(k + 1) * hidden]) for k in range(3))
+        g = np.tanh(gates[:, 3 * hidden:])
+        cell = f * c + i * g
+        tanh_cell = np.tanh(cell)
+        return (i, f, o, g, tanh_cell), o * tanh_cell, cell
 
     @staticmethod
-    def _layout(sizes):
-        """Order of pages by falling size, rows of each (step, page) forwards and backwards, pages alive per step."""
+    def _steps(sizes, d):
+        """Per step the rows of all pages that are long enough, longest page first."""
         import numpy as np
 
         order = np.argsort(-sizes, kind="stable")
-        begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        n = int(sizes.max())
-        step = np.arange(n)[:, None]
-        live = step < sizes[order][None, :]
-        forward = np.where(live, begins[order][None, :] + step, 0)
-        backward = np.where(live, begins[order][None, :] + sizes[order][None, :] - 1 - step, 0)
-        return live, forward, backward, live.sum(axis=1)
+        ends = np.cumsum(sizes)[order]
+        begins, falling = ends - sizes[order], sizes[order]
+        alive = len(sizes)
+        for t in range(int(falling[0])):
+            while falling[alive - 1] <= t:
+                alive -= 1
+            yield begins[:alive] + t if d == "f" else ends[:alive] - 1 - t
 
     def scores(self, x, sizes, keep=None):
         """Log odds of being main text for the rows of x, the blocks of pages with these sizes."""
         import numpy as np
 
-        live, forward, backward, alive = self._layout(sizes)
-        total = np.full(len(x), self.w["c"][0], "f4")
-        for d, rows in (("f", forward), ("b", backward)):
-            z = (x @ self.w["x" + d] + self.w["b" + d])[rows]
-            states = [] if keep is not None else None
-            h = self._run(z, alive, d, states)
-            total[rows[live]] += (h @ self.w["o" + d])[..., 0][live]
+        total = np.full(len(x), self.w["c"][0], x.dtype)
+        for d in "fb":
+            z = x @ self.w["x" + d] + self.w["b" + d]
+            h = np.zeros((len(sizes), self.hidden), z.dtype)
+            c = h.copy()
+            states = []
+            for rows in self._steps(sizes, d):
+                a = len(rows)
+                gates, after, cell = self._step(z[rows], h[:a], c[:a], d)
+                if keep is not None:
+                    states.append((rows, *gates, c[:a].copy(), h[:a].copy(), after))
+                h[:a], c[:a] = after, cell
+                total[rows] += (after @ self.w["o" + d])[:, 0]
             if keep is not None:
-                keep[d] = (rows, live, alive, states, h)
+                keep[d] = states
+        return total
+
+    def long_scores(self, features, blocks, stretch=LABEL_BLOCKS):
+        """The same for one page, whose features are made a stretch of blocks at a time."""
+        import numpy as np
+
+        total = np.full(len(blocks), self.w["c"][0], "f4")
+        cuts = [(k, min(k + stretch, len(blocks))) for k in range(0, len(blocks), stretch)]
+        for d in "fb":
+            h = np.zeros((1, self.hidden), "f4")
+            c = h.copy()
+            for low, high in cuts if d == "f" else cuts[::-1]:
+                z = features.of(blocks[low:high]) @ self.w["x" + d] + self.w["b" + d]
+                for k in range(high - low) if d == "f" else range(high - low - 1, -1, -1):
+                    _, h, c = self._step(z[k:k + 1], h, c, d)
+                    total[low + k] += (h @ self.w["o" + d])[0, 0]
         return total
 
     def gradients(self, x, sizes, labels):
@@ -238,20 +261,17 @@ class Labeller:
         grad = {k: np.zeros_like(v) for k, v in self.w.items()}
         grad["c"][0] = error.sum()
         for d in "fb":
-            rows, live, alive, states, h = keep[d]
-            e = np.where(live, error[rows], 0).astype("f4")
-            grad["o" + d][:, 0] = np.einsum("tp,tph->h", e, h)
-            dz_rows = np.zeros((len(x), 4 * hidden), "f4")
-            dh_next, dc_next = np.zeros((rows.shape[1], hidden), "f4"), np.zeros((rows.shape[1], hidden), "f4")
-            for t in range(len(alive) - 1, -1, -1):
-                a = alive[t]
-                i, f, o, g, before, tc, h_before = states[t]
-                dh = dh_next[:a] + e[t, :a, None] * self.w["o" + d][:, 0]
+            dz_rows = np.zeros((len(x), 4 * hidden), x.dtype)
+            dh_next, dc_next = np.zeros((len(sizes), hidden), x.dtype), np.zeros((len(sizes), hidden), x.dtype)
+            for rows, i, f, o, g, tc, before, h_before, after in reversed(keep[d]):
+                a, e = len(rows), error[rows]
+                grad["o" + d][:, 0] += e @ after
+                dh = dh_next[:a] + e[:, None] * self.w["o" + d][:, 0]
                 dc = dc_next[:a] + dh * o * (1 - tc * tc)
                 dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
                 grad["h" + d] += h_before.T @ dz
                 dh_next[:a], dc_next[:a] = dz @ self.w["h" + d].T, dc * f
-                dz_rows[rows[t, :a]] = dz
+                dz_rows[rows] = dz
             grad["x" + d] = x.T @ dz_rows
             grad["b" + d] = dz_rows.sum(axis=0)
         return grad
@@ -285,7 +305,7 @@ OTHER_PARTS = {
     "sidebar": [("aside", ""), ("div", "sidebar"), ("aside", "widget related"), ("div", "related recommended"), ("div", "side column"), ("section", "popular trending")],
     "notice": [("div", "notice"), ("div", "cookie consent banner"), ("div", "alert message"), ("div", "popup modal"), ("div", "newsletter subscribe"), ("div", "paywall"), ("noscript", ""), ("dialog", "")],
     "advert": [("div", "ad"), ("div", "ads"), ("div", "advert advertisement"), ("div", "sponsor sponsored"), ("aside", "promo"), ("ins", "adsbygoogle"), ("div", "banner ad")],
-    "form": [("form", ""), ("form", "search"), ("form", "login signup"), ("div", "form contact")],
+    "form": [("form", ""), ("form", "search"), ("form", "login signup"), ("div", "form contact"), ("button", ""), ("textarea", ""), ("select", ""), ("label", "")],
     "comments": [("section", "comments"), ("div", "comment list"), ("ol", "comments replies"), ("div", "disqus thread"), ("div", "reader comments discussion"), ("div", "responses")],
     "share": [("div", "share social"), ("ul", "share buttons"), ("div", "author bio meta"), ("div", "tags")],
 }
@@ -328,7 +348,7 @@ def design(random, sentences):
 
 def silver(page):
     """[(block, label)] of a page whose markup names its article; None for other pages."""
-    named = {w for parts in OTHER_PARTS.values() for tag, names in parts for w in [*("." + n for n in names.split()), *([tag] if tag in ("nav", "header", "footer", "aside", "form", "noscript", "dialog") else [])]}
+    named = {w for parts in OTHER_PARTS.values() for tag, names in parts for w in [*("." + n for n in names.split()), *([tag] if tag in ("nav", "header", "footer", "aside", "form", "noscript", "dialog", "ins", "button", "textarea", "select") else [])]}
     out = []
     for block in page:
         tags = [e[0] for e in block[1]]
@@ -341,25 +361,35 @@ def fit(pages: DataFrame, fit_pages: int = FIT_PAGES, designed: int = DESIGNED_P
     """Fit on at most ``fit_pages`` pages, the first by the hash of their ids, and on designed pages with their words."""
     import numpy as np
 
-    keys = pages.select("page_id", F.xxhash64("page_id").alias("_h")).filter(F.col("page_id").isNotNull()).distinct().orderBy("_h", "page_id").limit(fit_pages)
-    chosen = pages.select("page_id", F.col("html").cast("string").alias("html")).join(F.broadcast(keys.select(F.col("page_id").alias("_id"))), F.col("page_id") == F.col("_id"))
-
-    def cut(batches):
+    def sample(batches):
+        import numpy as np
         import pyarrow as pa
 
+        features = Features()
         for batch in batches:
-            found = [[(t[:400], p, k) for t, p, k in leaves(x.decode())[:FIT_BLOCKS]] for x in text_bytes(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([repr(f) for f in found], pa.string())], ["blocks"])
-
-    import ast
-
-    rows = chosen.select("html").dropDuplicates().limit(fit_pages).mapInArrow(cut, "blocks string").collect()  # bounded by the sample
-    real = [ast.literal_eval(r["blocks"]) for r in sorted(rows, key=lambda r: r["blocks"])]
-    sentences = sorted({s.strip() + "." for page in real for t, _, _ in page for s in t.split(". ")[:3] if s.strip()}) or ["Some words of text."]
-    random = np.random.default_rng(3)
-    labelled = [p for p in map(silver, real) if p] + [design(random, sentences) for _ in range(designed)]
-    features = Features()
-    data = [(features.of([b for b, _ in p[:FIT_BLOCKS]]), np.array([y for _, y in p[:FIT_BLOCKS]], "f4")) for p in labelled]
+            out = []
+            for page in map(leaves, (x.decode() for x in text_bytes(batch.column(0)))):
+                if 0 < len(page) <= FIT_BLOCKS:
+                    sentences = [s.strip() + "." for t, _, _ in page for s in t.split(". ")[:3] if s.strip()]
+                    labels = [y for _, y in silver(page) or []]
+                    out.append((features.of(page).astype("<f4").tobytes(), np.array(labels, "<f4").tobytes(),
+                                [s for s in sentences if len(s) <= FIT_SENTENCE][:FIT_SENTENCES]))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.list_(pa.string()))],
+                ["features", "labels", "sentences"])
+
+    small = F.regexp_count(F.col("html").cast("string"), F.lit("<")) <= 4 * FIT_BLOCKS  # passes over pages that cannot be short, cheaply
+    keys = pages.filter(F.col("page_id").isNotNull() & small).select("page_id", F.xxhash64("page_id").alias("_h")).distinct()
+    keys = keys.orderBy("_h", "page_id").limit(fit_pages)
+    chosen = pages.select("page_id", F.col("html").cast("string").alias("html")).join(F.broadcast(keys.select(F.col("page_id").alias("_id"))), F.col("page_id") == F.col("_id"))
+    rows = chosen.select("html").dropDuplicates().limit(fit_pages).mapInArrow(sample, "features binary, labels binary, sentences array<string>").collect()
+    rows = sorted(rows, key=lambda r: (bytes(r["features"]), r["sentences"]))  # at most fit_pages pages of FIT_BLOCKS blocks
+    sentences = sorted({s for r in rows for s in r["sentences"]}) or ["Some words of text."]
+    width = PATH_SIZE + WORD_SIZE + MEASURES
+    data = [(np.frombuffer(r["features"], "<f4").reshape(-1, width), np.frombuffer(r["labels"], "<f4")) for r in rows if r["labels"]]
+    random, features = np.random.default_rng(3), Features()
+    for page in (design(random, sentences) for _ in range(designed)):
+        data.append((features.of([b for b, _ in page]), np.array([y for _, y in page], "f4")))
     return Labeller().fit(data)
 
 
@@ -378,7 +408,10 @@ def extract(pages: DataFrame, model: Labeller) -> DataFrame:
             some = sizes > 0
             out = [""] * len(group)
             if some.any():
-                main = labeller.scores(features.of([b for p in group for b in p]), sizes[some]) > 0
+                if len(group) == 1:
+                    main = labeller.long_scores(features, group[0]) > 0
+                else:
+                    main = labeller.scores(features.of([b for p in group for b in p]), sizes[some]) > 0
                 at = 0
                 for k, page in enumerate(group):
                     out[k] = " ".join(b[0] for b, m in zip(page, main[at:at + len(page)]) if m)
@@ -388,11 +421,12 @@ def extract(pages: DataFrame, model: Labeller) -> DataFrame:
         for batch in batches:
             found, group, held_blocks = [], [], 0
             for page in text_bytes(batch.column(2)):
-                group.append(leaves(page.decode()))
-                held_blocks += len(group[-1])
-                if held_blocks >= LABEL_BLOCKS:
+                blocks = leaves(page.decode())
+                if group and held_blocks + len(blocks) > LABEL_BLOCKS:
                     found += texts(group)
                     group, held_blocks = [], 0
+                group.append(blocks)
+                held_blocks += len(blocks)
             found += texts(group)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], ["page_id", "url", "text", "n_chars"])

@@ -84,3 +84,75 @@ def test_edges(spark, model):
     assert {r["text"] for r in got if r["page_id"] in (1, 2, 4)} == {""}
     assert [r["text"] for r in got if r["page_id"] is None] == ["Some text of the article. It goes on here."]
     assert B.main_texts(df.limit(0)).count() == 0
+
+
+def plain_scores(net, x):
+    """One page's log odds, one block, gate and unit at a time."""
+    out = np.full(len(x), float(net.w["c"][0]))
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for d, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+        h, c = [0.0] * net.hidden, [0.0] * net.hidden
+        for t in order:
+            z = [float(net.w["b" + d][k] + x[t] @ net.w["x" + d][:, k] + sum(h[j] * net.w["h" + d][j, k] for j in range(net.hidden))) for k in range(4 * net.hidden)]
+            i, f, o, g = (z[k * net.hidden:(k + 1) * net.hidden] for k in range(4))
+            c = [sigmoid(f[j]) * c[j] + sigmoid(i[j]) * np.tanh(g[j]) for j in range(net.hidden)]
+            h = [sigmoid(o[j]) * np.tanh(c[j]) for j in range(net.hidden)]
+            out[t] += sum(h[j] * net.w["o" + d][j, 0] for j in range(net.hidden))
+    return out
+
+
+def test_scores_against_a_plain_network():
+    random = np.random.default_rng(5)
+    net = B.Labeller(size=6, hidden=3, seed=2)
+    sizes = np.array([3, 1, 7, 7, 2])
+    x = random.normal(size=(20, 6)).astype("f4")
+    got, at = net.scores(x, sizes), 0
+    for size in sizes:
+        assert np.allclose(got[at:at + size], plain_scores(net, x[at:at + size]), atol=1e-5)
+        at += size
+
+
+def test_pages_do_not_depend_on_their_batch(model):
+    random, features = np.random.default_rng(8), B.Features()
+    pages = [[b for b, _ in B.design(random, ["Some words here.", "And others there follow."])] for _ in range(60)]
+    together = model.scores(features.of([b for p in pages for b in p]), np.array([len(p) for p in pages]))
+    alone = np.concatenate([model.scores(features.of(p), np.array([len(p)])) for p in pages])
+    stretched = np.concatenate([model.long_scores(features, p, stretch=4) for p in pages])
+    assert np.allclose(together, alone, atol=1e-4) and np.allclose(together, stretched, atol=1e-4)
+
+
+def test_memory_follows_the_blocks(model):
+    import tracemalloc
+
+    sizes = np.array([10] * 2000 + [30_000])
+    x = np.zeros((sizes.sum(), B.PATH_SIZE + B.WORD_SIZE + B.MEASURES), "f4")
+    tracemalloc.start()
+    model.scores(x, sizes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6  # the terms of 50 000 blocks are 19 MB; padded to the longest page they would be 23 GB
+
+
+def test_whole_sampled_pages_and_long_ones_passed_over(spark):
+    tail = "".join(f"<p>Sentence number {k} of the article stands here.</p>" for k in range(90))
+    page = "<nav><a>menu</a></nav><article>" + tail + "</article><footer>end of all</footer>"
+    rows = [(k, "u", page) for k in range(3)] + [(9, "u", "<p>x</p>" * (B.FIT_BLOCKS + 1))]
+    seen, fit = [], B.Labeller.fit
+    try:
+        B.Labeller.fit = lambda self, data: seen.append(data) or self
+        B.fit(spark.createDataFrame(rows, "page_id long, url string, html string"), designed=2)
+    finally:
+        B.Labeller.fit = fit
+    assert [len(y) for _, y in seen[0]][:1] == [92] and len(seen[0]) == 3
+    assert seen[0][0][1].tolist() == [0] + [1] * 90 + [0]
+
+
+def test_framed_adverts_and_form_parts(model):
+    path = lambda page: [[e[0] for e in p] for _, p, _ in B.leaves(page)]
+    assert path("<p>a <ins>b</ins> c</p>") == [["p"]]
+    assert path('<div>a<ins class="adsbygoogle">buy</ins>c</div>') == [["div"], ["div", "ins"], ["div"]]
+    page = "<article><h1>Title of it</h1>" + "".join(f"<p>Sentence {k} of this article stands here. It goes on.</p>" for k in range(6))
+    for odd in ('<ins class="adsbygoogle">Buy this now</ins>', "<button>Subscribe</button>", "<form><textarea>Your words</textarea></form>"):
+        blocks = B.leaves(page + odd + "<p>Last sentence of the article is here.</p></article>")
+        labels = model.scores(B.Features().of(blocks), np.array([len(blocks)])) > 0
+        assert labels[-1] and not labels[-2], odd
