@@ -14,10 +14,10 @@ is ``und``, and ``accepted`` then keeps every text that holds a letter, as nothi
 """
 import functools
 import re
-import sys
 import unicodedata
 import uuid
 
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,34 +38,31 @@ REMEMBER_WORDS = 600_000
 UNDETERMINED = "und"
 START = "▁"
 
-
-
-#: Letters and, taken for letters by ``re``, numerals such as a half.
-_PLAIN = re.compile(r"[^\W\d_]+")
+#: A letter and the letters and marks behind it.  ``_letters_of_the_first_plane`` is the same for most texts, and faster.
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_SPELT = regex.compile(r"[\p{L}\p{M}]*")
+_HIGHER_PLANES = re.compile("[\U00010000-\U0010ffff]")
 
 
 @functools.cache
-def _patterns():
-    """(letters with their marks, letters or marks, what tells these from ``_PLAIN``) by Unicode category."""
-    spans = {kind: [] for kind in ("L", "M", "N")}
-    for code in range(128, sys.maxunicode + 1):
-        kind = unicodedata.category(chr(code))[0]
-        if kind in spans:
-            if spans[kind] and spans[kind][-1][1] == code - 1:
-                spans[kind][-1][1] = code
-            else:
-                spans[kind].append([code, code])
-    letters, marks, numerals = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans[kind]) for kind in ("L", "M", "N"))
-    letters = "A-Za-z" + letters
-    return re.compile(f"[{letters}][{letters}{marks}]*"), re.compile(f"[{letters}{marks}]*\\Z"), re.compile(f"[{marks}{numerals}]")
+def _letters_of_the_first_plane():
+    def characters(*kinds):
+        spans = []
+        for code in range(0x10000):
+            if unicodedata.category(chr(code))[0] in kinds:
+                if spans and spans[-1][1] == code - 1:
+                    spans[-1][1] = code
+                else:
+                    spans.append([code, code])
+        return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in spans)
+
+    return re.compile(f"[{characters('L')}][{characters('L', 'M')}]*")
 
 
 def _runs(text: str) -> list:
-    """Letters with the marks behind them; texts without marks and numerals need only the short pattern."""
-    if text.isascii():
-        return _PLAIN.findall(text)
-    spelt, _, odd = _patterns()
-    return spelt.findall(text) if odd.search(text) else _PLAIN.findall(text)
+    if _HIGHER_PLANES.search(text):
+        return _LETTERS.findall(text)
+    return _letters_of_the_first_plane().findall(text)
 
 
 _pieces_cache, _scorers = {}, {}
@@ -84,7 +81,7 @@ def load_pieces(path: str) -> list:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         found = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i)))
-        _pieces_cache[path] = sorted({p.lower() for p in found if _patterns()[1].match(p.removeprefix(START)) and len(p) <= MAX_PIECE} - {""})
+        _pieces_cache[path] = sorted({p.lower() for p in found if _SPELT.fullmatch(p.removeprefix(START)) and len(p) <= MAX_PIECE} - {""})
     return _pieces_cache[path]
 
 
