@@ -143,18 +143,20 @@ def node_features(text: Column, kind: Column) -> Column:
 
 
 def pooled_features(files: DataFrame) -> DataFrame:
-    """Mean, max and sum of the node features of each file, folded inside its row."""
-    width = 62
-    vectors = file_graphs(files).select(
-        "file_id", F.transform("nodes", lambda n: node_features(n["text"], n["type"])).alias("vectors"))
-
-    def fold(step, start):
-        return F.aggregate("vectors", F.array_repeat(F.lit(start), width), lambda acc, v: F.zip_with(acc, v, step))
-
-    filled = vectors.filter(F.size("vectors") > 0).withColumn("sums", fold(lambda a, b: a + b, 0.0))
-    filled = filled.withColumn("maxima", fold(lambda a, b: F.greatest(a, b), float("-inf")))
-    return filled.select(
-        "file_id", F.transform("sums", lambda s: s / F.size("vectors")).alias("means"), "maxima", "sums")
+    """(file_id, dim, mean, max, sum) of the node features of each file.
+
+    Nodes leave their file's row once; the features are flat columns of generated code, and a file's rows are
+    summed where they lie before they are shuffled.
+    """
+    nodes = graph_nodes(files).select("file_id", F.posexplode(node_features(F.col("text"), F.col("type"))).alias("dim", "value"))
+    return nodes.groupBy("file_id", "dim").agg(F.avg("value").alias("mean"), F.max("value").alias("max"), F.sum("value").alias("sum"))
+
+
+def pooled_vectors(files: DataFrame) -> DataFrame:
+    """(file_id, features): the pooled means, maxima and sums of each file as one vector."""
+    rows = F.array_sort(F.collect_list(F.struct("dim", "mean", "max", "sum")))  # one row per dimension
+    pooled = pooled_features(files).groupBy("file_id").agg(rows.alias("rows"))
+    return pooled.select("file_id", F.concat("rows.mean", "rows.max", "rows.sum").alias("features"))
 
 
 # ------------------------------------------------------------------------------- edges

@@ -1,9 +1,12 @@
 """Order-dependent operators that never put a whole key into one task.
 
 ``lag``, running totals and row numbers over one large key would sort that key in a
-single task.  Here the order column (a unique integer per key) is cut into blocks of
-``block`` values; windows run inside a block, and only one summary row per block is
-carried across blocks.
+single task.  Here the order column (an integer, unique per key, or null on one row) is cut into
+blocks of ``block`` values; windows run inside a block, and one summary row per block is
+carried across blocks.  Where the order column is sparse, such as a hash, most blocks hold one row and
+the summary is as long as the input, so it is cut the same way, by blocks of blocks, until few are left: a
+window never holds more than ``block`` rows, whatever the spacing.  The smallest and largest value tell how
+often to cut; a column that spans less than a block needs one window and no join.
 """
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,25 +24,41 @@ def _beside(left: DataFrame, right: DataFrame, keys: list, how: str = "inner") -
     return left.join(named, condition, how).drop(*[f"_k_{k}" for k in keys])
 
 
-def _blocked(df: DataFrame, seq: str, block: int) -> DataFrame:
-    return df.withColumn("_block", F.floor(F.col(seq) / F.lit(block)).cast("long"))
+def _blocked(df: DataFrame, seq: str, block: int, name: str) -> DataFrame:
+    return df.withColumn(name, F.floor(F.col(seq) / F.lit(block)).cast("long"))
+
+
+def _levels(df: DataFrame, seq: str, block: int) -> int:
+    """How often the order column must be cut until at most ``block`` different values are left."""
+    low, high = df.agg(F.min(seq), F.max(seq)).first()
+    levels = 0
+    while low is not None and high - low >= block:
+        low, high, levels = low // block, high // block, levels + 1
+    return levels
+
+
+def _sums_before(df: DataFrame, keys: list, seq: str, names: list, block: int, levels: int) -> DataFrame:
+    """Adds ``_o_name``: the total of ``name`` over all earlier rows of the key, 0 for the first."""
+    if levels == 0:
+        before = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_o_{n}") for n in names])
+    own = f"_block{levels}"
+    blocked = _blocked(df, seq, block, own)
+    totals = blocked.groupBy(*keys, own).agg(*[F.sum(n).alias(n) for n in names])
+    offsets = _sums_before(totals, keys, own, names, block, levels - 1).drop(*names)
+    before = Window.partitionBy(*keys, own).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    inside = blocked.select("*", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_i_{n}") for n in names])
+    joined = _beside(inside, offsets, [*keys, own])
+    return joined.select(*[F.col(c) for c in df.columns], *[(F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(f"_o_{n}") for n in names])
 
 
 def running_sums(df: DataFrame, keys: list, seq: str, sums: dict, block: int = BLOCK) -> DataFrame:
     """Adds, for each ``name: column`` in ``sums``, the inclusive running total by ``seq``."""
-    blocked = _blocked(df, seq, block)
-    totals = blocked.groupBy(*keys, "_block").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, "_block",
-        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
-    )
-    inside = Window.partitionBy(*keys, "_block").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    running = blocked.select("*", *[F.sum(c).over(inside).alias(f"_r_{n}") for n, c in sums.items()])
-    joined = _beside(running, offsets, [*keys, "_block"])
-    return joined.select(
+    valued = df.select("*", *[F.col(c).alias(f"_v_{n}") if isinstance(c, str) else c.alias(f"_v_{n}") for n, c in sums.items()])
+    before = _sums_before(valued, keys, seq, [f"_v_{n}" for n in sums], block, _levels(df, seq, block))
+    return before.select(
         *[F.col(c) for c in df.columns],
-        *[(F.col(f"_r_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums],
+        *[(F.col(f"_o__v_{n}") + F.coalesce(F.col(f"_v_{n}"), F.lit(0))).alias(n) for n in sums],
     )
 
 
@@ -48,19 +67,25 @@ def row_numbers(df: DataFrame, keys: list, seq: str, name: str = "row_no", block
     return running_sums(df, keys, seq, {name: F.lit(1).cast("long")}, block)
 
 
+def _with_previous(df: DataFrame, keys: list, seq: str, value: str, name: str, block: int, levels: int) -> DataFrame:
+    """Adds ``value`` of the row before, null for the first row of a key."""
+    if levels == 0:
+        return df.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(seq)))
+    own = f"_block{levels}"
+    blocked = _blocked(df, seq, block, own)
+    within = blocked.withColumn("_prev", F.lag(value).over(Window.partitionBy(*keys, own).orderBy(seq)))
+    # rows without a place come first, in a block of their own
+    last = blocked.groupBy(*keys, own).agg(F.max_by(value, F.coalesce(F.col(seq), F.lit(0))).alias("_last"))
+    carried = _with_previous(last, keys, own, "_last", "_carried", block, levels - 1).drop("_last")
+    joined = _beside(within, carried, [*keys, own])
+    return joined.select(*[F.col(c) for c in df.columns], F.coalesce("_prev", "_carried").alias(name))
+
+
 def previous_values(df: DataFrame, keys: list, seq: str, values: dict, block: int = BLOCK) -> DataFrame:
     """Adds, for each ``name: column``, its value on the previous row of the same key."""
-    blocked = _blocked(df, seq, block)
     packed = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
-    inside = Window.partitionBy(*keys, "_block").orderBy(seq)
-    within = blocked.withColumn("_prev", F.lag(packed).over(inside))
-    # rows without a place come first, in a block of their own
-    last = blocked.groupBy(*keys, "_block").agg(F.max_by(packed, F.coalesce(F.col(seq), F.lit(0))).alias("_last"))
-    across = Window.partitionBy(*keys).orderBy("_block")
-    carried = last.select(*keys, "_block", F.lag("_last").over(across).alias("_carried"))
-    joined = _beside(within, carried, [*keys, "_block"])
-    before = F.coalesce(F.col("_prev"), F.col("_carried"))
-    return joined.select(*[F.col(c) for c in df.columns], *[before[n].alias(n) for n in values])
+    found = _with_previous(df.withColumn("_packed", packed), keys, seq, "_packed", "_before", block, _levels(df, seq, block))
+    return found.select(*[F.col(c) for c in df.columns], *[F.col("_before")[n].alias(n) for n in values])
 
 
 def gap_to_next(df: DataFrame, keys: list, at: str, name: str, limit: int, bucket: int = 1 << 20) -> DataFrame:

@@ -99,7 +99,7 @@ def tfidf(spark, folder):
 
 def pooled_samples(spark, folder):
     code = V.code_files(spark, folder)
-    pooled = G.pooled_features(code).select("file_id", F.concat("means", "maxima", "sums").alias("features"))
+    pooled = G.pooled_vectors(code)
     scores = V.model_scores(spark, folder).select(
         "file_id", (F.col("score") > 0.5).cast("int").alias("label"), (F.col("file_id") % 5).cast("int").alias("kind"))
     return pooled.join(scores, "file_id")

@@ -79,10 +79,9 @@ def node_features(spark, folder):
 WITH {NODES_CTE}, f AS (SELECT file_id, [{FEATURE_SQL}] AS v FROM nodes), x AS (SELECT file_id, unnest(range(0, 62)) AS dim, unnest(v) AS value FROM f)
 SELECT file_id, dim, round(avg(value), 4) AS mean, cast(max(value) AS bigint) AS max, cast(sum(value) AS bigint) AS sum FROM x GROUP BY 1, 2""")
 def graph_pooling(spark, folder):
-    p = G.pooled_features(files(spark, folder))
-    zipped = p.select("file_id", F.posexplode(F.arrays_zip("means", "maxima", "sums")).alias("dim", "v"))
-    return zipped.select("file_id", F.col("dim").cast("long").alias("dim"), F.round("v.means", 4).alias("mean"),
-                         F.col("v.maxima").cast("long").alias("max"), F.col("v.sums").cast("long").alias("sum"))
+    pooled = G.pooled_features(files(spark, folder))
+    return pooled.select("file_id", F.col("dim").cast("long").alias("dim"), F.round("mean", 4).alias("mean"),
+                         F.col("max").cast("long").alias("max"), F.col("sum").cast("long").alias("sum"))
 
 
 EDGES_CTE = f"""{NODES_CTE}, vs AS (SELECT file_id, id, unnest(regexp_extract_all(text, '([\\p{{L}}\\p{{N}}_]+){SQL_BLANK}*=', 1)) AS name FROM nodes),
