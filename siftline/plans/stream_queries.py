@@ -1,12 +1,13 @@
 """Queries over live updates and windowed findings, on tables and as streams."""
 from pyspark.sql import functions as F
 
+from .. import fixed_values as fixed
 from .. import views as V
 from ..session import new_run_folder
 from ..streaming import live as Live
 from ..streaming import runs as R
 from ..streaming import trends as Tr
-from .registry import query
+from .registry import query, sql_values
 from .scan_queries import RULE_FINDINGS_CTE, RULE_HITS_CTE
 
 
@@ -32,6 +33,19 @@ def debounce_updates(spark, folder):
     return Live.debounce(V.code_updates(spark, folder)).select("client_id", "file_path", "seq")
 
 
+#: Milliseconds that a stream waits for late updates.
+LATE_MS = 600_000
+
+
+@query("debounce_stream", f"""
+WITH d AS (SELECT *, lead(ts_ms) OVER (PARTITION BY client_id, file_path ORDER BY ts_ms, seq) AS nxt FROM v_code_updates)
+SELECT client_id, file_path, seq, ts_ms FROM d WHERE (nxt IS NULL OR nxt - ts_ms >= 300) AND ts_ms + 300 <= (SELECT max(ts_ms) - {LATE_MS} FROM v_code_updates)""")
+def debounce_stream(spark, folder):
+    """The debounced updates of a stream that are final when it ends."""
+    stream = Live.debounce_stream(V.code_updates_from(R.table_stream(spark, folder, "conversations")), lateness=f"{LATE_MS} milliseconds")
+    return R.drain(stream, "debounce").select("client_id", "file_path", "seq", "ts_ms")
+
+
 @query("version_changes", """
 SELECT client_id, file_path, seq, prev IS NULL OR md5(prev) <> md5(code) AS changed FROM (SELECT *, lag(code) OVER (PARTITION BY client_id, file_path ORDER BY seq) AS prev FROM v_code_updates)""")
 def version_changes(spark, folder):
@@ -113,6 +127,28 @@ def incremental_findings(spark, folder):
     return _flat(Live.incremental_results(live_versions(V.code_files(spark, folder))))
 
 
+RULE_TEXTS_CTE = sql_values("rule_text", ["rule_id", "severity", "name"], [(r["rule_id"], r["severity"], r["name"]) for r in fixed.RULES])
+
+
+@query("live_records", f"""
+{LIVE_CTE}, {RULE_TEXTS_CTE}, shown AS (SELECT step.*, hit.line_no, rule_text.* FROM step
+  LEFT JOIN hit ON hit.file_path = concat(path, '#', CASE WHEN v = 2 THEN 1 ELSE v END) AND (only_line IS NULL OR hit.line_no = only_line)
+  LEFT JOIN rule_text ON rule_text.rule_id = hit.rule_id)
+SELECT client_id, path AS file_path, v AS seq, 'scan_completed' AS type, incremental, count(rule_id) AS total, count(*) FILTER (severity = 'critical') AS critical,
+  count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low,
+  coalesce(string_agg(concat(line_no, ' ', name), chr(10) ORDER BY line_no, rule_id) FILTER (rule_id IS NOT NULL), '') AS vulnerabilities FROM shown GROUP BY ALL""")
+def live_records(spark, folder):
+    """Records of a stream of updates, kept by epoch and read back."""
+    path, state = new_run_folder(spark, "records"), new_run_folder(spark, "records-state")
+    records = Live.scan_records(Live.live_scan(live_versions(code_files_stream(spark, folder)), expire=False))
+    R.keep_epochs(records, path, state).awaitTermination()
+    kept = R.kept_epochs(spark, path, records.schema)
+    lines = F.transform(F.array_sort("vulnerabilities", lambda a, b: F.when(a["line_start"] != b["line_start"], a["line_start"] - b["line_start"])
+                                     .when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)),
+                        lambda v: F.concat(v["line_start"].cast("string"), F.lit(" "), v["name"]))
+    return kept.select("client_id", "file_path", "seq", "type", "incremental", "summary.*", F.array_join(lines, "\n").alias("vulnerabilities"))
+
+
 @query("diff_lines", f"""
 {LIVE_CTE} SELECT client_id, path AS file_path, v AS seq, CASE v WHEN 1 THEN cast(n + 1 AS varchar) WHEN 2 THEN '' ELSE '1' END AS changed_lines FROM step WHERE v > 0""")
 def diff_lines(spark, folder):
@@ -136,6 +172,26 @@ def tumbling_trend(spark, folder):
     return Tr.tumbling_trend(V.detections(spark, folder)).withColumn("average_confidence", F.round("average_confidence", 4))
 
 
+FINAL_SQL = f"(SELECT max(detected_at) - INTERVAL {LATE_MS} MILLISECOND FROM v_detections)"
+
+
+@query("sliding_stream", f"""
+SELECT time_bucket(INTERVAL 6 HOUR, detected_at) - INTERVAL 6 HOUR * k AS window_start, {WINDOW_SQL} FROM v_detections, (SELECT unnest([0, 1, 2, 3]) AS k)
+GROUP BY 1 HAVING window_start + INTERVAL 24 HOUR <= {FINAL_SQL}""")
+def sliding_stream(spark, folder):
+    """The sliding windows of a stream that are final when it ends."""
+    stream = Tr.sliding_stats(V.detections_from(R.table_stream(spark, folder, "events")), lateness=f"{LATE_MS} milliseconds")
+    return R.drain(stream, "sliding").withColumn("average_confidence", F.round("average_confidence", 4))
+
+
+@query("tumbling_stream", f"""
+SELECT date_trunc('day', detected_at) AS window_start, {WINDOW_SQL} FROM v_detections GROUP BY 1 HAVING window_start + INTERVAL 1 DAY <= {FINAL_SQL}""")
+def tumbling_stream(spark, folder):
+    """The days of a stream that are final when it ends."""
+    stream = Tr.tumbling_trend(V.detections_from(R.table_stream(spark, folder, "events")), lateness=f"{LATE_MS} milliseconds")
+    return R.drain(stream, "tumbling").withColumn("average_confidence", F.round("average_confidence", 4))
+
+
 @query("stream_feedback", """
 WITH a AS (SELECT vulnerability_type, count(*) AS total, count(*) FILTER (was_correct) / count(*) AS acc FROM v_feedback GROUP BY 1)
 SELECT vulnerability_type, round(CASE WHEN acc < 0.5 THEN acc + 0.5 ELSE (acc - 0.5) * 0.5 + 1 END, 4) AS adjustment, total FROM a WHERE total >= 5""")

@@ -195,6 +195,25 @@ def live_scan(updates: DataFrame, expire: bool = True) -> DataFrame:
     return keyed.applyInPandasWithState(advance, RESULT_SCHEMA, STATE_SCHEMA, "append", timeout)
 
 
+def scan_records(results: DataFrame) -> DataFrame:
+    """The record a client receives per update: what was found, how much of each severity, and whether only changes were shown.
+
+    ``results`` are rows of ``live_scan`` or ``incremental_results``; rule texts are literals, so no join is needed.
+    """
+    rules = {r["rule_id"]: r for r in fixed.RULES}
+
+    def text(rule_id, field):
+        return literal_lookup(rule_id, {k: r[field] for k, r in rules.items()})
+
+    shown = F.transform("findings", lambda f: F.struct(
+        f["rule_id"].alias("id"), text(f["rule_id"], "name").alias("name"), text(f["rule_id"], "description").alias("description"),
+        f["severity"].alias("severity"), f["confidence"].alias("confidence"), f["line"].alias("line_start"), f["line"].alias("line_end"),
+        text(f["rule_id"], "fix").alias("fix_suggestion")))
+    return results.select(
+        "client_id", "file_path", "seq", F.lit("scan_completed").alias("type"), "incremental", shown.alias("vulnerabilities"),
+        F.struct(*severity_summary(F.col("findings"))).alias("summary"))
+
+
 def incremental_results(updates: DataFrame) -> DataFrame:
     """The table form of ``live_scan``: previous versions come from blocked lags, not from state."""
     versions = version_changes(updates).filter("changed")

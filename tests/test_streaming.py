@@ -92,3 +92,44 @@ def test_retraining_is_counted_on_after_a_restart(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
         trends.feedback_stream(stream, f"{tmp_path}/out", f"{tmp_path}/state", calls.append).awaitTermination()
     assert calls == [70]
+
+
+def test_records_are_kept_once_over_restarts_and_repeated_epochs(spark, tmp_path):
+    schema = "client_id string, file_path string, language string, seq long, code string"
+    risky = "result = eval(text)\n"
+    batches = [[("c", "a.py", "python", 0, "x = 1")], [("c", "a.py", "python", 1, risky + "x = 1"), ("c", "b.py", "python", 0, risky)], [("c", "a.py", "python", 2, risky + "x = 1")]]
+    path, state = f"{tmp_path}/records", f"{tmp_path}/state"
+    for part in batches:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        records = live.scan_records(live.live_scan(stream, expire=False))
+        runs.keep_epochs(records, path, state).awaitTermination()  # a new query on the same state, as after a restart
+    kept = runs.kept_epochs(spark, path, records.schema)
+    got = {(r.file_path, r.seq): (r.incremental, r.summary.total, [v.line_start for v in r.vulnerabilities]) for r in kept.collect()}
+    assert kept.count() == len(got) == 4
+    assert got["a.py", 0] == (False, 0, []) and got["a.py", 1][0] and got["a.py", 1][2] and set(got["a.py", 1][2]) == {1}
+    assert not got["b.py", 0][0] and got["b.py", 0][1] == got["a.py", 1][1]
+    # the epoch of the last batch written again replaces itself
+    last = kept.agg(F.max("epoch")).first()[0]
+    rows = kept.filter(F.col("epoch") == last).drop("epoch").collect()
+    spark.createDataFrame(rows, records.schema).write.mode("overwrite").parquet(f"{path}/epoch={last}")
+    assert runs.kept_epochs(spark, path, records.schema).count() == 4
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    base = datetime(2024, 1, 1)
+    schema = "detected_at timestamp_ntz, severity string, confidence_score double"
+    for hours in ([1, 2, 60], [61], [3, 62, 100]):  # the third hour comes a batch after the watermark has passed its day
+        rows = [(base + timedelta(hours=h), "high", 0.5) for h in hours]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    import glob
+    import os
+
+    for k, name in enumerate(sorted(glob.glob(f"{tmp_path}/in/*.parquet"), key=os.path.getmtime)):
+        os.utime(name, (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    rows, late = runs.drained(trends.tumbling_trend(stream), "late")
+    assert late == 1
+    assert {(r.window_start, r.total) for r in rows.collect()} == {(base, 2), (base + timedelta(days=2), 3)}
