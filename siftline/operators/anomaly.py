@@ -76,10 +76,12 @@ def similar_known(queries: DataFrame, known: DataFrame, eps: float = 0.3, most:
     return total.select("id", (similar if most is None else F.least(similar, F.lit(most))).alias("similar_count"))
 
 
-def anomaly_candidates(queries: DataFrame, known: DataFrame, most: int | None = None) -> DataFrame:
-    """Segments far from everything known that look risky enough; ``most`` bounds the reported ``similar_count``.
+def anomaly_candidates(queries: DataFrame, known: DataFrame, most: int | None = None, score=None) -> DataFrame:
+    """Unusual segments that look risky enough; ``most`` bounds the reported ``similar_count``.
 
-    Both frames have (id, content, fingerprint).
+    Both frames have (id, content, fingerprint).  ``score(queries, known)`` gives (id, anomaly_score); by default the distance
+    to the nearest known vector, which only vectors far from all known ones fail.  ``forest_scores`` also finds vectors beside
+    known ones, in regions where even the known ones are rare.
     """
     code = F.col("content")
     # fingerprints read the whole text once; what is kept of it afterwards is small
@@ -87,9 +89,12 @@ def anomaly_candidates(queries: DataFrame, known: DataFrame, most: int | None =
         "id", F.col("fingerprint").alias("embedding"), S.risk_tier(code).alias("risk_assessment"),
         S.predicted_cwe(code).alias("predicted_cwe"), F.concat(F.lit("ZERO-DAY-"), F.md5(code)).alias("candidate_id")))
     k = cut_lineage(known.select("id", F.col("fingerprint").alias("embedding")))
-    odd = distance_scores(described, k).filter(F.col("anomaly_score") < -0.5)
+    scores = (score or distance_scores)(described, k).select("id", "anomaly_score")
+    odd = scores.filter(F.col("anomaly_score") < -0.5)
+    if score:
+        odd = cut_lineage(odd)  # a forest is not grown twice
     similar = similar_known(described.join(odd.select("id"), "id", "left_semi"), k, most=most)
-    rated = described.drop("embedding").join(odd.drop("no_baseline"), "id").join(similar, "id")
+    rated = described.drop("embedding").join(odd, "id").join(similar, "id")
     return rated.withColumn(
         "confidence", candidate_confidence(F.col("anomaly_score"), F.col("risk_assessment"), F.col("similar_count"))
     ).filter(F.col("confidence") > 0.6)
@@ -147,16 +152,18 @@ def _grow(points, rng, depth, limit, rows):
 def fit_isolation_forest(known: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
     """One row per tree node; each tree is grown in its own task from its own sample.
 
-    A tree's sample is the ``sample`` rows with the smallest hash for that tree.  Rows whose
-    hash is surely too large are dropped before the shuffle, so about four samples per tree
-    travel however large the training set is.
+    A tree's sample is the ``sample`` rows with the smallest hash for that tree.  A row draws its trees
+    from its id alone, by hashes small enough for about four samples a tree, and only then is its vector copied
+    to them, so that the vectors that travel are as few however large the training set is.
     """
     n = known.count()
     spread = float(2**32)
     keep = spread if n <= 4 * sample else spread * 4 * sample / n
-    hashed = F.pmod(F.xxhash64("id", "tree", F.lit(seed)), F.lit(2**32))
-    offered = known.select("id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn(
-        "h", hashed).filter(F.col("h") < keep)
+    drawn = F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+            t.alias("tree"), F.pmod(F.xxhash64("id", t, F.lit(seed)), F.lit(2**32)).alias("h"))),
+        lambda d: d["h"] < keep)
+    offered = known.select("id", "embedding", F.inline(drawn))
     smallest = Window.partitionBy("tree").orderBy("h", "id")
     chosen = offered.withColumn("p", F.row_number().over(smallest)).filter(F.col("p") <= sample)
 
@@ -177,6 +184,14 @@ def fit_isolation_forest(known: DataFrame, trees: int = TREES, sample: int = SAM
     return chosen.groupBy("tree").applyInPandas(grow, schema)
 
 
+def forest_scores(queries: DataFrame, known: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
+    """(id, anomaly_score) of each query in a forest grown on the known vectors; null scores without any."""
+    forest = cut_lineage(fit_isolation_forest(known, trees, sample, seed))
+    if not forest.head(1):
+        return queries.select("id", F.lit(None).cast("double").alias("anomaly_score"))
+    return isolation_scores(queries, forest)
+
+
 def isolation_scores(rows: DataFrame, forest: DataFrame) -> DataFrame:
     """Score in [-1, 0): the lower, the easier a vector is isolated.
 

@@ -144,7 +144,7 @@ def fingerprints(spark, folder):
 CAND_CTE = f"""{FP_CTE}, kn AS (SELECT id, v FROM fv WHERE id % 10 < 3), qn AS (SELECT * FROM fv WHERE id % 10 >= 3),
 lone AS (SELECT count(*) AS n FROM kn a WHERE NOT EXISTS (SELECT 1 FROM kn b WHERE a.id <> b.id AND list_distance(a.v, b.v) <= 0.3)),
 sc AS (SELECT q.id, any_value(q.text) AS text, -min(list_distance(q.v, kn.v)) / 100 AS s FROM qn q, kn GROUP BY q.id HAVING s < -0.5),
-rk AS (SELECT sc.*, least(lone.n, 5) AS similar_count, CASE {' '.join(f"WHEN {sql_any('lower(text)', words)} THEN '{level}: {fixed.RISK_TEXT}'" for level, words in fixed.RISK_WORDS)} ELSE '{fixed.LOW_RISK_TEXT}' END AS risk,
+rk AS (SELECT sc.*, lone.n AS similar_count, CASE {' '.join(f"WHEN {sql_any('lower(text)', words)} THEN '{level}: {fixed.RISK_TEXT}'" for level, words in fixed.RISK_WORDS)} ELSE '{fixed.LOW_RISK_TEXT}' END AS risk,
   CASE {' '.join(f"WHEN {sql_any('lower(text)', words)} THEN '{cwe}'" for cwe, words in fixed.CWE_WORDS)} END AS cwe FROM sc, lone),
 cand AS (SELECT *, greatest(0, least(1, 0.5 + CASE WHEN s < -1 THEN 0.3 ELSE 0.2 END + CASE WHEN contains(risk, 'CRITICAL') THEN 0.2 WHEN contains(risk, 'HIGH') THEN 0.1 ELSE 0 END
   - CASE WHEN similar_count > 3 THEN 0.1 WHEN similar_count > 0 THEN 0.05 ELSE 0 END)) AS confidence FROM rk)"""
@@ -152,8 +152,7 @@ cand AS (SELECT *, greatest(0, least(1, 0.5 + CASE WHEN s < -1 THEN 0.3 ELSE 0.2
 
 def candidates(spark, folder):
     rows = document_fingerprints(spark, folder)
-    # the SQL counts up to 5
-    return An.anomaly_candidates(rows.filter("id % 10 >= 3"), rows.filter("id % 10 < 3"), most=5)
+    return An.anomaly_candidates(rows.filter("id % 10 >= 3"), rows.filter("id % 10 < 3"))
 
 
 @query("anomaly_candidates", f"""
@@ -163,6 +162,28 @@ def anomaly_candidates(spark, folder):
     return candidates(spark, folder).withColumns({c: F.round(c, 4) for c in ("anomaly_score", "confidence")})
 
 
+@query("forest_candidates")
+def forest_candidates(spark, folder):
+    """Candidates by the isolation forest: rows whose score and confidence pass, whatever their distance to the known ones."""
+    rows = document_fingerprints(spark, folder)
+    found = An.anomaly_candidates(rows.filter("id % 10 >= 3"), rows.filter("id % 10 < 3"), score=An.forest_scores)
+    return found.withColumns({c: F.round(c, 4) for c in ("anomaly_score", "confidence")})
+
+
+@query("similar_known", f"""
+WITH RECURSIVE {VEC_CTE}, kn AS (SELECT * FROM pv WHERE part_role = 'known'),
+e AS (SELECT a.id AS a, b.id AS b FROM kn a JOIN kn b ON a.id <> b.id AND list_distance(a.e, b.e) <= 0.3),
+reach AS (SELECT a AS id, a AS r FROM e UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.id),
+root AS (SELECT id, min(r) AS root FROM reach GROUP BY id), sizes AS (SELECT root, count(*) AS members FROM root GROUP BY root),
+lone AS (SELECT count(*) AS n FROM kn WHERE id NOT IN (SELECT id FROM root)),
+near AS (SELECT DISTINCT q.id, coalesce(root.root, kn.id) AS place, coalesce(members, 1) AS members FROM pv q JOIN kn ON list_distance(q.e, kn.e) <= 0.3
+  LEFT JOIN root ON root.id = kn.id LEFT JOIN sizes ON sizes.root = root.root WHERE q.part_role = 'query'),
+total AS (SELECT id, sum(members) AS members FROM near GROUP BY id)
+SELECT q.id, cast(coalesce(total.members, lone.n) AS bigint) AS similar_count FROM pv q CROSS JOIN lone LEFT JOIN total ON total.id = q.id WHERE q.part_role = 'query'""")
+def similar_known(spark, folder):
+    return An.similar_known(role(spark, folder, "query"), role(spark, folder, "known"))
+
+
 @query("anomaly_summary", f"""
 WITH {VEC_CTE}, d AS (SELECT id, detected_at AS first_seen, confidence_score AS confidence, concat(upper(severity), ': detail') AS risk,
     CASE WHEN pattern_id < 4 THEN concat('CWE-', pattern_id) END AS cwe FROM v_detections)

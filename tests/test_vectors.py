@@ -1,6 +1,7 @@
 """Vector matching, density clusters and anomaly scores against brute force."""
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siftline.operators import anomaly, clusters, similarity
 from siftline.operators.similarity import Pick, match
@@ -105,3 +106,44 @@ def test_similar_known_counts_every_lone_vector(spark):
     queries = spark.createDataFrame([(100, [5.0, 500.0])], "id long, embedding array<double>")
     assert [r["similar_count"] for r in similar_known(queries, known).collect()] == [8]
     assert [r["similar_count"] for r in similar_known(queries, known, most=5).collect()] == [5]
+
+
+def test_forest_invariants(spark):
+    known, rows = vectors(spark, 11, 1500, width=4)
+    forest = anomaly.fit_isolation_forest(known, trees=12, sample=32).collect()
+    by_tree = {}
+    for r in forest:
+        by_tree.setdefault(r.tree, {})[r.node] = r
+    assert sorted(by_tree) == list(range(12))
+    for nodes in by_tree.values():
+        assert sorted(nodes) == list(range(len(nodes)))
+        seen, queue = [], [(0, 0)]
+        while queue:
+            at, depth = queue.pop()
+            seen.append(at)
+            r = nodes[at]
+            assert depth <= 5 and r.sample == 32
+            if r.feature < 0:
+                assert depth <= r.path <= depth + anomaly.average_path(32)
+            else:
+                queue += [(r.left, depth + 1), (r.right, depth + 1)]
+        assert sorted(seen) == sorted(nodes)  # each node has one parent
+        leaves = [r for r in nodes.values() if r.feature < 0]
+        assert len(leaves) <= 32 and len(nodes) == 2 * len(leaves) - 1
+    scores = anomaly.isolation_scores(known, anomaly.fit_isolation_forest(known, trees=12, sample=32)).collect()
+    assert all(-1 <= r.anomaly_score < 0 for r in scores)
+
+
+def test_forest_finds_candidates_beside_known_vectors(spark):
+    """A rare known vector: its copy is no candidate by distance, and one by the forest, with few similar ones."""
+    rng = np.random.default_rng(3)
+    rows = [(k, "plain = text", [float(x) for x in rng.normal(size=3) * 0.05]) for k in range(300)]
+    rows += [(300 + k, "plain = text", [40.0 + 0.1 * k, 40.0, 40.0]) for k in range(2)]
+    risky = "query = input() + eval(request) # sql exec system pickle"
+    asked = [(1000, risky, [40.05, 40.0, 40.0]), (1001, risky, [0.0, 0.0, 0.0])]
+    schema = "id long, content string, fingerprint array<double>"
+    known, queries = spark.createDataFrame(rows, schema), spark.createDataFrame(asked, schema)
+    assert anomaly.anomaly_candidates(queries, known).count() == 0
+    found = {r.id: r for r in anomaly.anomaly_candidates(queries, known, score=anomaly.forest_scores).collect()}
+    assert set(found) == {1000} and found[1000].similar_count == 2  # the two known ones beside it, not the lone ones
+    assert anomaly.forest_scores(queries.withColumn("embedding", F.col("fingerprint")), known.limit(0).withColumn("embedding", F.col("fingerprint"))).filter("anomaly_score IS NOT NULL").count() == 0
