@@ -571,3 +571,6 @@ GRAPH_SURE = "Graph Neural Network analysis detected structural patterns consist
 GRAPH_MAYBE = "Graph analysis detected structural patterns that might indicate "
 GRAPH_TRAINED_NOTE = "The trained model identified suspicious code structure patterns."
 GRAPH_UNTRAINED_NOTE = "Note: This detection uses an untrained model and may be less accurate."
+
+#: Type names of patterns learned from false positives begin so.
+FALSE_POSITIVE_PREFIX = "FALSE_POSITIVE_"

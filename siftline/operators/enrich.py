@@ -97,3 +97,30 @@ def ask(rows: DataFrame, load_client, prompt_column: str = "prompt", partitions:
 
     source = rows.repartition(partitions) if partitions else rows
     return source.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", answer string, error string")
+
+
+ANSWER_SCHEMA = "cache_key string, cached_at timestamp_ntz, answer string, error string"
+
+
+def answers(spark, path: str) -> DataFrame:
+    """The table of answers at ``path``, empty where none was given yet."""
+    from ..sources.stored import folder_exists
+
+    return spark.read.schema(ANSWER_SCHEMA).parquet(path) if folder_exists(spark, path) else spark.createDataFrame([], ANSWER_SCHEMA)
+
+
+def ask_through_cache(findings: DataFrame, path: str, load_client, as_of: Column, partitions: int | None = None) -> DataFrame:
+    """Findings with their explanation; the client is asked once for each key that has no answer of the last day.
+
+    Answers are written back before they are read, so a second run asks nothing; a failed call is written too and is
+    asked again, and shows the fallback until then.
+    """
+    spark = findings.sparkSession
+    keyed = findings.withColumn("cache_key", T.finding_key(F.col("code_snippet"), F.col("name"), F.col("line_start")))
+    fresh = answers(spark, path).filter(F.col("answer").isNotNull() & (F.col("cached_at") > as_of - F.expr("INTERVAL 24 HOURS")))
+    request = prompt(F.col("code_snippet"), F.col("name"), F.col("severity"), F.col("line_start"), F.col("language"))
+    missing = keyed.select("cache_key", request.alias("prompt")).dropDuplicates(["cache_key"]).join(fresh.select("cache_key").distinct(), "cache_key", "left_anti")
+    given = ask(missing, load_client, partitions=partitions).select("cache_key", as_of.cast("timestamp_ntz").alias("cached_at"), "answer", "error")
+    given.write.mode("append").parquet(path)
+    cache = answers(spark, path).filter("answer IS NOT NULL").select("cache_key", "cached_at", parse_answer(F.col("answer")).alias("explanation"))
+    return with_explanation(findings, cache.filter("explanation IS NOT NULL"), as_of)

@@ -107,9 +107,43 @@ def stored_form(findings: DataFrame) -> DataFrame:
     )
 
 
+STORED_SCHEMA = """detection_id string, file_path string, line_start int, line_end int, severity string, confidence_score double,
+code_snippet string, ai_explanation string, day date"""
+
+
+def read_findings(spark, path: str) -> DataFrame:
+    """The finding table, empty where nothing has been appended yet."""
+    from ..sources.stored import folder_exists
+
+    if not folder_exists(spark, path):
+        return spark.createDataFrame([], STORED_SCHEMA)
+    return spark.read.schema(STORED_SCHEMA).parquet(path)
+
+
 def append_findings(findings: DataFrame, path: str, day: Column) -> None:
-    """Append to the finding table, one folder per day so later look-backs prune."""
-    stored_form(findings).withColumn("day", day).write.mode("append").partitionBy("day").parquet(path)
+    """Append the findings that the table does not hold yet, one folder per day so that later look-backs prune.
+
+    A finding's id is a digest of its place and name, so running a scan again adds nothing; of findings with one id the first by
+    severity and text is kept.
+    """
+    new = stored_form(findings).withColumn("day", day.cast("date")).select(*[c.split()[0] for c in STORED_SCHEMA.split(",")])
+    row = F.struct(*[c for c in new.columns if c != "detection_id"])
+    new = new.groupBy("detection_id").agg(F.min(row).alias("row")).select("detection_id", "row.*")
+    known = read_findings(findings.sparkSession, path).select("detection_id")
+    new.join(known, "detection_id", "left_anti").write.mode("append").partitionBy("day").parquet(path)
+
+
+def create_scans(requests: DataFrame, as_of: Column) -> DataFrame:
+    """One new scan per (project_id, scan_type, seq) request: full by default, started now, nothing found yet.
+
+    The id is a digest of the request, so that a request that is read again names the same scan.
+    """
+    kind = F.coalesce(F.col("scan_type"), F.lit("full"))
+    key = F.md5(F.concat_ws("|", F.col("project_id").cast("string"), kind, F.col("seq").cast("string")))
+    scans = requests.select(
+        F.concat(F.lit("SCAN-"), key).alias("scan_id"), "project_id", kind.alias("scan_type"), as_of.alias("start_time"),
+        F.lit(None).cast("timestamp_ntz").alias("end_time"), F.lit(0).alias("total_vulnerabilities"))
+    return scans.distinct()
 
 
 def upsert_projects(projects: DataFrame, updates: DataFrame, fields: list) -> DataFrame:

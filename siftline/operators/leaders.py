@@ -13,6 +13,8 @@ step collects a type, a key or a group into one task.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import fixed_values as fixed
+from ..functions import text as T
 from ..session import cut_lineage
 from . import learning
 
@@ -109,3 +111,16 @@ def learn_patterns(feedback: DataFrame) -> DataFrame:
     found = nodes.select(TYPE, "structure_hash", "code_example", F.col("id").alias("leader"), F.col("first_seq").alias("first_seen"))
     return found.join(sizes, "leader").select(
         TYPE, "structure_hash", "code_example", F.lit(0.1).alias("confidence_boost"), "confirmations", "first_seen", "last_seen")
+
+
+def learned_and_avoided(feedback: DataFrame) -> DataFrame:
+    """Leader patterns of confirmed findings, and every distinct false positive as a pattern that lowers confidence.
+
+    False positives are never merged by similarity: each record counts in the row of its snippet, under its own type name.
+    """
+    wrong = feedback.filter(~F.col("was_correct")).groupBy(TYPE, "code_snippet").agg(
+        F.count("*").alias("confirmations"), F.min("seq").alias("first_seen"), F.max("seq").alias("last_seen"))
+    avoided = wrong.select(
+        F.concat(F.lit(fixed.FALSE_POSITIVE_PREFIX), TYPE).alias(TYPE), T.structure_hash("code_snippet").alias("structure_hash"),
+        F.col("code_snippet").alias("code_example"), F.lit(-0.2).alias("confidence_boost"), "confirmations", "first_seen", "last_seen")
+    return learn_patterns(feedback).unionByName(avoided)

@@ -221,7 +221,39 @@ def embed(rows: DataFrame, load_model, text: str = "code") -> DataFrame:
     """
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load_model()
+        model = None
         for batch in batches:
-            yield pd.Series([list(map(float, v)) for v in model(batch.tolist())])
+            if model is None and len(batch):  # a task without texts loads nothing
+                model = load_model()
+            yield pd.Series([list(map(float, v)) for v in model(batch.tolist())] if len(batch) else [])
     return rows.withColumn("embedding", run(F.col(text)))
+
+
+def hashed_embedder(width: int = 64):
+    """A model without weights: how often words fall into each of ``width`` buckets of a digest."""
+    import hashlib
+    import re
+
+    words = re.compile(r"\w+")
+
+    def vectors(texts):
+        out = []
+        for text in texts:
+            v = [0.0] * width
+            for w in words.findall((text or "").lower()):
+                v[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % width] += 1.0
+            out.append(v)
+        return out
+
+    return vectors
+
+
+def embed_through_cache(rows: DataFrame, path: str, load_model=hashed_embedder, text: str = "code", key: str = "code_key") -> DataFrame:
+    """``rows`` with ``embedding`` from the cache table at ``path``; what it lacks is embedded once and written back first."""
+    from ..sources.stored import folder_exists
+
+    spark, schema = rows.sparkSession, f"`{key}` string, embedding array<float>"
+    known = spark.read.schema(schema).parquet(path) if folder_exists(spark, path) else spark.createDataFrame([], schema)
+    missing = cache_misses(rows.filter(F.col(key).isNotNull()).select(key, text), known, key)
+    embed(missing, load_model, text).select(key, "embedding").write.mode("append").parquet(path)
+    return rows.join(spark.read.schema(schema).parquet(path), key, "left")

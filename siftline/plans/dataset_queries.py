@@ -138,6 +138,27 @@ def learned_patterns_io(spark, folder):
     return back.select("vulnerability_type", "code_example", "confirmations", "confidence_boost")
 
 
+@query("learned_patterns_file", f"""
+SELECT vulnerability_type, arg_min(code_snippet, seq) AS code_example, count(*) + 1 AS confirmations FROM v_feedback WHERE was_correct GROUP BY vulnerability_type, {sql_hash('code_snippet')}""")
+def learned_patterns_file(spark, folder):
+    """Learned patterns saved, loaded, confirmed once more, saved as the next version and loaded again."""
+    path = new_run_folder(spark, "patterns")
+    patterns = Learn.patterns_by_structure(V.feedback(spark, folder)).select("vulnerability_type", "code_example", "confirmations")
+    stored.save_documents(stored.patterns_document(patterns), path)
+    again = stored.patterns_from_documents(stored.load_documents(spark, path))
+    stored.save_documents(stored.patterns_document(again.withColumn("confirmations", F.col("confirmations") + 1)), path)
+    return stored.patterns_from_documents(stored.load_documents(spark, path)).select("vulnerability_type", "code_example", "confirmations")
+
+
+@query("history_file", "SELECT vulnerability_type, count(*) FILTER (was_correct) AS correct, count(*) AS total FROM v_feedback GROUP BY 1")
+def history_file(spark, folder):
+    """Right and all feedback per type, saved as documents and loaded again."""
+    path = new_run_folder(spark, "history")
+    totals = V.feedback(spark, folder).groupBy("vulnerability_type").agg(F.count_if("was_correct").alias("correct"), F.count("*").alias("total"))
+    stored.save_documents(stored.history_document(totals), path)
+    return stored.history_from_document(stored.load_documents(spark, path))
+
+
 @query("manifest_load", f"""
 SELECT cast(file_id AS varchar) AS id, cwe_id AS cwe, language, md5(code) AS description FROM v_labelled WHERE {sql_any('cwe_id', list(fixed.CWE_TYPE))}""")
 def manifest_load(spark, folder):
@@ -232,6 +253,25 @@ def enriched_best(spark, folder):
         "id", F.contains(text, F.lit(fixed.ENRICHMENT_MARK)).alias("marked"), F.contains(text, F.lit("cached at ")).alias("from_cache"))
 
 
+def measuring_client():
+    """A stand-in for a model: its answer states how long the prompt is."""
+    return lambda text: '```json\n{"detailed_explanation": "%d characters", "fix_recommendation": "asked"}\n```' % len(text)
+
+
+@query("asked_explanations", f"""
+WITH b AS (SELECT d.id, d.line_start, d.severity, f.vulnerability_type AS name, f.code_snippet, md5(concat(code_snippet, ':', vulnerability_type, ':', d.line_start)) AS key
+  FROM v_detections d JOIN v_feedback f ON d.detection_id = f.detection_id)
+SELECT b.id, b.key AS cache_key, true AS from_cache, 'asked' AS fix_suggestion, (SELECT count(DISTINCT key) FROM b) AS asked FROM b""")
+def asked_explanations(spark, folder):
+    """Explanations of two runs over one cache: the answers written are those of the first, one per key."""
+    path = new_run_folder(spark, "answers")
+    f = findings_with_code(spark, folder).withColumn("language", F.lit("python"))
+    for _ in range(2):
+        explained_now = E.ask_through_cache(f, path, measuring_client, V.as_of())
+    written = E.answers(spark, path).agg(F.count("*").alias("n")).scalar()
+    return explained_now.select("id", "cache_key", "from_cache", F.col("explanation.fix_recommendation").alias("fix_suggestion"), written.alias("asked"))
+
+
 def note_lines(code, language, path):
     """A small user analyzer: lines that carry a note."""
     return [

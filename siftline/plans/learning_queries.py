@@ -263,11 +263,40 @@ def learn_patterns_hash(spark, folder):
     return Learn.patterns_by_structure(V.feedback(spark, folder))
 
 
-@query("learn_patterns")
+# the sequential meaning: distinct snippets in arrival order, each joining the first leader it is similar to
+LEADERS_CTE = f"""described AS (SELECT vulnerability_type, seq, code_snippet, {sql_hash('code_snippet')} AS h, list_sort(list_distinct({sql_tokens('code_snippet')})) AS tset
+  FROM v_feedback WHERE was_correct),
+snippets AS (SELECT vulnerability_type, h, tset, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS arrivals, arg_min(code_snippet, seq) AS code_example
+  FROM described GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY vulnerability_type ORDER BY first_seq) AS n FROM snippets),
+alike AS (SELECT b.vulnerability_type, b.n, coalesce(list(a.n ORDER BY a.n) FILTER (a.n IS NOT NULL), []) AS earlier FROM placed b LEFT JOIN placed a
+  ON a.vulnerability_type = b.vulnerability_type AND a.n < b.n AND (a.h = b.h OR (len(a.tset) > 0 AND len(b.tset) > 0
+    AND len(list_intersect(a.tset, b.tset)) / len(list_distinct(list_concat(a.tset, b.tset))) > 0.7)) GROUP BY ALL),
+walk AS (SELECT DISTINCT vulnerability_type, 0::BIGINT AS n, []::BIGINT[] AS leaders FROM placed
+  UNION ALL SELECT w.vulnerability_type, alike.n, CASE WHEN list_has_any(w.leaders, alike.earlier) THEN w.leaders ELSE list_append(w.leaders, alike.n) END
+  FROM walk w JOIN alike ON alike.vulnerability_type = w.vulnerability_type AND alike.n = w.n + 1),
+final AS (SELECT vulnerability_type, leaders FROM walk QUALIFY n = max(n) OVER (PARTITION BY vulnerability_type)),
+member AS (SELECT alike.vulnerability_type, alike.n, coalesce(list_min(list_intersect(leaders, earlier)), alike.n) AS leader
+  FROM alike JOIN final ON final.vulnerability_type = alike.vulnerability_type),
+led AS (SELECT m.vulnerability_type, m.leader, cast(sum(p.arrivals) AS bigint) AS confirmations, max(p.last_seq) AS last_seen
+  FROM member m JOIN placed p ON p.vulnerability_type = m.vulnerability_type AND p.n = m.n GROUP BY 1, 2),
+learned AS (SELECT p.vulnerability_type, p.h AS structure_hash, p.code_example, 0.1::DOUBLE AS confidence_boost, led.confirmations, p.first_seq AS first_seen, led.last_seen
+  FROM led JOIN placed p ON p.vulnerability_type = led.vulnerability_type AND p.n = led.leader)"""
+
+
+@query("learn_patterns", f"WITH RECURSIVE {LEADERS_CTE} SELECT * FROM learned")
 def learn_patterns(spark, folder):
     return Lead.learn_patterns(V.feedback(spark, folder))
 
 
+@query("learned_and_avoided", f"""
+WITH RECURSIVE {LEADERS_CTE} SELECT * FROM learned
+UNION ALL SELECT concat('{fixed.FALSE_POSITIVE_PREFIX}', vulnerability_type), {sql_hash('code_snippet')}, code_snippet, -0.2::DOUBLE, count(*), min(seq), max(seq)
+FROM v_feedback WHERE NOT was_correct GROUP BY vulnerability_type, code_snippet""")
+def learned_and_avoided(spark, folder):
+    return Lead.learned_and_avoided(V.feedback(spark, folder))
+
+
 @query("learning_report", f"""
 WITH p AS (SELECT count(*) AS n FROM (SELECT DISTINCT vulnerability_type, {sql_hash('code_snippet')} FROM v_feedback WHERE was_correct)),
   e AS (SELECT avg(cast(was_correct AS int)) AS a FROM (SELECT was_correct FROM v_feedback ORDER BY seq LIMIT 10)),

@@ -157,6 +157,31 @@ def finding_sink(spark, folder):
     return stored.drop("ai_explanation").withColumn("confidence_score", F.round("confidence_score", 4))
 
 
+@query("finding_store", f"""
+WITH {ALL_FINDINGS_CTE}, d AS ({FIRST_SQL})
+SELECT concat('DET-', md5(concat_ws('|', file_path, cast(line_start AS varchar), name))) AS detection_id, file_path, line_start,
+  line_end, severity, round(confidence, 4) AS confidence_score, code_snippet, cast(DATE '2024-01-01' + CAST(line_start % 3 AS INT) AS date) AS day FROM d""")
+def finding_store(spark, folder):
+    """The table after a scan of every other file, a scan of all, and the same scan again: each finding once."""
+    path = new_run_folder(spark, "findings")
+    found = C.first_per_place(all_findings(spark, folder))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("line_start") % 3)
+    for part in (found.filter(F.crc32("file_path") % 2 == 0), found, found):
+        O.append_findings(part, path, day)
+    stored = O.read_findings(spark, path)
+    return stored.drop("ai_explanation").withColumn("confidence_score", F.round("confidence_score", 4))
+
+
+@query("create_scans", f"""
+SELECT DISTINCT concat('SCAN-', md5(concat_ws('|', project_id, CASE WHEN id % 2 = 0 THEN 'quick' ELSE 'full' END, start_time))) AS scan_id, project_id,
+  CASE WHEN id % 2 = 0 THEN 'quick' ELSE 'full' END AS scan_type, {V.AS_OF_SQL} AS start_time, 0 AS total_vulnerabilities FROM v_scans""")
+def create_scans(spark, folder):
+    """A scan per request; projects ask daily, often more than once, which names one scan."""
+    s = V.scans(spark, folder)
+    requests = s.select("project_id", F.when(F.col("id") % 2 == 0, "quick").alias("scan_type"), F.col("start_time").cast("string").alias("seq"))
+    return O.create_scans(requests, V.as_of()).drop("end_time")
+
+
 @query("rule_kb_exploded", f"""
 WITH {KB_CTE}, f AS (SELECT language, count(*) AS files FROM v_code_files GROUP BY language)
 SELECT k.rule_id, x.language, x.regex_ord, x.regex, k.severity, k.threshold, coalesce(f.files, 0) AS files

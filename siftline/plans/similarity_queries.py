@@ -8,6 +8,8 @@ from ..functions.vectors import cosine
 from ..operators import anomaly as An
 from ..operators import clusters as Cl
 from ..operators import similarity as Sim
+from ..session import new_run_folder
+from ..sources import stored
 from .graph_queries import NODES_CTE
 from .registry import SQL_BLANK, query, sql_any, sql_strip
 from .scan_queries import LINES_CTE
@@ -170,6 +172,17 @@ def forest_candidates(spark, folder):
     return found.withColumns({c: F.round(c, 4) for c in ("anomaly_score", "confidence")})
 
 
+@query("candidates_file", f"""
+WITH {CAND_CTE} SELECT id, concat('ZERO-DAY-', md5(text)) AS candidate_id, round(s, 4) AS anomaly_score, similar_count, risk AS risk_assessment, cwe AS predicted_cwe, round(confidence, 4) AS confidence
+FROM cand WHERE confidence > 0.6""")
+def candidates_file(spark, folder):
+    """Candidates saved as documents and loaded again."""
+    path = new_run_folder(spark, "candidates")
+    stored.save_documents(stored.candidates_document(candidates(spark, folder)), path)
+    back = stored.candidates_from_documents(stored.load_documents(spark, path))
+    return back.withColumns({c: F.round(c, 4) for c in ("anomaly_score", "confidence")})
+
+
 @query("similar_known", f"""
 WITH RECURSIVE {VEC_CTE}, kn AS (SELECT * FROM pv WHERE part_role = 'known'),
 e AS (SELECT a.id AS a, b.id AS b FROM kn a JOIN kn b ON a.id <> b.id AND list_distance(a.e, b.e) <= 0.3),
@@ -217,3 +230,19 @@ def embed_misses(spark, folder):
     cache = docs.join(V.table(spark, folder, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
     waiting = docs.groupBy("code_key").agg(F.count("*").alias("waiting"))
     return Sim.cache_misses(waiting, cache)
+
+
+@query("embedded_texts", """
+WITH k AS (SELECT DISTINCT md5(concat(lang, ':', text)) AS code_key, text FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL),
+w AS (SELECT code_key, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM k),
+b AS (SELECT code_key, CAST(('0x' || substr(md5(word), 1, 8))::BIGINT % 64 AS INT) AS bucket, count(*)::DOUBLE AS words FROM w GROUP BY 1, 2)
+SELECT code_key, bucket, words, (SELECT count(*) FROM k) AS embedded FROM b""")
+def embedded_texts(spark, folder):
+    """Embeddings of two runs over one cache: each different text is embedded once, by the first."""
+    path = new_run_folder(spark, "embeddings")
+    docs = V.documents(spark, folder).select(F.col("text").alias("code"), T.code_key(F.col("lang"), F.col("text")).alias("code_key")).filter("code_key IS NOT NULL")
+    for _ in range(2):
+        embedded = Sim.embed_through_cache(docs, path)
+    written = spark.read.parquet(path).agg(F.count("*")).scalar()
+    each = embedded.select("code_key", "embedding").dropDuplicates(["code_key"]).select("code_key", F.posexplode("embedding").alias("bucket", "words"))
+    return each.filter("words > 0").select("code_key", "bucket", F.col("words").cast("double").alias("words"), written.alias("embedded"))

@@ -43,6 +43,58 @@ def history_from_document(documents: DataFrame) -> DataFrame:
     return parsed.select(F.explode("m").alias("vulnerability_type", "counts")).select("vulnerability_type", "counts.*")
 
 
+def history_document(totals: DataFrame) -> DataFrame:
+    """One (JSON document) row per type of its right and all records."""
+    counts = F.struct(F.col("correct").cast("bigint").alias("correct"), F.col("total").cast("bigint").alias("total"))
+    return totals.select(F.to_json(F.create_map("vulnerability_type", counts)).alias("document"))
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in whatever file system Spark knows it by."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished versions under a path, found by Spark's marker of a finished write."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(hadoop):
+        return []
+    names = [f.getPath() for f in system.listStatus(hadoop) if f.getPath().getName().startswith("version=")]
+    done = [n.getName() for n in names if system.exists(spark._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS"))]
+    return sorted(int(n.partition("=")[2]) for n in done)
+
+
+def save_documents(documents: DataFrame, path: str) -> int:
+    """Write JSON documents as the next version under ``path``; readers never see a half-written one."""
+    spark = documents.sparkSession
+    version = max(_versions(spark, path), default=-1) + 1
+    documents.select("document").write.mode("overwrite").text(f"{path}/version={version}")
+    return version
+
+
+def load_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of the last finished version; none where nothing was saved."""
+    versions = _versions(spark, path)
+    if not versions:
+        return spark.createDataFrame([], "document string")
+    return spark.read.text(f"{path}/version={versions[-1]}").withColumnRenamed("value", "document")
+
+
+CANDIDATE_SCHEMA = """id long, candidate_id string, anomaly_score double, similar_count long, risk_assessment string,
+predicted_cwe string, confidence double"""
+
+
+def candidates_document(candidates: DataFrame) -> DataFrame:
+    names = [c.split()[0] for c in CANDIDATE_SCHEMA.split(",")]
+    return candidates.select(F.to_json(F.struct(*names)).alias("document"))
+
+
+def candidates_from_documents(documents: DataFrame) -> DataFrame:
+    return documents.select(F.from_json("document", CANDIDATE_SCHEMA).alias("c")).select("c.*")
+
+
 MANIFEST_SCHEMA = "_id string, _cwe string, _language string, _url string, _VALUE string"
 
 
