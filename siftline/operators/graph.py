@@ -161,6 +161,9 @@ def pooled_vectors(files: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------------------- edges
 
+#: Files of more lines are worked on by several tasks.
+LONG_FILE = 1000
+
 _ASSIGNED = f"({T.WORD}+){T.BLANK}*="
 _CALLED = f"({T.WORD}+){T.BLANK}*\\("
 
@@ -204,13 +207,72 @@ def _ends(nodes: Column, variables: Column, calls: Column) -> Column:
     return F.transform(nodes, of)
 
 
-def _edge_ends(files: DataFrame) -> DataFrame:
+def _is_long(long_file: int) -> Column:
+    return T.line_count(F.col("content")) > long_file
+
+
+def _run_of(text: Column, length: int):
+    return lambda i: F.substring(text, i, F.lit(length))
+
+
+def _grams(text: Column) -> Column:
+    """All different runs of up to ``GRAM`` characters of a text."""
+    size = F.length(text)
+    runs = [F.transform(F.sequence(F.lit(1), F.greatest(size - (k - 1), F.lit(1))), _run_of(text, k))
+            for k in range(1, GRAM + 1)]
+    return F.array_distinct(F.filter(F.concat(*runs), lambda g: g != ""))
+
+
+#: Characters by which a name is looked up among the lines of a long file.
+GRAM = 3
+
+
+def names_in_lines(names: DataFrame, lines: DataFrame) -> DataFrame:
+    """(file_id, name, id, text): every line whose text contains a name of its file.
+
+    ``names`` has (file_id, name), ``lines`` (file_id, id, text).  A name is looked up by the run of its characters that
+    the fewest lines of the file hold, so work follows the text and the hits, not names times lines.
+    """
+    held = lines.select("file_id", "id", F.explode(_grams(F.col("text"))).alias("gram"))
+    counts = held.groupBy("file_id", "gram").agg(F.count("*").alias("n"))
+    wanted = names.filter("name <> ''").distinct().select("file_id", "name", F.explode(_grams(F.col("name"))).alias("gram"))
+    # long runs first among equals; a run that no line holds rules its name out
+    rated = wanted.join(counts, ["file_id", "gram"], "left").groupBy("file_id", "name").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.length("gram")).alias("longest"), "gram")).alias("best"))
+    looked_up = rated.filter("best.n > 0").select("file_id", "name", F.col("best.gram").alias("gram"))
+    found = looked_up.join(held, ["file_id", "gram"]).join(lines, ["file_id", "id"])
+    return found.filter(F.contains("text", F.col("name"))).select("file_id", "name", "id", "text")
+
+
+def _edge_ends(files: DataFrame, long_file: int = LONG_FILE) -> DataFrame:
+    """(file_id, id, sources, targets): the relations each node offers as either end.
+
+    In a file of up to ``long_file`` lines every name is tested on every line inside the file's row; in a longer one names are
+    looked up (``names_in_lines``).
+    """
     def names(nodes, pattern):
         return F.array_distinct(F.flatten(F.transform(nodes, lambda n: F.regexp_extract_all(n["text"], F.lit(pattern), 1))))
 
-    ends = let(F.col("nodes"), lambda nodes: let(names(nodes, _ASSIGNED), lambda variables: let(
+    none = F.array().cast("array<string>")
+    in_row = let(F.col("nodes"), lambda nodes: let(names(nodes, _ASSIGNED), lambda variables: let(
         names(nodes, _CALLED), lambda calls: _ends(nodes, variables, calls))))
-    return file_graphs(files).select("file_id", F.inline(ends))
+    without = let(F.col("nodes"), lambda nodes: _ends(nodes, none, none))
+    short = file_graphs(files.filter(~_is_long(long_file))).select("file_id", F.inline(in_row))
+    long = files.filter(_is_long(long_file))
+    ends = file_graphs(long).select("file_id", F.inline(without))
+    lines = graph_nodes(long).select("file_id", "id", "text")
+
+    def named(pattern):
+        return lines.select("file_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), 1)).alias("name"))
+
+    read = names_in_lines(named(_ASSIGNED), lines).filter(~F.contains("text", F.concat("name", F.lit("=")))).select(
+        "file_id", "id", F.struct(F.lit("data_flow").alias("kind"), F.col("name").alias("key")).alias("end"))
+    called = names_in_lines(named(_CALLED).select("file_id", F.concat("name", F.lit("(")).alias("name")), lines).select(
+        "file_id", "id", F.struct(F.lit("call_flow").alias("kind"), F.expr("substring(name, 1, length(name) - 1)").alias("key")).alias("end"))
+    more = read.unionByName(called).groupBy("file_id", "id").agg(F.collect_list("end").alias("more"))  # the names in one line
+    full = ends.join(more, ["file_id", "id"], "left").select(
+        "file_id", "id", "sources", F.concat("targets", F.coalesce("more", F.array().cast("array<struct<kind:string,key:string>>"))).alias("targets"))
+    return short.unionByName(full)
 
 
 def graph_edges(files: DataFrame) -> DataFrame:
@@ -297,8 +359,25 @@ def _steps(nodes: Column) -> Column:
         lambda n: F.struct(n["id"].alias("src"), (n["id"] + 1).alias("dst")))
 
 
-def definition_edges(files: DataFrame) -> DataFrame:
-    return file_graphs(files).select("file_id", F.inline(let(F.col("nodes"), _definition_pairs)))
+def definition_edges(files: DataFrame, long_file: int = LONG_FILE) -> DataFrame:
+    """(file_id, src, dst): each call or return and the latest earlier assignment of every name in it."""
+    short = file_graphs(files.filter(~_is_long(long_file))).select("file_id", F.inline(let(F.col("nodes"), _definition_pairs)))
+    return short.unionByName(_definitions_by_name(files.filter(_is_long(long_file))))
+
+
+def _definitions_by_name(files: DataFrame) -> DataFrame:
+    """The same for long files: names are looked up, and a name's last definition is carried on to its uses."""
+    nodes = graph_nodes(files)
+    defined = nodes.filter("type = 'assignment'").select("file_id", T.strip(F.substring_index("text", "=", 1)).alias("name"), F.col("id").alias("src"))
+    defined = defined.filter("name <> ''")
+    uses = nodes.filter(F.col("type").isin("function_call", "return")).select("file_id", "id", "text")
+    used = names_in_lines(defined.select("file_id", "name"), uses).select("file_id", "name", F.col("id").alias("dst"))
+    none = F.lit(None).cast("int")
+    events = defined.select("file_id", "name", "src", none.alias("dst")).unionByName(used.select("file_id", "name", none.alias("src"), "dst"))
+    # the places of one name in one file
+    before = Window.partitionBy("file_id", "name").orderBy(F.coalesce("src", "dst")).rowsBetween(Window.unboundedPreceding, -1)
+    found = events.select("file_id", F.max("src").over(before).alias("src"), "dst")
+    return found.filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
 
 
 def node_type_counts(files: DataFrame) -> DataFrame:
@@ -307,9 +386,6 @@ def node_type_counts(files: DataFrame) -> DataFrame:
 
 #: Cells (nodes times sources) of the tables that one block of sources needs.
 BLOCK_CELLS = 1 << 21
-#: Files of more lines are cut into blocks that different tasks take.
-LONG_FILE = 1000
-
 
 def _links(files: DataFrame, *keep: str) -> DataFrame:
     """Per file the line of each node and the ends of its step and definition links."""
@@ -321,6 +397,17 @@ def _links(files: DataFrame, *keep: str) -> DataFrame:
     return file_graphs(files, *keep).select(*keep, linked.alias("g")).select(*keep, "g.*")
 
 
+def _long_links(files: DataFrame) -> DataFrame:
+    """``_links`` of long files, whose definition links are looked up rather than tested line by line."""
+    defined = _definitions_by_name(files).groupBy("file_id").agg(F.collect_list(F.struct("src", "dst")).alias("found"))  # one file's
+    steps = file_graphs(files).select("file_id", let(F.col("nodes"), lambda nodes: F.struct(
+        F.transform(nodes, lambda n: n["line"]).alias("lines"), _steps(nodes).alias("steps"))).alias("g")).select("file_id", "g.*")
+    none = F.array().cast("array<struct<src:int,dst:int>>")
+    joined = steps.join(defined, "file_id", "left").select(
+        "file_id", "lines", F.array_union("steps", F.coalesce("found", none)).alias("links"))
+    return joined.select("file_id", "lines", F.col("links.src").alias("src"), F.col("links.dst").alias("dst"))
+
+
 def line_centrality(files: DataFrame, long_file: int = LONG_FILE, cells: int = BLOCK_CELLS) -> DataFrame:
     """(file_id, id, line, centrality): betweenness of every node that lies on some shortest path between two others.
 
@@ -343,7 +430,7 @@ def line_centrality(files: DataFrame, long_file: int = LONG_FILE, cells: int = B
         return pd.Series([one(*row) for row in zip(lines, src, dst, low, high)])
 
     def of(part, dealt):
-        linked = _links(part, "file_id")
+        linked = _long_links(part) if dealt else _links(part, "file_id")
         n = F.size("lines")
         if dealt:
             step = F.greatest(F.lit(1), F.floor(F.lit(cells) / F.greatest(n, F.lit(1)))).cast("int")

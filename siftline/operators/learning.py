@@ -22,32 +22,42 @@ def type_accuracy(feedback: DataFrame) -> DataFrame:
     return counts.select("vulnerability_type", (F.col("correct") / F.col("total")).alias("accuracy"), F.col("total").alias("samples"))
 
 
+def adjustment_factor(accuracy: Column, enough: Column) -> Column:
+    """Below half right lowers, above raises; a type without enough feedback stays as it is."""
+    return F.when(~enough, 1.0).when(accuracy < 0.5, accuracy + 0.5).otherwise((accuracy - 0.5) * 0.5 + 1.0)
+
+
 def confidence_adjustments(feedback: DataFrame, minimum: int = 5) -> DataFrame:
-    """Factor per type with enough feedback: below half right lowers, above raises."""
-    counts = _counts(feedback, "vulnerability_type").filter(F.col("total") >= minimum)
+    """Every type with its accuracy and factor; ``enough`` tells whether ``minimum`` records back it, else the factor is 1."""
+    counts = _counts(feedback, "vulnerability_type").withColumn("enough", F.col("total") >= minimum)
     accuracy = F.col("correct") / F.col("total")
-    factor = F.when(accuracy < 0.5, accuracy + 0.5).otherwise((accuracy - 0.5) * 0.5 + 1.0)
-    return counts.select("vulnerability_type", factor.alias("adjustment"), "total")
+    return counts.select(
+        "vulnerability_type", adjustment_factor(accuracy, F.col("enough")).alias("adjustment"), accuracy.alias("accuracy"), "total", "enough")
 
 
 def method_accuracy(feedback: DataFrame, minimum: int = 10) -> DataFrame:
-    counts = _counts(feedback, "detection_method")
-    accuracy = F.when(F.col("total") < minimum, fixed.DEFAULT_METHOD_ACCURACY).otherwise(F.col("correct") / F.col("total"))
-    return counts.select("detection_method", accuracy.alias("accuracy"), F.col("total").alias("samples"))
+    """Every method with its ``measured`` accuracy and the one to use: the default where fewer than ``minimum`` records back it."""
+    counts = _counts(feedback, "detection_method").withColumn("enough", F.col("total") >= minimum)
+    measured = F.col("correct") / F.col("total")
+    used = F.when(F.col("enough"), measured).otherwise(fixed.DEFAULT_METHOD_ACCURACY)
+    return counts.select("detection_method", used.alias("accuracy"), measured.alias("measured"), F.col("total").alias("samples"), "enough")
 
 
-def learning_report(feedback: DataFrame, leaders: DataFrame) -> DataFrame:
-    """One row: totals, accuracy gain from the first to the last ten records, patterns learned."""
+def learning_report(feedback: DataFrame, leaders: DataFrame, minimum: int = 20) -> DataFrame:
+    """One row: totals, accuracy gain from the first to the last ten records, patterns learned.
+
+    The gain counts as improvement once there are ``minimum`` records (``enough``), before that as 0 beside the measured one.
+    """
     totals = feedback.agg(F.count("*").alias("total_feedback"), F.count_if("was_correct").alias("true_positives"))
     hits = F.avg(F.col("was_correct").cast("double"))
     early = feedback.orderBy("seq").limit(10).agg(hits.alias("early"))
     recent = feedback.orderBy(F.col("seq").desc()).limit(10).agg(hits.alias("recent"))
     learned = leaders.agg(F.count("*").alias("patterns_learned"))
     row = totals.select("*", early.scalar().alias("early"), recent.scalar().alias("recent"), learned.scalar().alias("patterns_learned"))
-    gain = F.when(F.col("total_feedback") >= 20, F.col("recent") - F.col("early")).otherwise(0.0)
+    enough, gain = F.col("total_feedback") >= minimum, F.col("recent") - F.col("early")
     return row.select(
         "total_feedback", "true_positives", (F.col("total_feedback") - F.col("true_positives")).alias("false_positives"),
-        gain.alias("accuracy_improvement"), "patterns_learned",
+        F.when(enough, gain).otherwise(0.0).alias("accuracy_improvement"), gain.alias("measured_gain"), enough.alias("enough"), "patterns_learned",
     )
 
 
@@ -75,14 +85,14 @@ def running_accuracy(feedback: DataFrame) -> DataFrame:
 
 
 def ml_performance(scans: DataFrame, findings: DataFrame, feedback: DataFrame) -> DataFrame:
-    """One row per type with adjustment: derived accuracy beside the overall totals."""
+    """One row per type, with or without enough feedback: derived accuracy beside the overall totals."""
     adjusted = confidence_adjustments(feedback)
     totals = feedback.agg(F.struct(F.count("*").alias("all"), F.count_if("was_correct").alias("right")).alias("t"))
     row = adjusted.select(
         "*", scans.agg(F.count("*")).scalar().alias("total_scans"), findings.agg(F.count("*")).scalar().alias("total_detections"),
         totals.scalar().alias("t")).select("*", F.col("t.all").alias("total_feedback"), F.col("t.right").alias("true_positives"))
     return row.select(
-        "vulnerability_type", F.least(F.col("adjustment") * 0.7, F.lit(0.95)).alias("type_accuracy"),
+        "vulnerability_type", "enough", F.least(F.col("adjustment") * 0.7, F.lit(0.95)).alias("type_accuracy"),
         "total_scans", "total_detections", "true_positives",
         (F.col("total_feedback") - F.col("true_positives")).alias("false_positives"),
         (F.col("true_positives") / F.greatest(F.col("total_feedback"), F.lit(1))).alias("accuracy"),

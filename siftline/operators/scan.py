@@ -107,20 +107,7 @@ def rule_hits(files: DataFrame, regexes: list | None = None) -> DataFrame:
 
 def rule_findings(files: DataFrame, regexes: list | None = None) -> DataFrame:
     hits = rule_hits(files, regexes).filter(F.col("confidence") >= F.col("threshold"))
-    return hits.select(
-        F.concat_ws("-", "rule_id", "file_path", F.col("line_no").cast("string")).alias("finding_id"),
-        F.lit("pattern").alias("analyzer"),
-        F.lit(ANALYZER_ORDER["pattern"]).alias("analyzer_ord"),
-        "rule_ord", "regex_ord", "name", "description",
-        severity_name(F.col("severity")).alias("severity"),
-        "confidence", "file_path",
-        F.col("line_no").alias("line_start"),
-        F.col("line_no").alias("line_end"),
-        T.strip("line").alias("code_snippet"),
-        "cwe_id",
-        fix_text(F.col("fix"), F.col("alternatives"), F.col("language")).alias("fix_suggestion"),
-        F.lit(None).cast("string").alias("ai_explanation"),
-    )
+    return _placed(hits, [*_rule_columns(), "regex_ord", "description", severity_name(F.col("severity")).alias("severity")])
 
 
 def fallback_findings(files: DataFrame, regexes: list) -> DataFrame:
@@ -162,15 +149,13 @@ def _keyword_test(keyword: str, language: str, line: Column) -> Column:
     return present
 
 
-def keyword_findings(files: DataFrame) -> DataFrame:
-    """Risky calls found by keyword, per language, outside comment lines."""
-    lines = explode_lines(files, "file_path", "language")
-    lines = lines.filter(~is_comment(F.col("line"), F.col("language")))
+def _keyword_hits(language_column: str, line: str) -> Column:
+    """array<struct<keyword_ord, keyword, risk, severity>> of the risky calls in a line of its language."""
     hits = None
     for language in dict.fromkeys(l for l, _, _ in fixed.KEYWORD_RISKS):
         tests = [
             F.when(
-                _keyword_test(keyword, language, F.col("line")),
+                _keyword_test(keyword, language, F.col(line)),
                 F.struct(
                     F.lit(i).alias("keyword_ord"), F.lit(keyword).alias("keyword"), F.lit(risk).alias("risk"),
                     F.lit("high" if "injection" in risk else "medium").alias("severity"),
@@ -179,27 +164,81 @@ def keyword_findings(files: DataFrame) -> DataFrame:
             for i, (l, keyword, risk) in enumerate(fixed.KEYWORD_RISKS) if l == language
         ]
         found = F.array_compact(F.array(*tests))
-        is_language = F.col("language") == language
+        is_language = F.col(language_column) == language
         hits = F.when(is_language, found) if hits is None else hits.when(is_language, found)
-    found = lines.withColumn("hit", F.explode(hits))
-    return found.select(
+    return hits
+
+
+def _keyword_columns(keyword: Column) -> list:
+    """What a keyword finding says, besides its severity, risk and place in the order."""
+    return [
         F.concat(F.lit("PARSE-"), F.upper("language"), F.lit("-"), F.format_string("%04d", "line_no")).alias("finding_id"),
         F.lit("keyword").alias("analyzer"),
         F.lit(ANALYZER_ORDER["keyword"]).alias("analyzer_ord"),
         F.lit(0).alias("rule_ord"),
-        F.col("hit.keyword_ord").alias("regex_ord"),
-        F.concat(F.col("hit.keyword"), F.lit(" vulnerability")).alias("name"),
-        F.col("hit.risk").alias("description"),
-        F.col("hit.severity").alias("severity"),
+        F.concat(keyword, F.lit(" vulnerability")).alias("name"),
         F.lit(fixed.KEYWORD_CONFIDENCE).alias("confidence"),
-        "file_path",
-        F.col("line_no").alias("line_start"),
-        F.col("line_no").alias("line_end"),
-        T.strip("line").alias("code_snippet"),
-        keyword_cwe(F.col("hit.keyword")).alias("cwe_id"),
-        keyword_fix(F.col("hit.keyword")).alias("fix_suggestion"),
-        F.lit(None).cast("string").alias("ai_explanation"),
-    )
+        keyword_cwe(keyword).alias("cwe_id"),
+        keyword_fix(keyword).alias("fix_suggestion"),
+    ]
+
+
+def _rule_columns() -> list:
+    """What a rule finding says, besides its regex's place in the order."""
+    return [
+        F.concat_ws("-", "rule_id", "file_path", F.col("line_no").cast("string")).alias("finding_id"),
+        F.lit("pattern").alias("analyzer"),
+        F.lit(ANALYZER_ORDER["pattern"]).alias("analyzer_ord"),
+        F.col("rule_ord"), F.col("name"), F.col("confidence"), F.col("cwe_id"),
+        fix_text(F.col("fix"), F.col("alternatives"), F.col("language")).alias("fix_suggestion"),
+    ]
+
+
+FINDING_COLUMNS = ["finding_id", "analyzer", "analyzer_ord", "rule_ord", "regex_ord", "name", "description", "severity", "confidence", "file_path",
+                   "line_start", "line_end", "code_snippet", "cwe_id", "fix_suggestion", "ai_explanation"]
+
+
+def _placed(found: DataFrame, columns: list) -> DataFrame:
+    return found.select(
+        *columns, "file_path", F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"),
+        T.strip("line").alias("code_snippet"), F.lit(None).cast("string").alias("ai_explanation")).select(*FINDING_COLUMNS)
+
+
+def keyword_findings(files: DataFrame) -> DataFrame:
+    """Risky calls found by keyword, per language, outside comment lines."""
+    lines = explode_lines(files, "file_path", "language")
+    lines = lines.filter(~is_comment(F.col("line"), F.col("language")))
+    found = lines.withColumn("hit", F.explode(_keyword_hits("language", "line")))
+    own = [F.col("hit.keyword_ord").alias("regex_ord"), F.col("hit.risk").alias("description"), F.col("hit.severity").alias("severity")]
+    return _placed(found, [*_keyword_columns(F.col("hit.keyword")), *own])
+
+
+def scanned_findings(files: DataFrame, regexes: list | None = None) -> DataFrame:
+    """Findings of rules and of keywords together, in one pass over the lines."""
+    lines = explode_lines(files, "file_path", "language").filter(~is_comment(F.col("line"), F.col("language")))
+    by_rule = F.when(~T.is_blank("line"), F.expr(regex_hits_sql("line", "language", regexes or fixed.RULE_REGEXES)))
+    none = F.lit(None).cast("string")
+    hits = F.concat(
+        F.transform(F.coalesce(by_rule, F.array()), lambda h: F.struct(
+            h["rule_id"].alias("hit_rule"), h["regex_ord"].alias("regex_ord"), none.alias("keyword"), none.alias("risk"), none.alias("risk_severity"))),
+        F.transform(F.coalesce(_keyword_hits("language", "line"), F.array()), lambda h: F.struct(
+            none.alias("hit_rule"), h["keyword_ord"].alias("regex_ord"), h["keyword"].alias("keyword"), h["risk"].alias("risk"), h["severity"].alias("risk_severity"))))
+    found = lines.select("*", F.inline(hits))
+    rules = F.broadcast(rule_table(files.sparkSession))  # the rules of the program text
+    rated = found.join(rules, F.col("hit_rule") == F.col("rule_id"), "left").withColumn(
+        "confidence", match_confidence(F.col("line"), F.col("severity")))
+    is_rule = F.col("hit_rule").isNotNull()
+    kept = rated.filter(~is_rule | (F.col("confidence") >= F.col("threshold")))
+
+    def either(rule: Column, keyword: Column, name: str) -> Column:
+        return F.when(is_rule, rule).otherwise(keyword).alias(name)
+
+    of_keyword = _keyword_columns(F.col("keyword"))
+    names = ["finding_id", "analyzer", "analyzer_ord", "rule_ord", "name", "confidence", "cwe_id", "fix_suggestion"]
+    columns = [either(r, k, n) for r, k, n in zip(_rule_columns(), of_keyword, names)]
+    return _placed(kept, [
+        *columns, "regex_ord", either(F.col("description"), F.col("risk"), "description"),
+        either(severity_name(F.col("severity")), F.col("risk_severity"), "severity")])
 
 
 def keyword_cwe(keyword: Column) -> Column:

@@ -41,26 +41,27 @@ def type_accuracy(spark, folder):
 
 
 ADJUST_CTE = """acc AS (SELECT vulnerability_type, count(*) AS total, count(*) FILTER (was_correct) / count(*) AS accuracy FROM v_feedback GROUP BY 1),
-adj AS (SELECT vulnerability_type, total, CASE WHEN accuracy < 0.5 THEN accuracy + 0.5 ELSE (accuracy - 0.5) * 0.5 + 1.0 END AS adjustment FROM acc WHERE total >= 5)"""
+adj AS (SELECT vulnerability_type, total, accuracy, total >= 5 AS enough,
+  CASE WHEN total < 5 THEN 1.0 WHEN accuracy < 0.5 THEN accuracy + 0.5 ELSE (accuracy - 0.5) * 0.5 + 1.0 END AS adjustment FROM acc)"""
 
 
-@query("confidence_adjustments", f"WITH {ADJUST_CTE} SELECT vulnerability_type, round(adjustment, 4) AS adjustment, total FROM adj")
+@query("confidence_adjustments", f"WITH {ADJUST_CTE} SELECT vulnerability_type, round(adjustment, 4) AS adjustment, round(accuracy, 4) AS accuracy, total, enough FROM adj")
 def confidence_adjustments(spark, folder):
-    return rounded(Learn.confidence_adjustments(V.feedback(spark, folder)), "adjustment")
+    return rounded(Learn.confidence_adjustments(V.feedback(spark, folder)), "adjustment", "accuracy")
 
 
-METHOD_CTE = """meth AS (SELECT detection_method, count(*) AS samples,
+METHOD_CTE = """meth AS (SELECT detection_method, count(*) AS samples, count(*) >= 10 AS enough, count(*) FILTER (was_correct) / count(*) AS measured,
 CASE WHEN count(*) < 10 THEN 0.75 ELSE count(*) FILTER (was_correct) / count(*) END AS accuracy FROM v_feedback GROUP BY 1)"""
 
 
-@query("method_accuracy", f"WITH {METHOD_CTE} SELECT detection_method, round(accuracy, 4) AS accuracy, samples FROM meth")
+@query("method_accuracy", f"WITH {METHOD_CTE} SELECT detection_method, round(accuracy, 4) AS accuracy, round(measured, 4) AS measured, samples, enough FROM meth")
 def method_accuracy(spark, folder):
-    return rounded(Learn.method_accuracy(V.feedback(spark, folder)), "accuracy")
+    return rounded(Learn.method_accuracy(V.feedback(spark, folder)), "accuracy", "measured")
 
 
 @query("ml_performance", f"""
 WITH {ADJUST_CTE}, t AS (SELECT count(*) AS n, count(*) FILTER (was_correct) AS tp FROM v_feedback)
-SELECT vulnerability_type, round(least(adjustment * 0.7, 0.95), 4) AS type_accuracy, (SELECT count(*) FROM v_scans) AS total_scans,
+SELECT vulnerability_type, enough, round(least(adjustment * 0.7, 0.95), 4) AS type_accuracy, (SELECT count(*) FROM v_scans) AS total_scans,
   (SELECT count(*) FROM v_detections) AS total_detections, tp AS true_positives, n - tp AS false_positives,
   round(tp / greatest(n, 1), 4) AS accuracy FROM adj, t""")
 def ml_performance(spark, folder):
@@ -302,10 +303,11 @@ WITH p AS (SELECT count(*) AS n FROM (SELECT DISTINCT vulnerability_type, {sql_h
   e AS (SELECT avg(cast(was_correct AS int)) AS a FROM (SELECT was_correct FROM v_feedback ORDER BY seq LIMIT 10)),
   r AS (SELECT avg(cast(was_correct AS int)) AS a FROM (SELECT was_correct FROM v_feedback ORDER BY seq DESC LIMIT 10))
 SELECT count(*) AS total_feedback, count(*) FILTER (was_correct) AS true_positives, count(*) FILTER (NOT was_correct) AS false_positives,
-  round(CASE WHEN count(*) >= 20 THEN any_value(r.a) - any_value(e.a) ELSE 0 END, 4) AS accuracy_improvement, any_value(p.n) AS patterns_learned FROM v_feedback, p, e, r""")
+  round(CASE WHEN count(*) >= 20 THEN any_value(r.a) - any_value(e.a) ELSE 0 END, 4) AS accuracy_improvement,
+  round(any_value(r.a) - any_value(e.a), 4) AS measured_gain, count(*) >= 20 AS enough, any_value(p.n) AS patterns_learned FROM v_feedback, p, e, r""")
 def learning_report(spark, folder):
     f = V.feedback(spark, folder)
-    return rounded(Learn.learning_report(f, Learn.patterns_by_structure(f)), "accuracy_improvement")
+    return rounded(Learn.learning_report(f, Learn.patterns_by_structure(f)), "accuracy_improvement", "measured_gain")
 
 
 def structural_patterns(spark, folder):

@@ -75,7 +75,7 @@ def shown(findings):
 
 def all_findings(spark, folder):
     files = V.code_files(spark, folder)
-    return C.union_findings(C.rule_findings(files), C.keyword_findings(files))
+    return C.scanned_findings(files)
 
 
 @query("scan_severity_counts", f"""

@@ -194,11 +194,11 @@ def tumbling_stream(spark, folder):
 
 @query("stream_feedback", """
 WITH a AS (SELECT vulnerability_type, count(*) AS total, count(*) FILTER (was_correct) / count(*) AS acc FROM v_feedback GROUP BY 1)
-SELECT vulnerability_type, round(CASE WHEN acc < 0.5 THEN acc + 0.5 ELSE (acc - 0.5) * 0.5 + 1 END, 4) AS adjustment, total FROM a WHERE total >= 5""")
+SELECT vulnerability_type, round(CASE WHEN total < 5 THEN 1 WHEN acc < 0.5 THEN acc + 0.5 ELSE (acc - 0.5) * 0.5 + 1 END, 4) AS adjustment, total, total >= 5 AS enough FROM a""")
 def stream_feedback(spark, folder):
     path, state = new_run_folder(spark, "adjustments"), new_run_folder(spark, "adjustments-state")
     Tr.feedback_stream(V.feedback_from(R.table_stream(spark, folder, "events")), path, state).awaitTermination()
     versions = spark.read.option("basePath", path).parquet(f"{path}/version=*")
     # the versions are whole results; the last one holds, and its number comes from the folder names
     latest = versions.filter(F.col("version") == versions.agg(F.max("version")).scalar())
-    return latest.select("vulnerability_type", F.round("adjustment", 4).alias("adjustment"), "total")
+    return latest.select("vulnerability_type", F.round("adjustment", 4).alias("adjustment"), "total", "enough")

@@ -3,6 +3,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
+from ..operators.learning import adjustment_factor
 from .live import LATENESS
 
 
@@ -45,9 +46,9 @@ def feedback_totals(feedback: DataFrame) -> DataFrame:
 
 
 def adjustments_from_totals(totals: DataFrame, minimum: int = 5) -> DataFrame:
-    accuracy = F.col("correct") / F.col("total")
-    factor = F.when(accuracy < 0.5, accuracy + 0.5).otherwise((accuracy - 0.5) * 0.5 + 1.0)
-    return totals.filter(F.col("total") >= minimum).select("vulnerability_type", factor.alias("adjustment"), "total")
+    """Every type's factor, 1 where fewer than ``minimum`` records back it (``enough`` is false)."""
+    accuracy, enough = F.col("correct") / F.col("total"), F.col("total") >= minimum
+    return totals.select("vulnerability_type", adjustment_factor(accuracy, enough).alias("adjustment"), "total", enough.alias("enough"))
 
 
 def retrain_due(before: int, after: int, every: int = 50) -> bool:

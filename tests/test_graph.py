@@ -4,6 +4,7 @@ from collections import deque
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siftline.operators import graph as G
 from siftline.operators import model_findings as M
@@ -110,3 +111,24 @@ def test_findings_span_the_central_lines(spark):
     assert (found["f0.py"].line_start, found["f0.py"].line_end) == (first, last)
     assert found["f0.py"].code_snippet == "\n".join(lines[max(0, first - 3):last + 2])
     assert (found["f1.py"].line_start, found["f1.py"].line_end, found["f1.py"].code_snippet) == (1, 1, "[No specific location identified]")
+
+
+def test_names_are_looked_up_in_long_files(spark):
+    rng = random.Random(8)
+    odd = "\n".join(rng.choice(["a = b", "ab = aab(a)", "x[0] = ab", "return x[0]", "é = call(ab)", "print(é, a)", "== = a", "if a == b:", "bab(aab(x))", "int q = 5", "use(int q)"]) for _ in range(70))
+    df = corpus(spark, long_text(60), odd, "", "\n\n", "one = 1")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(G.definition_edges(df)) == rows(G.definition_edges(df, long_file=0)) != []
+    flat = lambda d: rows(d.select("file_id", "id", F.array_sort(F.transform("targets", lambda t: F.concat_ws(":", t["kind"], t["key"]))).alias("t")).selectExpr("file_id", "id", "concat_ws(',', t)"))
+    assert flat(G._edge_ends(df)) == flat(G._edge_ends(df, long_file=0)) != []
+
+
+def test_lookup_finds_every_name_and_no_other(spark):
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("ab(x ") for _ in range(n))
+    names = [(k % 2, word(rng.randrange(6))) for k in range(40)]
+    lines = [(k % 2, k, word(rng.randrange(14))) for k in range(50)]
+    found = G.names_in_lines(spark.createDataFrame(names, "file_id long, name string"), spark.createDataFrame(lines, "file_id long, id int, text string"))
+    want = {(f, n, k) for f, n in names for g, k, t in lines if f == g and n and n in t}
+    got = [(r.file_id, r.name, r.id) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want

@@ -96,3 +96,14 @@ def test_empty_methods_and_agreement(spark):
 def test_feedback_classifier_needs_enough_rows(spark, folder):
     few = feedback(spark, folder).filter("seq < 40")
     assert learning.train_feedback_classifier(few) is None
+
+
+def test_every_key_keeps_its_row_and_true_figure(spark):
+    rows = [("a", True, "gnn")] * 3 + [("b", False, "ast")] * 6 + [("b", True, "ast")] * 6
+    df = spark.createDataFrame([(t, k, c, "x = 1", m) for k, (t, c, m) in enumerate(rows)], "vulnerability_type string, seq long, was_correct boolean, code_snippet string, detection_method string")
+    got = {r.vulnerability_type: (r.adjustment, r.accuracy, r.total, r.enough) for r in learning.confidence_adjustments(df).collect()}
+    assert got == {"a": (1.0, 1.0, 3, False), "b": (1.0, 0.5, 12, True)}
+    got = {r.detection_method: (r.measured, r.samples, r.enough) for r in learning.method_accuracy(df).collect()}
+    assert got == {"gnn": (1.0, 3, False), "ast": (0.5, 12, True)}
+    report = learning.learning_report(df, learning.patterns_by_structure(df)).first()
+    assert report.accuracy_improvement == 0 and not report.enough and abs(report.measured_gain - (0.6 - 0.4)) < 1e-9

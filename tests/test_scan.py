@@ -153,3 +153,18 @@ def test_long_texts_are_read_whole(spark):
         F.size(T.code_tokens(F.col("code"))).alias("n"), F.length(T.structure_hash(F.col("code"))).alias("h"),
         L.detect(F.lit("file"), F.col("content")).alias("language")).first()
     assert (row.n, row.h, row.language) == (60, 32, "php")
+
+
+def test_one_pass_finds_what_both_scanners_find(spark):
+    from siftline.plans import scan_queries
+
+    df = scan_queries.V.code_files(spark, "/root/testdata/sf0.001")
+    odd = spark.createDataFrame([(9001, "x.py", "python", None), (9002, "y.py", "python", "\n\n"), (9003, "z.zig", None, "eval(x)"), (9004, "w.py", "python", "eval(request) # exec(y)\n# eval(z)")],
+                                "file_id long, file_path string, language string, content string")
+    files = df.select("file_id", "file_path", "language", "content").unionByName(odd)
+    both = scan.union_findings(scan.rule_findings(files), scan.keyword_findings(files))
+    once = scan.scanned_findings(files)
+    assert once.columns == both.columns
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, both.collect()))
+    assert sum("LocalTableScan" in l or "Scan parquet" in l or "LogicalRDD" in l or "Scan ExistingRDD" in l
+               for l in scan.scanned_findings(df)._jdf.queryExecution().executedPlan().toString().splitlines()) == 1
