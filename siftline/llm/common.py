@@ -9,6 +9,25 @@ from ..session import new_run_folder
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+_kept = {}
+
+
+def kept_by_worker(key, make):
+    """The one object that a Python worker keeps between its tasks; that of another key goes first.
+
+    Spark gives a worker to any stage, so what one operator remembers would else take memory beside the next one's.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget_kept():
+    """For tasks that need the memory and keep nothing themselves."""
+    _kept.clear()
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

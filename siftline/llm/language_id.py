@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import kept_by_worker, stored
 
 #: Labelled documents per language that the model is fitted on.
 FIT_DOCUMENTS = 2000
@@ -65,7 +65,7 @@ def _runs(text: str) -> list:
     return _letters_of_the_first_plane().findall(text)
 
 
-_pieces_cache, _scorers = {}, {}
+_pieces_cache = {}
 
 
 def default_vocabulary() -> str:
@@ -302,12 +302,10 @@ def _predictions(spark, model: Model):
     key = uuid.uuid4().hex
 
     def score(texts):
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(held.value)
+        scorer = kept_by_worker(("language", key), lambda: Scorer(held.value))
         found = []
         for i in range(0, len(texts), 256):
-            found += _scorers[key].predict(texts.slice(i, 256).to_pylist())
+            found += scorer.predict(texts.slice(i, 256).to_pylist())
         return found
 
     return score

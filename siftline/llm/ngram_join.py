@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import broadcast_up_to, row_identity, stored, text_bytes
+from .common import broadcast_up_to, forget_kept, row_identity, stored, text_bytes
 from .components import components
 
 WIDTH, PERCENT = 5, 80
@@ -53,6 +53,7 @@ def describe(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """
 
     def read(batches):
+        forget_kept()
         import numpy as np
         import pyarrow as pa
 
@@ -141,6 +142,7 @@ def shared_postings(documents: DataFrame, common, width=WIDTH, percent=PERCENT)
     held = documents.sparkSession.sparkContext.broadcast(common)  # at most COMMON shingles
 
     def emit(batches):
+        forget_kept()
         import numpy as np
         import pyarrow as pa
 
@@ -268,6 +270,7 @@ def verified(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, width=WID
     ).select("node", "text").dropDuplicates(["node"]), "texts")
 
     def compare(batches):
+        forget_kept()
         import numpy as np
         import pyarrow as pa
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import new_run_folder
-from .common import file_system, stored, text_bytes
+from .common import file_system, kept_by_worker, stored, text_bytes
 
 MAGIC = b"SLPACK01"
 FOOTER = struct.Struct("<8sIIQQQQQQ")
@@ -37,8 +37,6 @@ ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01234567
 #: Longer texts are split at white space into slices of this many bytes.
 SLICE = 1 << 20
 
-_encoders = {}
-
 
 def bits_for(vocabulary: int) -> int:
     """The fewest bits that hold every id of a vocabulary."""
@@ -90,9 +88,7 @@ class Encoder:
     @classmethod
     def of(cls, path):
         """One encoder per worker process and vocabulary file."""
-        if path not in _encoders:
-            _encoders[path] = cls(path)
-        return _encoders[path]
+        return kept_by_worker(("encoder", path), lambda: cls(path))
 
     @staticmethod
     def _parts(word):
