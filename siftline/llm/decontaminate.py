@@ -14,7 +14,7 @@ benchmark weigh as much as those of one item.  With roots the cosine is at least
 weights are.  Fingerprints of such pairs then differ by 39 bits on average with a deviation of 5.7 (as for a normal sum, so
 for more than a few shingles), and the radius of 63 is four deviations away: about one pair in 50 000 at exactly 0.8 is lost.
 Unrelated fingerprints of one size agree that far in some block for one pair in six; sizes are part of the key, so with items of
-20 to 150 words a window meets one item in 800 (measured in the tests), and the distance drops all but chance ones there.
+20 to 150 words a window meets at most one item in 500 (tests), and the distance drops all but chance ones there.
 
 Only DataFrame functions run here.  Copies of a text are scanned for hits where they lie, then share one text key, and
 copies of a window share one content key, so that hot texts and passages are settled once.
