@@ -211,6 +211,12 @@ def _is_long(long_file: int) -> Column:
     return T.line_count(F.col("content")) > long_file
 
 
+def _long_files(files: DataFrame, long_file: int) -> DataFrame | None:
+    """The files that several tasks work on; None where there are none, so that plans without them stay small."""
+    long = files.filter(_is_long(long_file))
+    return None if long.isEmpty() else long
+
+
 def _run_of(text: Column, length: int):
     return lambda i: F.substring(text, i, F.lit(length))
 
@@ -258,7 +264,9 @@ def _edge_ends(files: DataFrame, long_file: int = LONG_FILE) -> DataFrame:
         names(nodes, _CALLED), lambda calls: _ends(nodes, variables, calls))))
     without = let(F.col("nodes"), lambda nodes: _ends(nodes, none, none))
     short = file_graphs(files.filter(~_is_long(long_file))).select("file_id", F.inline(in_row))
-    long = files.filter(_is_long(long_file))
+    long = _long_files(files, long_file)
+    if long is None:
+        return short
     ends = file_graphs(long).select("file_id", F.inline(without))
     lines = graph_nodes(long).select("file_id", "id", "text")
 
@@ -362,7 +370,8 @@ def _steps(nodes: Column) -> Column:
 def definition_edges(files: DataFrame, long_file: int = LONG_FILE) -> DataFrame:
     """(file_id, src, dst): each call or return and the latest earlier assignment of every name in it."""
     short = file_graphs(files.filter(~_is_long(long_file))).select("file_id", F.inline(let(F.col("nodes"), _definition_pairs)))
-    return short.unionByName(_definitions_by_name(files.filter(_is_long(long_file))))
+    long = _long_files(files, long_file)
+    return short if long is None else short.unionByName(_definitions_by_name(long))
 
 
 def _definitions_by_name(files: DataFrame) -> DataFrame:
@@ -442,9 +451,10 @@ def line_centrality(files: DataFrame, long_file: int = LONG_FILE, cells: int = B
         found = linked.select("file_id", F.inline(shares("lines", "src", "dst", "low", "high")))
         return found if not dealt else found.groupBy("file_id", "id").agg(F.min("line").alias("line"), F.sum("share").alias("share"))
 
-    long = T.line_count(F.col("content")) > long_file
     # a short file is settled inside its row, without a shuffle
-    found = of(files.filter(~long), False).unionByName(of(files.filter(long), True))
+    found, long = of(files.filter(~_is_long(long_file)), False), _long_files(files, long_file)
+    if long is not None:
+        found = found.unionByName(of(long, True))
     return found.select("file_id", "id", "line", F.col("share").alias("centrality"))
 
 
