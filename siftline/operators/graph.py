@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fixed
 from ..functions import text as T
 from ..functions.lookup import let
+from ..session import unfolded
 from .segments import function_blocks
 
 
@@ -243,10 +244,10 @@ def names_in_lines(names: DataFrame, lines: DataFrame) -> DataFrame:
     counts = held.groupBy("file_id", "gram").agg(F.count("*").alias("n"))
     wanted = names.filter("name <> ''").distinct().select("file_id", "name", F.explode(_grams(F.col("name"))).alias("gram"))
     # long runs first among equals; a run that no line holds rules its name out
-    rated = wanted.join(counts, ["file_id", "gram"], "left").groupBy("file_id", "name").agg(
+    rated = wanted.join(unfolded(counts), ["file_id", "gram"], "left").groupBy("file_id", "name").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.length("gram")).alias("longest"), "gram")).alias("best"))
     looked_up = rated.filter("best.n > 0").select("file_id", "name", F.col("best.gram").alias("gram"))
-    found = looked_up.join(held, ["file_id", "gram"]).join(lines, ["file_id", "id"])
+    found = looked_up.join(unfolded(held), ["file_id", "gram"]).join(unfolded(lines), ["file_id", "id"])
     return found.filter(F.contains("text", F.col("name"))).select("file_id", "name", "id", "text")
 
 
@@ -278,7 +279,7 @@ def _edge_ends(files: DataFrame, long_file: int = LONG_FILE) -> DataFrame:
     called = names_in_lines(named(_CALLED).select("file_id", F.concat("name", F.lit("(")).alias("name")), lines).select(
         "file_id", "id", F.struct(F.lit("call_flow").alias("kind"), F.expr("substring(name, 1, length(name) - 1)").alias("key")).alias("end"))
     more = read.unionByName(called).groupBy("file_id", "id").agg(F.collect_list("end").alias("more"))  # the names in one line
-    full = ends.join(more, ["file_id", "id"], "left").select(
+    full = ends.join(unfolded(more), ["file_id", "id"], "left").select(
         "file_id", "id", "sources", F.concat("targets", F.coalesce("more", F.array().cast("array<struct<kind:string,key:string>>"))).alias("targets"))
     return short.unionByName(full)
 
@@ -293,7 +294,7 @@ def graph_edges(files: DataFrame) -> DataFrame:
     ends = _edge_ends(files)
     source = ends.select("file_id", F.col("id").alias("src"), F.inline("sources"))
     target = ends.select("file_id", F.col("id").alias("dst"), F.inline("targets"))
-    pairs = source.join(target, ["file_id", "kind", "key"]).filter("src <> dst")
+    pairs = source.join(unfolded(target), ["file_id", "kind", "key"]).filter("src <> dst")
     return pairs.groupBy("file_id", "src", "dst").agg(
         *[F.max((F.col("kind") == slot).cast("int")).alias(slot) for slot in fixed.EDGE_SLOTS])
 
@@ -311,7 +312,8 @@ def edge_counts(files: DataFrame) -> DataFrame:
         kept = F.filter(column, lambda e: e["kind"] != "ast_child")
         return ends.select("file_id", F.col("id").alias(node), F.col("function").alias(owner), F.inline(kept))
 
-    pairs = others("sources", "src", "src_function").join(others("targets", "dst", "dst_function"), ["file_id", "kind", "key"])
+    pairs = others("sources", "src", "src_function").join(
+        unfolded(others("targets", "dst", "dst_function")), ["file_id", "kind", "key"])
     outside = (F.col("src_function") == "") | (F.col("src_function") != F.col("dst_function"))
     across = pairs.filter((F.col("src") != F.col("dst")) & outside).select("file_id", "src", "dst").distinct()
     within = ends.filter("function <> ''").groupBy("file_id", "function").agg(F.count("*").alias("n"))
@@ -328,7 +330,7 @@ def graph_stats(files: DataFrame) -> DataFrame:
     def ratio(bottom):
         return F.coalesce(F.try_divide(e, bottom), F.lit(0.0))
 
-    return nodes.join(edges, "file_id", "left").select(
+    return nodes.join(unfolded(edges), "file_id", "left").select(
         "file_id", "num_nodes", e.alias("num_edges"), ratio(n).alias("edges_per_node"),
         ratio(n * (n - 1)).alias("density"), ratio(n * n).alias("square_density"))
 
@@ -412,7 +414,7 @@ def _long_links(files: DataFrame) -> DataFrame:
     steps = file_graphs(files).select("file_id", let(F.col("nodes"), lambda nodes: F.struct(
         F.transform(nodes, lambda n: n["line"]).alias("lines"), _steps(nodes).alias("steps"))).alias("g")).select("file_id", "g.*")
     none = F.array().cast("array<struct<src:int,dst:int>>")
-    joined = steps.join(defined, "file_id", "left").select(
+    joined = steps.join(unfolded(defined), "file_id", "left").select(
         "file_id", "lines", F.array_union("steps", F.coalesce("found", none)).alias("links"))
     return joined.select("file_id", "lines", F.col("links.src").alias("src"), F.col("links.dst").alias("dst"))
 

@@ -53,13 +53,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input enough partitions for work that is heavy per row.
+def unfolded(df: DataFrame) -> DataFrame:
+    """Mark one side of a join whose rows came out of texts: lines, words, names, or one row per derived file.
+
+    Spark's statistics know the small table that such rows come from, not the rows, and would send all of them through the
+    driver to every task.  Marked, both sides are shuffled and sorted, and adaptive execution still splits a frequent key.
+    """
+    return df.hint("merge")
+
+
+def spread(df: DataFrame, task_rows: int | None = None) -> DataFrame:
+    """Give an input enough partitions for work that is heavy per row.
 
     A file of one row group is one task however costly its rows are.  An input that already
-    has a partition per core, as any large one does, is left alone.
+    has a partition per core, as any large one does, is left alone; where rows are short but much is
+    made of each, ``task_rows`` bounds the rows of a partition as well.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+    if df.isStreaming:
         return df
-    return df.repartition(cores)
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if task_rows:
+        wanted = max(wanted, -(-df.count() // task_rows))
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
