@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
 from ..functions.lookup import literal_lookup
+from ..session import unfolded
 from . import ordered
 
 
@@ -31,15 +32,19 @@ def code_variants(samples: DataFrame, variants: int = 3) -> DataFrame:
         "file_id", F.concat(F.col("file_id").cast("string"), F.lit("-v"), F.col("variant").cast("string")))
 
 
-def balanced_split(samples: DataFrame, seq: str = "file_id", train_share: float = 0.8) -> DataFrame:
+#: Samples carry whole texts through their numbering, so fewer of them share a window.
+SPLIT_BLOCK = 1 << 14
+
+
+def balanced_split(samples: DataFrame, seq: str = "file_id", train_share: float = 0.8, block: int = SPLIT_BLOCK) -> DataFrame:
     """Both classes cut to the smaller one, the first four fifths of each for training.
 
-    Positions come from blocked row numbers, so no class is sorted in one task.
+    Positions come from row numbers in blocks of ``block`` ids, so no class is sorted in one task.
     """
     sizes = samples.groupBy("label").agg(F.count("*").alias("n"))
     # two rows, one per class
     kept = sizes.agg(F.when(F.count("*") == 2, F.min("n")).otherwise(0).alias("kept"))
-    numbered = ordered.row_numbers(samples, ["label"], seq).select("*", kept.scalar().alias("kept"))
+    numbered = ordered.row_numbers(samples, ["label"], seq, block=block).select("*", kept.scalar().alias("kept"))
     chosen = numbered.filter(F.col("row_no") <= F.col("kept"))
     part = F.when(F.col("row_no") <= F.floor(F.col("kept") * train_share), "train").otherwise("test")
     return chosen.withColumn("split", part).drop("row_no", "kept")
@@ -64,9 +69,9 @@ def tfidf(texts: DataFrame, id_column: str = "file_id", column: str = "content")
     words = texts.select(id_column, F.explode(F.regexp_extract_all(F.lower(column), F.lit(r"([\p{L}\p{N}_]+)"), 1)).alias("word"))
     counts = words.groupBy(id_column, "word").agg(F.count("*").alias("n"))
     held = counts.groupBy("word").agg(F.count("*").alias("texts"))
-    # a word of most texts meets its one row of ``held``; adaptive execution splits it
+    # the vocabulary grows with the texts; a word of most texts meets its one row of ``held``; adaptive execution splits it
     weight = F.col("n") * F.log((total + 1.0) / (F.col("texts") + 1.0))
-    return counts.join(held, "word").select(id_column, "word", weight.alias("weight"))
+    return counts.join(unfolded(held), "word").select(id_column, "word", weight.alias("weight"))
 
 
 def train_graph_classifier(pooled: DataFrame, positive_weight: float = 2.0, seed: int = 42):
