@@ -11,7 +11,7 @@ from ..operators import enrich as E
 from ..operators import graph as G
 from ..operators import scan as C
 from ..operators import learning as Learn
-from ..session import new_run_folder
+from ..session import new_run_folder, unfolded
 from ..sources import stored
 from .learning_queries import sql_hash
 from .registry import query, sql_any, sql_values
@@ -102,7 +102,7 @@ def pooled_samples(spark, folder):
     pooled = G.pooled_vectors(code)
     scores = V.model_scores(spark, folder).select(
         "file_id", (F.col("score") > 0.5).cast("int").alias("label"), (F.col("file_id") % 5).cast("int").alias("kind"))
-    return pooled.join(scores, "file_id")
+    return pooled.join(unfolded(scores), "file_id")
 
 
 @query("graph_classifier")
