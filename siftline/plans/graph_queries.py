@@ -7,6 +7,7 @@ from ..operators import graph as G
 from ..operators import model_findings as M
 from ..operators import scan as C
 from ..operators import segments as S
+from ..session import unfolded
 from .registry import SQL_BLANK, query, sql_any, sql_count, sql_list, sql_strip, sql_text, sql_values
 from .scan_queries import LINES_CTE, LOCATED_CTE, blocks_sql, scored_files
 
@@ -122,7 +123,7 @@ def file_features(spark, folder):
     flags = code.select("file_id", *[c.alias(n) for n, c in S.file_flags(F.col("content")).items()])
     stats = G.graph_stats(code).select("file_id", F.col("num_nodes").alias("graph_nodes"), F.col("num_edges").alias("graph_edges"),
                                        F.round("square_density", 4).alias("graph_density"))
-    return stats.join(flags, "file_id")
+    return stats.join(unfolded(flags), "file_id")
 
 
 @query("follows_edges", f"""
@@ -178,7 +179,7 @@ def central_lines(spark, folder):
 
 def located_files(spark, folder, over):
     """Scored files with their central lines."""
-    return scored_files(spark, folder).join(G.hot_lines(files(spark, folder), over=over), "file_id", "left")
+    return scored_files(spark, folder).join(unfolded(G.hot_lines(files(spark, folder), over=over)), "file_id", "left")
 
 
 HYBRID_SEVERITY_SQL = f"""CASE WHEN vulnerability_type IN ({sql_list(fixed.CRITICAL_TYPES)}) AND score * type_confidence > 0.7 THEN 'critical'
