@@ -148,8 +148,12 @@ def code_files_from(part: DataFrame) -> DataFrame:
     )
 
 
+#: Files one task makes and works on at most; their rows come from a few bytes each.
+TASK_FILES = 1 << 16
+
+
 def code_files(spark, folder) -> DataFrame:
-    return code_files_from(spread(table(spark, folder, "part").select("p_partkey", "p_size")))
+    return code_files_from(spread(table(spark, folder, "part").select("p_partkey", "p_size"), TASK_FILES))
 
 
 def documents(spark, folder) -> DataFrame:
