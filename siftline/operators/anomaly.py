@@ -90,9 +90,7 @@ def anomaly_candidates(queries: DataFrame, known: DataFrame, most: int | None =
         S.predicted_cwe(code).alias("predicted_cwe"), F.concat(F.lit("ZERO-DAY-"), F.md5(code)).alias("candidate_id")))
     k = cut_lineage(known.select("id", F.col("fingerprint").alias("embedding")))
     scores = (score or distance_scores)(described, k).select("id", "anomaly_score")
-    odd = scores.filter(F.col("anomaly_score") < -0.5)
-    if score:
-        odd = cut_lineage(odd)  # a forest is not grown twice
+    odd = cut_lineage(scores.filter(F.col("anomaly_score") < -0.5))  # no row is scored twice, as it is used twice below
     similar = similar_known(described.join(odd.select("id"), "id", "left_semi"), k, most=most)
     rated = described.drop("embedding").join(odd, "id").join(similar, "id")
     return rated.withColumn(
