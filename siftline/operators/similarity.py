@@ -47,6 +47,31 @@ def score_matrix(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.divide(a @ b.T, norms, out=np.zeros((len(a), len(b))), where=norms > 0)
 
 
+def close_pairs(a: np.ndarray, b: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of all rows of ``a`` and ``b`` that are at most ``eps`` apart.
+
+    One product of matrices gives minus half of all squared distances, in single precision where its rounding is small beside
+    ``eps``.  What it can't decide is left to the distances themselves.
+    """
+    a, b = a.astype(np.float64, copy=False), b.astype(np.float64, copy=False)
+    halves = [(m * m).sum(1) / 2 for m in (a, b)]
+    largest = 2 * max(halves[0].max(initial=0.0), halves[1].max(initial=0.0))
+
+    def slack(kind):
+        return 2 * (a.shape[1] + 8) * np.finfo(kind).eps * largest
+
+    kind = np.float32 if slack(np.float32) < eps * eps / 8 else np.float64
+    near = np.column_stack([a, -halves[0], np.ones(len(a))]).astype(kind) @ np.column_stack([b, np.ones(len(b)), -halves[1]]).astype(kind).T
+    i, j = np.nonzero(near >= kind(-eps * eps / 2 - slack(kind)))
+    unsure = np.flatnonzero(near[i, j] <= kind(-eps * eps / 2 + slack(kind)))
+    kept = np.ones(len(i), dtype=bool)
+    for k in range(0, len(unsure), TILE_ROWS):
+        part = unsure[k:k + TILE_ROWS]
+        apart = a[i[part]] - b[j[part]]
+        kept[part] = np.sqrt((apart * apart).sum(1)) <= eps
+    return i[kept], j[kept]
+
+
 def _pick(query_ids, queries, ref_ids, groups, refs, pick: Pick) -> pd.DataFrame:
     """The picked pairs; references come in slices, so that a task holds at most ``SCORES`` scores at once."""
     step = max(1, SCORES // max(1, len(query_ids)))

@@ -147,3 +147,34 @@ def test_forest_finds_candidates_beside_known_vectors(spark):
     found = {r.id: r for r in anomaly.anomaly_candidates(queries, known, score=anomaly.forest_scores).collect()}
     assert set(found) == {1000} and found[1000].similar_count == 2  # the two known ones beside it, not the lone ones
     assert anomaly.forest_scores(queries.withColumn("embedding", F.col("fingerprint")), known.limit(0).withColumn("embedding", F.col("fingerprint"))).filter("anomaly_score IS NOT NULL").count() == 0
+
+
+def test_close_pairs_of_single_and_double_precision_equal_the_distances():
+    rng = np.random.default_rng(9)
+    for scale, kind in ((0.5, np.float32), (3000.0, np.float64)):  # the second is too coarse for single precision
+        a = rng.normal(size=(60, 8)).astype(kind) * kind(scale)
+        b = np.concatenate([a[:40] + rng.normal(size=(40, 8)) * 0.1, a[40:50], rng.normal(size=(30, 8)) * scale])
+        want = {(i, j) for i in range(60) for j in range(80) if np.sqrt(((a[i].astype(float) - b[j]) ** 2).sum()) <= 0.3}
+        i, j = similarity.close_pairs(a, b, 0.3)
+        assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want) > 20
+
+
+def test_pairs_of_blocks_meet_once(spark, monkeypatch):
+    """Lone vectors all equally far from each other: each pair of them is compared once, in however many blocks."""
+    seen = spark.sparkContext.accumulator(0)
+    plain = clusters._block_links
+
+    def counted(left, right, eps, same):
+        seen.add(len(left[0]) * (len(left[0]) + 1) // 2 if same else len(left[0]) * len(right[0]))
+        return plain(left, right, eps, same)
+
+    monkeypatch.setattr(clusters, "_block_links", counted)
+    df = spark.createDataFrame([(k, [1.0 if i == k else 0.0 for i in range(40)]) for k in range(40)], "id long, embedding array<float>")
+    assert {r.cluster for r in clusters.density_clusters(df, 0.3, 4).collect()} == {-1}
+    assert seen.value <= 40 * 41 // 2
+
+
+def test_vectors_without_a_distance_are_lone(spark):
+    rows = [(0, None), (1, [float("nan"), 0.0]), (2, [None, 1.0]), (3, [0.0, 0.0]), (4, [0.1, 0.0]), (5, [float("inf"), 0.0]), (6, [0.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    assert {r.id: r.cluster for r in clusters.density_clusters(df).collect()} == {0: -1, 1: -1, 2: -1, 3: 0, 4: 0, 5: -1, 6: -1}
