@@ -16,6 +16,8 @@ from .. import fixed_values as fixed
 
 BROADCAST_BYTES = 64 << 20
 TILE_ROWS = 4096
+#: Queries are dealt to as many times more tasks as there are this many references.
+TASK_REFS = 8192
 #: Scores of one slice of the references, 32 MB of them.
 SCORES = 4_000_000
 
@@ -51,10 +53,14 @@ def close_pairs(a: np.ndarray, b: np.ndarray, eps: float) -> tuple[np.ndarray, n
     """Positions (i, j) of all rows of ``a`` and ``b`` that are at most ``eps`` apart.
 
     One product of matrices gives minus half of all squared distances, in single precision where its rounding is small beside
-    ``eps``.  What it can't decide is left to the distances themselves.
+    ``eps``.  What it can't decide is left to the distances themselves.  Vectors without finite squares are near none.
     """
     a, b = a.astype(np.float64, copy=False), b.astype(np.float64, copy=False)
     halves = [(m * m).sum(1) / 2 for m in (a, b)]
+    finite = [np.flatnonzero(np.isfinite(h)) for h in halves]
+    if len(finite[0]) < len(a) or len(finite[1]) < len(b):
+        i, j = close_pairs(a[finite[0]], b[finite[1]], eps)
+        return finite[0][i], finite[1][j]
     largest = 2 * max(halves[0].max(initial=0.0), halves[1].max(initial=0.0))
 
     def slack(kind):
@@ -65,13 +71,20 @@ def close_pairs(a: np.ndarray, b: np.ndarray, eps: float) -> tuple[np.ndarray, n
     i, j = np.nonzero(near >= kind(-eps * eps / 2 - slack(kind)))
     unsure = np.flatnonzero(near[i, j] <= kind(-eps * eps / 2 + slack(kind)))
     kept = np.ones(len(i), dtype=bool)
-    for k in range(0, len(unsure), TILE_ROWS):
-        part = unsure[k:k + TILE_ROWS]
-        apart = a[i[part]] - b[j[part]]
-        kept[part] = np.sqrt((apart * apart).sum(1)) <= eps
+    kept[unsure] = _distances(a, b, i[unsure], j[unsure]) <= eps
     return i[kept], j[kept]
 
 
+def _distances(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The distance of each pair of rows, of some pairs at a time."""
+    out = np.empty(len(i))
+    for k in range(0, len(i), TILE_ROWS):
+        part = slice(k, k + TILE_ROWS)
+        apart = a[i[part]] - b[j[part]]
+        out[part] = np.sqrt((apart * apart).sum(1))
+    return out
+
+
 def _pick(query_ids, queries, ref_ids, groups, refs, pick: Pick) -> pd.DataFrame:
     """The picked pairs; references come in slices, so that a task holds at most ``SCORES`` scores at once."""
     step = max(1, SCORES // max(1, len(query_ids)))
@@ -94,6 +107,12 @@ def _join_slices(kept, found, pick: Pick) -> pd.DataFrame:
 
 
 def _pick_slice(query_ids, queries, ref_ids, groups, refs, pick: Pick) -> pd.DataFrame:
+    if pick.kind == "range" and pick.metric == "distance":
+        i, j = close_pairs(queries, refs, pick.high)
+        score = _distances(queries, refs, i, j)
+        inside = (score > pick.low) & (score < pick.high)
+        return pd.DataFrame({
+            "query_id": query_ids[i[inside]], "ref_id": ref_ids[j[inside]], "ref_group": groups[j[inside]], "score": score[inside]})
     scores = score_matrix(queries, refs, pick.metric)
     if pick.kind == "groups":
         parts = []
@@ -145,7 +164,10 @@ def _match_broadcast(queries, refs, pick):
             if len(batch):
                 yield _pick(batch["id"].to_numpy(), _matrix(batch["embedding"]), ids, groups, vectors, pick)
 
-    return queries.select("id", "embedding").mapInPandas(run, _SCHEMA[pick.kind])
+    asked = queries.select("id", "embedding")
+    if len(rows) > TASK_REFS:  # a query costs a score per reference, which its few bytes do not show
+        asked = asked.repartition(queries.sparkSession.sparkContext.defaultParallelism * -(-len(rows) // TASK_REFS), "id")
+    return asked.mapInPandas(run, _SCHEMA[pick.kind])
 
 
 def _match_tiles(queries, refs, n_refs, pick, tile_rows):

@@ -178,3 +178,21 @@ def test_vectors_without_a_distance_are_lone(spark):
     rows = [(0, None), (1, [float("nan"), 0.0]), (2, [None, 1.0]), (3, [0.0, 0.0]), (4, [0.1, 0.0]), (5, [float("inf"), 0.0]), (6, [0.0])]
     df = spark.createDataFrame(rows, "id long, embedding array<float>")
     assert {r.id: r.cluster for r in clusters.density_clusters(df).collect()} == {0: -1, 1: -1, 2: -1, 3: 0, 4: 0, 5: -1, 6: -1}
+
+
+def test_queries_are_dealt_by_the_references_they_meet(spark):
+    """A few queries in one partition are as much work as there are references."""
+    refs = spark.range(20_000).select("id", F.lit(0).cast("long").alias("ref_group"), F.array(F.col("id").cast("double"), F.lit(0.0)).alias("embedding"))
+    queries = spark.range(40).select("id", F.array(F.col("id") + 0.25, F.lit(0.0)).alias("embedding")).coalesce(1)
+    near = match(queries, refs, Pick("range", metric="distance", high=0.5))
+    assert near.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+    assert result(near) == [(k, k, 0, 0.25) for k in range(40)]
+
+
+def test_distance_range_skips_vectors_that_are_not_finite():
+    a = np.array([[0.0, 0.0], [np.nan, 0.0], [5.0, 0.0]])
+    b = np.array([[np.inf, 0.0], [0.1, 0.0], [5.0, 0.2]])
+    i, j = similarity.close_pairs(a, b, 0.3)
+    assert list(zip(i.tolist(), j.tolist())) == [(0, 1), (2, 2)]
+    found = similarity._pick(np.arange(3), a, np.arange(3), np.zeros(3, int), b, Pick("range", metric="distance", low=0.15, high=0.3))
+    assert found[["query_id", "ref_id"]].to_numpy().tolist() == [[2, 2]]
