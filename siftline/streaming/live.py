@@ -142,10 +142,6 @@ findings array<struct<line:int,rule_id:string,severity:string,confidence:double>
 STATE_SCHEMA = "hash string, code string, findings string"
 
 
-def _rows(findings) -> list:
-    return [{k: f[k] for k in ("line", "rule_id", "severity", "confidence")} for f in findings]
-
-
 def step(state, code, findings):
     """One update against the state of its file: (new state, cached, incremental, changed, shown).
 
@@ -162,20 +158,26 @@ def step(state, code, findings):
     return (digest, code, json.dumps(findings)), False, incremental, len(changed), shown
 
 
+#: What leaves the state of a file: one text, as every column of a group costs more than the comparison of its versions.
+_RESULTS = f"array<struct<{RESULT_SCHEMA}>>"
+
+
 def _advance(key, batches, state, expire):
     if state.hasTimedOut:
         state.remove()
         return
     known = state.get if state.exists else None
-    updates = pd.concat(list(batches)).sort_values("seq")  # one micro-batch of one file
+    updates = [json.loads(u) for batch in batches for u in batch["update"]]  # one micro-batch of one file
+    updates.sort(key=lambda u: (u["seq"] is None, u["seq"]))
     out = []
-    for row in updates.itertuples():
-        known, cached, incremental, changed, shown = step(known, row.code, _rows(row.findings))
-        out.append((*key, row.seq, cached, incremental, changed, shown))
+    for u in updates:
+        known, cached, incremental, changed, shown = step(known, u["code"], u["findings"])
+        out.append({"client_id": key[0], "file_path": key[1], "seq": u["seq"], "cached": cached, "incremental": incremental,
+                    "changed_lines": changed, "findings": shown})
     state.update(known)
     if expire:
         state.setTimeoutDuration(STATE_TTL_MS)
-    yield pd.DataFrame(out, columns=["client_id", "file_path", "seq", "cached", "incremental", "changed_lines", "findings"])
+    yield pd.DataFrame({"results": [json.dumps(out)]})
 
 
 def live_scan(updates: DataFrame, expire: bool = True) -> DataFrame:
@@ -183,16 +185,21 @@ def live_scan(updates: DataFrame, expire: bool = True) -> DataFrame:
 
     State is one text per open file, dropped after a day without updates.  A wall-clock
     timeout keeps a stream running for ever, so a run that should end passes ``expire=False``.
-    The source's ``maxFilesPerTrigger`` or offset limit bounds what one file brings at once.
+    The source's ``maxFilesPerTrigger`` or offset limit bounds what one file brings at once.  Rules are matched behind the
+    shuffle that the state needs anyway, as a source file of few bytes is one task however many updates it holds.
     """
-    scanned = updates.withColumn("findings", rule_matches("code", "language"))
-    keyed = scanned.select("client_id", "file_path", "seq", "code", "findings").groupBy("client_id", "file_path")
+    parts = int(updates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = updates.select("client_id", "file_path", "language", "seq", "code").repartition(parts, "client_id", "file_path")
+    found = F.transform(rule_matches("code", "language"), lambda f: F.struct(*[f[k].alias(k) for k in ("line", "rule_id", "severity", "confidence")]))
+    update = F.to_json(F.struct("seq", "code", found.alias("findings")), {"ignoreNullFields": "false"})
+    keyed = dealt.select("client_id", "file_path", update.alias("update")).groupBy("client_id", "file_path")
     timeout = GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
 
     def advance(key, batches, state):
         yield from _advance(key, batches, state, expire)
 
-    return keyed.applyInPandasWithState(advance, RESULT_SCHEMA, STATE_SCHEMA, "append", timeout)
+    results = keyed.applyInPandasWithState(advance, "results string", STATE_SCHEMA, "append", timeout)
+    return results.select(F.inline(F.from_json("results", _RESULTS)))
 
 
 def scan_records(results: DataFrame) -> DataFrame:

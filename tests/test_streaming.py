@@ -133,3 +133,17 @@ def test_late_rows_are_counted(spark, tmp_path):
     rows, late = runs.drained(trends.tumbling_trend(stream), "late")
     assert late == 1
     assert {(r.window_start, r.total) for r in rows.collect()} == {(base, 2), (base + timedelta(days=2), 3)}
+
+
+def test_rules_of_a_stream_are_matched_behind_the_shuffle_of_its_state(spark, tmp_path):
+    """One source file is one task; its updates are spread before their texts are scanned, and by the one shuffle of the state."""
+    schema = "client_id string, file_path string, language string, seq long, code string"
+    rows = [("c", f"f{k}.py", "python", s, f"a = {k}\n" * s + "eval(x)") for k in range(30) for s in (1, 0, 2)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = live.live_scan(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), expire=False)
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    dealt, matched, kept = (plan.index(p) for p in ("RepartitionByExpression", "RLIKE", "FlatMapGroupsInPandasWithState"))
+    assert kept < matched < dealt  # a plan is printed from its result down
+    got = {(r.file_path, r.seq): (r.cached, r.incremental, r.changed_lines, {f.line for f in r.findings}) for r in runs.drain(stream, "live").collect()}
+    assert len(got) == 90
+    assert got["f7.py", 0] == (False, False, 1, {1}) and got["f7.py", 1] == got["f7.py", 2] == (False, True, 1, set())
