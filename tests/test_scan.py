@@ -168,3 +168,29 @@ def test_one_pass_finds_what_both_scanners_find(spark):
     assert sorted(map(repr, once.collect())) == sorted(map(repr, both.collect()))
     assert sum("LocalTableScan" in l or "Scan parquet" in l or "LogicalRDD" in l or "Scan ExistingRDD" in l
                for l in scan.scanned_findings(df)._jdf.queryExecution().executedPlan().toString().splitlines()) == 1
+
+
+def test_read_tree_lists_folders_by_tasks(spark, tmp_path):
+    """Many small files are read by few tasks, and the same files as Spark's own reader finds."""
+    names = [f"a{k % 7}/b{k % 3}/f {k}%20é#.py" for k in range(400)]
+    names += [".hidden/x.py", "_hidden/x.py", "_k=1/x.py", "a1/.x.py", "a1/_x.py", "a1/x.PY", "a1/x.txt", "top.c", "a1/empty.py"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("" if "empty" in name else f"eval({len(name)})")
+    (tmp_path / "none").mkdir()
+    pattern = "*{" + ",".join(fixed.SCAN_EXTENSIONS) + "}"
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(str(tmp_path))
+    want = {(r.path.removeprefix("file:"), r.text) for r in plain.select("path", F.col("content").cast("string").alias("text")).collect()}
+    for folder in (str(tmp_path), f"{tmp_path}/", f"file:{tmp_path}"):
+        found = files.read_tree(spark, folder)
+        assert {tuple(r) for r in found.collect()} == want and found.count() == len(want) == 402
+    assert "binaryFile" not in found._jdf.queryExecution().toString()
+    assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert files.read_tree(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_read_tree_of_one_file_and_of_none(spark, tmp_path):
+    (tmp_path / "a.py").write_text("x")
+    assert [r.content for r in files.read_tree(spark, f"{tmp_path}/a.py").collect()] == ["x"]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.read_tree(spark, f"{tmp_path}/missing").collect()
