@@ -196,3 +196,47 @@ def test_distance_range_skips_vectors_that_are_not_finite():
     assert list(zip(i.tolist(), j.tolist())) == [(0, 1), (2, 2)]
     found = similarity._pick(np.arange(3), a, np.arange(3), np.zeros(3, int), b, Pick("range", metric="distance", low=0.15, high=0.3))
     assert found[["query_id", "ref_id"]].to_numpy().tolist() == [[2, 2]]
+
+
+@pytest.mark.parametrize("spread", [1.0, 200.0])
+@pytest.mark.parametrize("pick", [Pick("top", metric="distance"), Pick("range", metric="distance", high=1.5)])
+def test_blocks_give_the_same_distances_as_one_broadcast(spark, monkeypatch, pick, spread):
+    """Copies, repeated ids and vectors without finite squares; one dimension may differ more than the others."""
+    rng = np.random.default_rng(9)
+
+    def rows(n, first):
+        v = rng.normal(size=(n, 5))
+        v[:, 2] *= spread
+        got = [(first + i, i % 3, [float(x) for x in r]) for i, r in enumerate(v)]
+        return got + [(first + n + i, 1, got[i][2]) for i in range(40)] + got[:20] + [(first + 2 * n, 0, [float("nan")] * 5)]
+
+    schema = "id long, ref_group long, embedding array<double>"
+    known, asked = rows(400, 0), rows(300, 5000)
+    asked += [(9000 + i, 0, known[i][2]) for i in range(30)]
+    queries, refs = spark.createDataFrame(asked, schema), spark.createDataFrame(known, schema)
+    whole = match(queries, refs, pick).toPandas()
+    met, meet = [], similarity._meet
+    monkeypatch.setattr(similarity, "_meet", lambda rows, *args: met.append(rows.count()) or meet(rows, *args))
+    parts = match(queries, refs, pick, limit_bytes=0, tile_rows=8).toPandas()
+
+    def plain(found):  # a matrix product rounds the distance of copies up from 0
+        return sorted((r.query_id, r.ref_id, r.ref_group, round(max(r.score, 1e-4), 6)) for r in found.itertuples())
+
+    assert plain(whole) == plain(parts) and len(whole)
+    if spread > 1:
+        assert sum(met) < 3 * len(asked)  # of 13 blocks or more
+
+
+def test_references_beyond_a_bound_do_not_pass_the_driver(spark, monkeypatch):
+    """3000 vectors of 700 numbers; they used to be collected and sent to all tasks up to 64 MB."""
+    def refuse(*args):
+        raise AssertionError("references were collected")
+
+    monkeypatch.setattr(similarity, "_match_broadcast", refuse)
+    rest = F.array_repeat(F.lit(0.0), 699)
+    known = spark.range(3000).select("id", F.concat(F.array((F.col("id") * 3).cast("double")), rest).alias("embedding"))
+    queries = spark.range(500).select("id", F.concat(F.array((F.col("id") * 7 + 1).cast("double")), rest).alias("embedding"))
+    got = {r.id: r.anomaly_score for r in anomaly.distance_scores(queries, known).collect()}
+    assert got == {i: -min((7 * i + 1) % 3, 3 - (7 * i + 1) % 3) / 100 for i in range(500)}
+    counts = {r.id: r.similar_count for r in anomaly.similar_known(queries, known, eps=0.3).collect()}
+    assert counts == {i: 1 if (7 * i + 1) % 3 == 0 else 3000 for i in range(500)}
