@@ -64,7 +64,8 @@ def similar_known(queries: DataFrame, known: DataFrame, eps: float = 0.3, most:
     labels = density_clusters(known.select("id", "embedding"), eps)
     sizes = labels.filter("cluster >= 0").groupBy("cluster").agg(F.count("*").alias("members"))
     lone = labels.agg(F.count_if(F.col("cluster") < 0).alias("lone"))
-    refs = known.withColumn("ref_group", F.lit(0).cast("long"))
+    # copies of a vector share its cluster
+    refs = known.groupBy("embedding").agg(F.min("id").alias("id")).withColumn("ref_group", F.lit(0).cast("long"))
     near = match(queries, refs, Pick("range", metric="distance", high=np.nextafter(eps, 1))).join(
         labels.withColumnRenamed("id", "ref_id"), "ref_id")
     # each touched cluster once, each touched lone vector for itself

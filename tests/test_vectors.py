@@ -240,3 +240,13 @@ def test_references_beyond_a_bound_do_not_pass_the_driver(spark, monkeypatch):
     assert got == {i: -min((7 * i + 1) % 3, 3 - (7 * i + 1) % 3) / 100 for i in range(500)}
     counts = {r.id: r.similar_count for r in anomaly.similar_known(queries, known, eps=0.3).collect()}
     assert counts == {i: 1 if (7 * i + 1) % 3 == 0 else 3000 for i in range(500)}
+
+
+def test_copies_of_a_known_vector_meet_queries_once(spark, monkeypatch):
+    """As many pairs as copies were made of each query beside a vector that is known often."""
+    known = spark.createDataFrame([(i, [0.0, 0.0]) for i in range(40)] + [(40, [0.2, 0.0]), (41, [9.0, 9.0])], "id long, embedding array<double>")
+    queries = spark.createDataFrame([(100, [0.0, 0.1]), (101, [9.0, 9.1]), (102, [5.0, 5.0])], "id long, embedding array<double>")
+    met, plain = [], anomaly.match
+    monkeypatch.setattr(anomaly, "match", lambda q, refs, pick: met.append(refs.count()) or plain(q, refs, pick))
+    assert {r.id: r.similar_count for r in anomaly.similar_known(queries, known).collect()} == {100: 41, 101: 1, 102: 1}
+    assert met == [3]
