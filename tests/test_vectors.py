@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from siftline.operators import anomaly, clusters, similarity
 from siftline.operators.similarity import Pick, match
+from siftline.plans.catalog import QUERIES
 
 
 def vectors(spark, seed, n, width=6, groups=3, spread=1.0):
@@ -250,3 +251,26 @@ def test_copies_of_a_known_vector_meet_queries_once(spark, monkeypatch):
     monkeypatch.setattr(anomaly, "match", lambda q, refs, pick: met.append(refs.count()) or plain(q, refs, pick))
     assert {r.id: r.similar_count for r in anomaly.similar_known(queries, known).collect()} == {100: 41, 101: 1, 102: 1}
     assert met == [3]
+
+
+@pytest.mark.parametrize("name", ["candidates_file", "forest_candidates"])
+def test_candidates_are_the_same_by_blocks(spark, monkeypatch, tmp_path, name):
+    """Every fourth text has no embedding; known vectors neither pass the driver nor meet all queries."""
+    texts = ["exec(system) password\n" * (k % 7 + 1) + "x" * (k * k % 997) for k in range(120)]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, [float(k % 5), 1.0]) for k in range(120) if k % 4], "vec_id long, embedding array<float>").write.parquet(
+        f"{tmp_path}/embeddings.parquet")
+
+    def found():
+        return sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select(
+            "id", "candidate_id", "anomaly_score", "similar_count", "risk_assessment", "predicted_cwe", "confidence").collect())
+
+    def refuse(*args):
+        raise AssertionError("not by blocks")
+
+    whole = found()
+    assert whole
+    monkeypatch.setattr(similarity, "DISTANCE_BYTES", 0)
+    for way in ("_match_broadcast", "_match_tiles"):
+        monkeypatch.setattr(similarity, way, refuse)
+    assert found() == whole
